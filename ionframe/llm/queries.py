@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language_id, packing, quality_classifier, quality_rules, simhash_dedup
+from . import audio_features, bpe, language_id, packing, quality_classifier, quality_rules, simhash_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,6 +75,13 @@ def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op6_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's tensors are made; they stay in the workers, as no column holds them."""
+    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    stored = audio_features.store(_table(spark, sf_dir, "documents"))
+    return audio_features.features(stored, keep_tensors=False).select(*names)
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return language_id.identify(docs, language_id.fit(docs))
@@ -87,6 +94,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op4_quality_rules": op4_quality_rules,
+    "op6_audio_features": op6_audio_features,
     "op7_language_id": op7_language_id,
     "op8_harmonic_packing": op8_harmonic_packing,
     "op9_bpe_round_trip": op9_bpe_round_trip,
