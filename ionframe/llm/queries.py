@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio_features, bpe, language_id, packing, quality_classifier, quality_rules, simhash_dedup, warc
+from . import audio_features, bpe, language_id, line_dedup, packing, quality_classifier, quality_rules, simhash_dedup, warc
 from .common import shared_dir
 
 
@@ -15,6 +15,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_classes(_table(spark, sf_dir, "documents"))
+
+
 def op2_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The archives lie in the folder that driver and executors share."""
     return warc.round_trip(_table(spark, sf_dir, "pages"), f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}")
@@ -100,6 +104,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_warc_round_trip": op2_warc_round_trip,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op4_quality_rules": op4_quality_rules,
