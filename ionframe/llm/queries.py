@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio_features, bpe, language_id, line_dedup, packing, quality_classifier, quality_rules, simhash_dedup, warc
+from . import audio_features, bpe, language_id, license_scan, line_dedup, packing, quality_classifier, quality_rules, simhash_dedup, warc
 from .common import shared_dir
 
 
@@ -87,6 +87,10 @@ def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(_table(spark, sf_dir, "documents"))
+
+
 def op6_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's tensors are made; they stay in the workers, as no column holds them."""
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
@@ -108,6 +112,7 @@ QUERIES = {
     "op2_warc_round_trip": op2_warc_round_trip,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op4_quality_rules": op4_quality_rules,
+    "op5_license_scan": op5_license_scan,
     "op6_audio_features": op6_audio_features,
     "op7_language_id": op7_language_id,
     "op8_harmonic_packing": op8_harmonic_packing,
