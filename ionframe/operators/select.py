@@ -66,15 +66,15 @@ def folds(df: DataFrame, k: int, order: list, by: list[str], out: str = "fold")
     return df.withColumn(out, F.ntile(k).over(Window.partitionBy(*by).orderBy(*order)))
 
 
-def stratified_folds(df: DataFrame, k: int, structure: str, order: list, out: str = "fold") -> DataFrame:
+def stratified_folds(df: DataFrame, k: int, structure: str, order: list, out: str = "fold", pool: Column | None = None) -> DataFrame:
     """Folds within each structure; structures with one row are pooled.
 
-    The pool may be large: its rows are dealt by a hash of their structure into as many
+    The pool may be large: its rows are dealt by pool, else by a hash of their structure, into as many
     parts as there are shuffle partitions, each a block of its own.
     """
     n = F.count("*").over(Window.partitionBy(structure))
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    stratum = F.when(n > 1, F.col(structure).cast("string")).otherwise(F.concat(F.lit("single-"), F.pmod(F.xxhash64(structure), F.lit(parts)).cast("string")))
+    stratum = F.when(n > 1, F.col(structure).cast("string")).otherwise(F.concat(F.lit("single-"), (F.pmod(F.xxhash64(structure), F.lit(parts)) if pool is None else pool).cast("string")))
     return folds(df.withColumn("_stratum", stratum), k, order, ["_stratum"], out).drop("_stratum")
 
 

@@ -22,9 +22,15 @@ def query(name: str, oracle: str | None = None):
     return register
 
 
+def _load() -> None:
+    from . import joins, models, statistics  # noqa: F401  they register their queries
+
+
 def queries() -> dict[str, Callable]:
+    _load()
     return _QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return _ORACLES
