@@ -19,7 +19,7 @@ PROTON = 1.00727646677
 
 
 def _c(c) -> Column:
-    return F.col(c) if isinstance(c, str) else c
+    return F.col(c) if isinstance(c, str) else c if isinstance(c, Column) else F.lit(c)
 
 
 def neutral_mass(mz, charge) -> Column:
