@@ -1,7 +1,7 @@
 """Quality classifier: supervised subword embeddings.
 
 A word's vector is the mean of the learned vectors of its hash bucket and of the buckets of
-its character n-grams (3 to 5 bytes of the word between marks).  A document's vector is the
+its character n-grams (3 and 4 bytes of the word between marks).  A document's vector is the
 mean over its words, plus the vector of one word bigram in which a word equal to the one
 before it is written "=" (so that repetition counts whatever the word is).  A linear layer
 and softmax give the probability of label 1.  numpy stochastic gradient descent trains all
@@ -18,10 +18,10 @@ import operator
 from collections import Counter
 from dataclasses import dataclass
 from itertools import islice
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,15 +34,16 @@ BUCKETS = 1 << 18
 DIM, EPOCHS, BATCH, RATE, SEED = 8, 3, 32, 60.0, 11
 #: Few rows are passed over more often than EPOCHS, until there were so many steps.
 MIN_STEPS = 100
-NGRAMS = (3, 4, 5)
+NGRAMS = (3, 4)
+#: Words in each of the two generations of a worker's cache.
+CACHE = 300_000
 
 
 def buckets(word: bytes) -> list[int]:
     """Bucket 0 is the bigram "="; words and n-grams have the others."""
-    h = xxhash.xxh32_intdigest
     marked = b"<" + word + b">"
     grams = [marked[i : i + n] for n in NGRAMS for i in range(len(marked) - n + 1)] if len(word) <= 256 else []
-    return [1 + h(word, 1) % (BUCKETS - 1), *(1 + h(g, 2) % (BUCKETS - 1) for g in grams)]
+    return [1 + crc32(g, n) % (BUCKETS - 1) for n, gs in ((1, (word,)), (2, grams)) for g in gs]
 
 
 @dataclass
@@ -51,9 +52,14 @@ class Model:
     bias: float
 
     def scorer(self):
-        weight, bias = self.weight, float(self.bias)
-        cache = ChunkCache(lambda w: float(weight[buckets(w)].mean()))
-        same = float(weight[0])
+        weight, bias = self.weight.tolist(), float(self.bias)
+        same = weight[0]
+
+        def mean(word: bytes) -> float:
+            b = buckets(word)
+            return sum(map(weight.__getitem__, b)) / len(b)
+
+        cache = ChunkCache(mean, CACHE)
 
         def score(text: bytes | None) -> float:
             words = (text or b"").split()
