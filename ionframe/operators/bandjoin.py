@@ -12,7 +12,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalar import ratio_bucket, wildcard
+
 TOLERANCE = 2e-5
+MOST_FEATURES = 1000
 
 
 def _bucket(mass: Column, width) -> Column:
@@ -56,17 +59,29 @@ def offset_pairs(peaks: DataFrame, keys: list[str], mass: str, ident: list[str],
 def feature_pairs(peaks: DataFrame, features: DataFrame, keys: list[str], mass: str, ident: list[str], tolerance: float = TOLERANCE) -> DataFrame:
     """offset_pairs for every row of features (name, offset, and optionally from_charge,
     to_charge, intensity_ratio, of which null fits all).  The catalogue is small by contract
-    (a fixed list of relations), and its size is checked before it is broadcast."""
-    if features.limit(10_001).count() > 10_000:
-        raise ValueError("a relation catalogue has at most 10000 features")
+    (a fixed list of relations): it is checked and becomes a literal that peaks are exploded by."""
+    listed = features.limit(MOST_FEATURES + 1).collect()
+    if len(listed) > MOST_FEATURES:
+        raise ValueError(f"a relation catalogue has at most {MOST_FEATURES} features")
+    if not listed:
+        listed = [None]
+    kinds = features.schema
+    literal = F.array(*(F.struct(*(F.lit(None if r is None else r[f.name]).cast(f.dataType).alias(f.name) for f in kinds)) for r in listed))
     others = [c for c in peaks.columns if c not in keys]
-    a = peaks.select(*keys, *(F.col(c).alias(f"a_{c}") for c in others)).crossJoin(F.broadcast(features))
+    a = peaks.select(*keys, *(F.col(c).alias(f"a_{c}") for c in others)).withColumn("_f", F.explode(literal)).select("*", "_f.*").drop("_f").where("offset is not null")
     b = peaks.select(*keys, *(F.col(c).alias(f"b_{c}") for c in others))
     same = None
     for c in ident:
         eq = F.col(f"a_{c}").eqNullSafe(F.col(f"b_{c}"))
         same = eq if same is None else same & eq
-    return band_join(a, b, keys, F.col(f"a_{mass}") + F.col("offset"), F.col(f"b_{mass}"), tolerance).where(~same)
+    pairs = band_join(a, b, keys, F.col(f"a_{mass}") + F.col("offset"), F.col(f"b_{mass}"), tolerance).where(~same)
+    # a feature may be bound to charges and to a bucket of the intensity ratio
+    for name, value in (("from_charge", "a_charge"), ("to_charge", "b_charge")):
+        if name in features.columns:
+            pairs = pairs.where(wildcard(name, value))
+    if "intensity_ratio" in features.columns:
+        pairs = pairs.where(wildcard("intensity_ratio", ratio_bucket("a_intensity", "b_intensity")))
+    return pairs
 
 
 def complement_pairs(peaks: DataFrame, keys: list[str], mass: str, ident: list[str], total: str, offset: float = 0.0, tolerance: float = TOLERANCE) -> DataFrame:

@@ -22,13 +22,18 @@ def grid(spark: SparkSession, lengths=LENGTHS, sizes=SIZES, charges=CHARGES, mob
     if n > MOST_CELLS:
         raise ValueError(f"{n} cells; a grid has at most {MOST_CELLS}")
 
-    def dim(values, ddl):
-        return spark.createDataFrame([v if isinstance(v, tuple) else (v,) for v in values], ddl)
-
-    out = dim(lengths, "length_lo int, length_hi int").crossJoin(dim(sizes, "size_lo int, size_hi int"))
-    for values, ddl in ((charges, "charge int"), (mobilities, "mobility string"), (types, "glycan_type int"), (counts, "glycan_count int")):
-        out = out.crossJoin(F.broadcast(dim(values, ddl)))
-    return out
+    # a cell's number gives its place in each dimension, so no dimension is joined
+    dims = [("length", lengths), ("size", sizes), ("charge", charges), ("mobility", mobilities), ("glycan_type", types), ("glycan_count", counts)]
+    out, stride = [], n
+    for name, values in dims:
+        stride //= len(values)
+        at = (F.floor(F.col("id") / stride) % len(values)).cast("int")
+        pick = lambda vs: F.get(F.array(*map(F.lit, vs)), at)
+        if isinstance(values[0], tuple):
+            out += [pick([v[0] for v in values]).alias(f"{name}_lo"), pick([v[1] for v in values]).alias(f"{name}_hi")]
+        else:
+            out.append(pick(values).alias(name))
+    return spark.range(n).select(*out)
 
 
 def first_interval(df: DataFrame, value: str, intervals: list[tuple[int, int]], lo: str, hi: str, nearest: bool = False) -> DataFrame:

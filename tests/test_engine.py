@@ -52,6 +52,13 @@ def test_band_join_is_the_theta_join(spark):
     assert got == want and want
 
 
+def test_feature_wildcards(spark):
+    p = spark.createDataFrame([(1, 1, 500.0, 2, 10.0), (2, 1, 557.02146372, 1, 30.0), (3, 1, 557.0214637, 3, 5.0)], "id int, scan int, mass double, charge int, intensity double")
+    f = spark.createDataFrame([("any", 57.02146372, None, None, 999), ("down", 57.02146372, 2, 1, None), ("weak", 57.02146372, None, None, -2)], "name string, offset double, from_charge int, to_charge int, intensity_ratio int")
+    got = {(r.name, r.b_id) for r in bandjoin.feature_pairs(p, f, ["scan"], "mass", ["id"]).collect()}
+    assert got == {("any", 2), ("any", 3), ("down", 2), ("weak", 3)}
+
+
 def test_complement_join(spark):
     rows = [(i, 1, m, 1000.0) for i, m in enumerate([400.0, 600.0, 600.01, 600.05, 500.0, 500.004, 1000.0])]
     p = spark.createDataFrame(rows, "id int, scan int, mass double, total double")
