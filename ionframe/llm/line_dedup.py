@@ -1,7 +1,9 @@
 """Fuzzy line deduplication in DataFrame expressions only.
 
 Lines are normalised (lower case, runs of ASCII characters other than letters and digits to
-one blank) and equal ones become one node.  A node has the 64-bit SimHash of its words.  Two
+one blank) and equal ones become one node.  A node has the 64-bit SimHash of its word pairs
+(each word with the next; the last alone): single words are so common that unrelated lines
+would have near fingerprints, and the more so the more lines there are.  Two
 nodes are linked if their fingerprints differ in at most MAX_BITS bits and the edit
 similarity of their normalised lines is at least SIMILARITY; of every connected group the
 first occurrence (least doc_id, then line number) is kept.
@@ -28,52 +30,61 @@ from .common import connected_components, materialize
 
 MAX_BITS = 3
 SIMILARITY = 0.8
-#: Longer normalised lines are compared by their words, each hashed to one character.
-BY_WORDS = 4000
-_LANES = "0x0101010101010101"
-_ONES = int(_LANES, 16)
+#: Most places of candidate lines that are broadcast to the scan that fetches their texts
+#: (some 30 bytes each); beyond it the texts are joined by a shuffle.
+BROADCAST_PLACES = 500_000
+#: Words that are counted together: the bytes of a counter hold so many without a sign bit.
+_PART = 126
+_ONES = 0x0101010101010101
 
 
-def _normal(line: str) -> str:
-    return rf"trim(regexp_replace(lower({line}), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+', ' '))"
+def _words(line: str) -> str:
+    """SQL for a line's normalised words."""
+    return rf"array_remove(split(lower({line}), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), '')"
 
 
-def _simhash(hashes: str) -> str:
-    """SQL for the SimHash of an array of longs: a bit is set if it is in over half of them.
-
-    Eight longs count eight bits each in their bytes.  Up to 127 hashes the bytes are compared
-    with half their number all at once; longer arrays are counted in parts of 127.
-    """
-    zero = ", ".join(f"'a{k}', 0L" for k in range(8))
-    add = ", ".join(f"'a{k}', a.a{k} + (shiftrightunsigned(h, {k}) & {_ONES}L)" for k in range(8))
-
-    def count(part: str) -> str:
-        return f"aggregate({part}, named_struct({zero}), (a, h) -> named_struct({add}))"
-
+def _majority_short() -> str:
+    """SQL for the bits that are set in over half of n words, n being _PART at most: the bytes of
+    a0..a7 are compared with half of n all at once."""
     # the top byte is compared apart: its sum could reach the sign bit
     low = _ONES & ~(1 << 56)
-    short = " | ".join(
-        f"shiftleft((shiftrightunsigned((c.a{k} & {(1 << 56) - 1}L) + {low}L * (127 - size({hashes}) div 2), 7) & {low}L)"
-        f" | if(2 * shiftrightunsigned(c.a{k}, 56) > size({hashes}), {1 << 56}L, 0L), {k})"
+    return " | ".join(
+        f"shiftleft((shiftrightunsigned((a{k} & {(1 << 56) - 1}L) + {low}L * (127 - n div 2), 7) & {low}L)"
+        f" | if(2 * shiftrightunsigned(a{k}, 56) > n, {1 << 56}L, 0L), {k})"
         for k in range(8)
     )
-    long = " | ".join(
-        f"if(2 * aggregate(cs, 0L, (t, c) -> t + (shiftrightunsigned(c.a{k}, {8 * j}) & 255L)) > size({hashes}), {(1 << (8 * j + k)) - (1 << 64 if 8 * j + k == 63 else 0)}L, 0L)".replace("-9223372036854775808L", "shiftleft(1L, 63)")
-        for k in range(8)
-        for j in range(8)
-    )
-    parts = f"transform(sequence(0, (size({hashes}) - 1) div 127), i -> {count(f'slice({hashes}, i * 127 + 1, 127)')})"
-    return f"if(size({hashes}) <= 127, transform(array({count(hashes)}), c -> {short})[0], transform(array({parts}), cs -> {long})[0])"
 
 
 def lines(docs: DataFrame) -> DataFrame:
     """(doc_id, pos, k1, k2, fp) for every line that has a letter, digit or non-ASCII
-    character; k1, k2 identify the normalised line.  Lines are split at \\n, pos is from 0."""
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    e = d.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    n = e.select("doc_id", "pos", F.expr(_normal("line")).alias("norm")).where("norm <> ''")
-    n = n.select("doc_id", "pos", F.expr("xxhash64(norm)").alias("k1"), F.expr("xxhash64(1, norm)").alias("k2"), F.expr("transform(split(norm, ' '), w -> xxhash64(w))").alias("h"))
-    return n.select("doc_id", "pos", "k1", "k2", F.expr(_simhash("h")).alias("fp"))
+    character; k1, k2 identify the normalised line.  Lines are split at \\n, pos is from 0.
+
+    The hash of a word pair adds one to the counters of its bits; eight counters lie in the bytes of a
+    long, so a row of eight sums counts all 64 bits.  The sums are made where the words are
+    (before the shuffle), in parts of _PART words.
+    """
+    d = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    e = d.select("row", "doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    w = e.select("row", "doc_id", "pos", F.expr(_words("line")).alias("w")).where("size(w) > 0")
+    # keys and size before the words are exploded: beside the generator they'd be computed for each word
+    w = w.select("row", "doc_id", "pos", "w", *_keys("w"), F.size("w").alias("n"))
+    x = w.select("row", "doc_id", "pos", "k1", "k2", "n", "w", F.posexplode("w").alias("i", "word"))
+    x = x.select("row", "doc_id", "pos", "k1", "k2", "n", F.expr(f"i div {_PART}").alias("part"), F.xxhash64("word", F.get("w", F.col("i") + 1)).alias("h"))
+    sums = [F.sum(F.shiftrightunsigned("h", k).bitwiseAND(F.lit(_ONES))).alias(f"a{k}") for k in range(8)]
+    parts = x.groupBy("row", "doc_id", "pos", "k1", "k2", "part").agg(*sums, F.max("n").alias("n"))
+    # one pass: the counters stay only where a line has several parts
+    is_short = F.col("n") <= _PART
+    parts = parts.select("row", "doc_id", "pos", "k1", "k2", "n", F.when(is_short, F.expr(_majority_short())).alias("fp"), *(F.when(~is_short, F.col(f"a{k}")).alias(f"a{k}") for k in range(8)))
+    parts = materialize(parts, "line-parts")
+    short = parts.where(is_short).select("doc_id", "pos", "k1", "k2", "fp")
+    wide = [F.sum(F.expr(f"shiftrightunsigned(a{k}, {8 * j}) & 255L")).alias(f"b{8 * j + k}") for k in range(8) for j in range(8)]
+    long = parts.where(~is_short).groupBy("row", "doc_id", "pos", "k1", "k2").agg(*wide, F.max("n").alias("n"))
+    long = long.select("doc_id", "pos", "k1", "k2", F.expr(" | ".join(f"if(2 * b{b} > n, shiftleft(1L, {b}), 0L)" for b in range(64))).alias("fp"))
+    return short.unionByName(long)
+
+
+def _keys(words: str):
+    return F.expr(f"xxhash64({words})").alias("k1"), F.expr(f"xxhash64(1L, {words})").alias("k2")
 
 
 def blocks(n: int) -> int:
@@ -97,27 +108,39 @@ def _near(a: str, b: str):
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= MAX_BITS
 
 
-def _words_as_characters(norm: str) -> str:
-    return f"decode(unhex(array_join(transform(split({norm}, ' '), w -> lpad(hex(19968 + pmod(xxhash64(w), 16384)), 4, '0')), '')), 'UTF-16BE')"
+def _texts(wanted: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, words) of the wanted nodes, read again where they first occur."""
+    places = nodes.join(wanted.distinct(), nodes["k1"] == F.col("node"), "left_semi").select("k1", "k2", "first.doc_id", "first.pos")
+    places = materialize(places, "line-places")
+    at = places.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "k1", "k2")).alias("at")).withColumnRenamed("doc_id", "_doc")
+    if places.count() <= BROADCAST_PLACES:
+        at = F.broadcast(at)
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    t = d.join(at, F.col("doc_id").eqNullSafe(F.col("_doc"))).select(F.split("text", "\n").alias("l"), F.explode("at").alias("p"))
+    t = t.select("p.k1", "p.k2", F.expr(_words("get(l, p.pos)")).alias("words"))
+    # rows that repeat an id with another text are told apart by the line's own keys
+    t = t.where("xxhash64(words) = k1 and xxhash64(1L, words) = k2")
+    return materialize(t.dropDuplicates(["k1", "k2"]).select(F.col("k1").alias("node"), "words"), "line-texts")
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes whose lines are similar enough."""
+    """The pairs (a, b) of nodes whose lines are similar enough.
+
+    Words that both lines begin and end with are taken off before the edit distance is
+    computed, which does not change it; if one line has no other words, the distance is the
+    length of what the other has more, with its blank.
+    """
     pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "line-pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    places = nodes.join(wanted, nodes["k1"] == wanted["node"], "left_semi").select("k1", "k2", "first.doc_id", "first.pos")
-    places = materialize(places.groupBy("doc_id").agg(F.collect_set(F.struct("pos", "k1", "k2")).alias("at")).withColumnRenamed("doc_id", "_doc"), "line-places")
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    texts = d.join(places, F.col("doc_id").eqNullSafe(F.col("_doc")))
-    texts = texts.select(F.split("text", "\n").alias("l"), F.explode("at").alias("p")).select("p.k1", "p.k2", F.expr(_normal("get(l, p.pos)")).alias("norm"))
-    # rows that repeat an id with another text are told apart by the line's own keys
-    texts = texts.where("norm <> '' and xxhash64(norm) = k1 and xxhash64(1, norm) = k2").dropDuplicates(["k1", "k2"]).select("k1", "norm")
-    texts = materialize(texts, "line-texts")
-    j = pairs.join(texts.select(F.col("k1").alias("a"), F.col("norm").alias("x")), "a").join(texts.select(F.col("k1").alias("b"), F.col("norm").alias("y")), "b")
-    j = j.withColumn("by_words", F.expr(f"greatest(char_length(x), char_length(y)) > {BY_WORDS}"))
-    j = j.select("a", "b", *(F.expr(f"if(by_words, {_words_as_characters(c)}, {c})").alias(c) for c in "xy"))
-    most = f"cast(floor({1 - SIMILARITY:.6f} * greatest(char_length(x), char_length(y)) + 1e-9) as int)"
-    return j.where(F.expr(f"levenshtein(x, y, {most}) >= 0")).select("a", "b")
+    texts = _texts(pairs.select(F.explode(F.array("a", "b")).alias("node")), nodes, docs)
+    j = pairs.join(texts.select(F.col("node").alias("a"), F.col("words").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("words").alias("y")), "b")
+    length = "aggregate({0}, -1, (t, w) -> t + 1 + char_length(w))"
+    j = j.withColumn("most", F.expr(f"cast(floor({1 - SIMILARITY:.6f} * greatest({length.format('x')}, {length.format('y')}) + 1e-9) as int)"))
+    same = "array_position(zip_with({0}, {1}, (v, w) -> v <=> w), false) - 1"
+    j = j.withColumn("p", F.expr(f"int({same.format('x', 'y')})"))
+    j = j.withColumn("s", F.expr(f"least(int({same.format('reverse(x)', 'reverse(y)')}), least(size(x), size(y)) - p)"))
+    j = j.select("a", "b", "most", *(F.expr(f"array_join(slice({c}, p + 1, size({c}) - p - s), ' ')").alias(c) for c in "xy"))
+    near = "if(x = '' or y = '', greatest(char_length(x), char_length(y)) + 1 <= most, levenshtein(x, y, most) >= 0)"
+    return j.where(F.expr(near)).select("a", "b")
 
 
 def line_classes(docs: DataFrame) -> DataFrame:
@@ -137,19 +160,21 @@ def line_classes(docs: DataFrame) -> DataFrame:
         "key", "fp", "node", F.count("*").over(in_key).alias("size"), F.first("node").over(ordered).alias("hub"), F.first("fp").over(ordered).alias("hub_fp"),
         F.lag("node").over(ordered).alias("prev"), F.lag("fp").over(ordered).alias("prev_fp"),
     )
-    met = materialize(index.where("size > 1"), "line-index")
-    star = met.where("node <> hub").where(_near("fp", "hub_fp")).select(F.col("node").alias("a"), F.col("hub").alias("b"))
-    chain = met.where("prev is not null").where(_near("fp", "prev_fp")).select(F.col("node").alias("a"), F.col("prev").alias("b"))
-    edges = materialize(_verified(star.unionByName(chain), nodes, docs), "line-edges")
+    hub = F.when((F.col("node") != F.col("hub")) & _near("fp", "hub_fp"), F.col("hub")).alias("hub")
+    prev = F.when(_near("fp", "prev_fp"), F.col("prev")).alias("prev")
+    met = index.where("size > 1").select("key", "fp", "node", (F.col("size") > 2).alias("more"), hub, prev)
+    met = materialize(met.where("more or hub is not null or prev is not null"), "line-index")
+    near = met.where("hub is not null or prev is not null").select("node", F.explode(F.array("hub", "prev")).alias("b")).where("b is not null")
+    edges = materialize(_verified(near.select(F.col("node").alias("a"), "b"), nodes, docs), "line-edges")
     groups = connected_components(edges)
     # members of a bucket that are in different groups still; buckets of two are done
-    more = met.where("size > 2").select("key", "fp", "node").join(groups, "node", "left").select("key", "fp", "node", F.coalesce("component", "node").alias("g"))
+    more = met.where("more").select("key", "fp", "node").join(groups, "node", "left").select("key", "fp", "node", F.coalesce("component", "node").alias("g"))
     more = more.withColumn("mixed", F.min("g").over(in_key) != F.max("g").over(in_key)).where("mixed").select("key", "fp", "node", "g")
-    more = materialize(more, "line-mixed")
-    if not more.isEmpty():
-        x = more.select("key", F.col("fp").alias("fa"), F.col("node").alias("a"), F.col("g").alias("ga"))
-        y = more.select("key", F.col("fp").alias("fb"), F.col("node").alias("b"), F.col("g").alias("gb"))
-        late = x.join(y, "key").where("a < b and ga <> gb").where(_near("fa", "fb")).select("a", "b")
+    x = more.select("key", F.col("fp").alias("fa"), F.col("node").alias("a"), F.col("g").alias("ga"))
+    y = more.select("key", F.col("fp").alias("fb"), F.col("node").alias("b"), F.col("g").alias("gb"))
+    late = x.join(y, (x["key"] == y["key"]) & (F.col("a") < F.col("b")) & (F.col("ga") != F.col("gb")) & _near("fa", "fb")).select("a", "b")
+    late = materialize(late.distinct(), "line-late")
+    if not late.isEmpty():
         edges = materialize(edges.unionByName(_verified(late, nodes, docs)), "line-edges")
         groups = connected_components(edges)
     named = nodes.join(groups, nodes["k1"] == groups["node"], "left").select("k1", "k2", "first", "n", F.coalesce("component", "k1").alias("g"))

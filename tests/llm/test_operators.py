@@ -105,9 +105,10 @@ def test_line_classes_by_brute_force(spark):
 def test_line_fingerprints(spark):
     texts = [prose(n, n) for n in (1, 2, 126, 127, 700)] + ["same " * 300]
     got = {r.doc_id: r.fp & (2**64 - 1) for r in line_dedup.lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
-    hashes = {r.w: r.h & (2**64 - 1) for r in spark.createDataFrame([(w,) for w in {w for t in texts for w in t.split()}], "w string").select("w", F.xxhash64("w").alias("h")).collect()}
-    for i, t in enumerate(texts):
-        h = [hashes[w] for w in t.split()]
+    pairs = [list(zip(t.split(), [*t.split()[1:], None])) for t in texts]
+    hashes = {(r.v, r.w): r.h & (2**64 - 1) for r in spark.createDataFrame(list({p for ps in pairs for p in ps}), "v string, w string").select("v", "w", F.xxhash64("v", "w").alias("h")).collect()}
+    for i, ps in enumerate(pairs):
+        h = [hashes[p] for p in ps]
         assert got[i] == sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
