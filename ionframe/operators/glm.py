@@ -9,12 +9,16 @@ partitions in a tree.
 
 from __future__ import annotations
 
+from dataclasses import dataclass, replace
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 EPSILON, MOST_STEPS = 1e-8, 25
+#: Rows of which the dense features are in memory at a time.
+BLOCK_ROWS = 20_000
 
 
 def observations(matches: DataFrame, totals: DataFrame, scan: list[str], peak: list[str], intensity: str, series: str, total: str = "total", unassigned: str = "unassigned", oxonium: str = "oxonium_ion", only: list[str] | None = None) -> DataFrame:
@@ -68,32 +72,61 @@ def _dense(indices, width: int) -> np.ndarray:
     return x
 
 
-def _mu(eta: np.ndarray) -> np.ndarray:
-    top = max(0.0, float(eta.max(initial=0.0)))
-    e = np.exp(eta - top)
-    return e / (np.exp(-top) + e.sum())
-
-
-def _step(spectra, beta):
-    """Sums over spectra (x, y, n, r): z and H of a step from beta, and the deviance there."""
-    width = spectra[0][0].shape[1] if spectra else 0
+@dataclass
+class Spectra:
+    """The rows of many spectra, one spectrum after another: the features that a row sets (flat,
+    with ends), where spectra start, shares, reliabilities, and each spectrum's total."""
+
+    flat: np.ndarray
+    ends: np.ndarray
+    starts: np.ndarray
+    y: np.ndarray
+    r: np.ndarray
+    n: np.ndarray
+
+    def __len__(self) -> int:
+        return len(self.n)
+
+    def blocks(self, width: int):
+        """(x, y, r, starts, n) of some whole spectra at a time, x dense."""
+        bounds = np.append(self.starts, len(self.y))
+        at = 0
+        while at < len(self.n):
+            to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + BLOCK_ROWS, "right")) - 1)
+            lo, hi = int(bounds[at]), int(bounds[to])
+            first = int(self.ends[lo - 1]) if lo else 0
+            own = self.flat[first : int(self.ends[hi - 1])]
+            rows = np.repeat(np.arange(hi - lo), np.diff(np.append(first, self.ends[lo:hi])))
+            x = np.zeros((hi - lo, width))
+            np.add.at(x.reshape(-1), rows * width + own, 1.0)
+            yield x, self.y[lo:hi], self.r[lo:hi], bounds[at:to] - lo, self.n[at:to]
+            at = to
+
+
+def _step(spectra: Spectra, beta, width: int):
+    """Sums over spectra: z and H of a step from beta (None: from the start), and the deviance there."""
     z, h, dev = np.zeros(width), np.zeros((width, width)), 0.0
-    for x, y, n, r in spectra:
+    for x, y, r, starts, n in spectra.blocks(width):
+        size = np.diff(np.append(starts, len(y)))
+        per_row = lambda v: np.repeat(v, size)
+        add = lambda v: np.add.reduceat(v, starts, axis=0)
         if beta is None:
-            mu = (y * n + 0.5) / (1 + n + 0.5 * len(y))
-            eta = np.log(mu) - np.log1p(-mu.sum())
+            mu = (y * per_row(n) + 0.5) / per_row(1 + n + 0.5 * size)
+            eta = np.log(mu) - per_row(np.log1p(-add(mu)))
         else:
             eta = x @ beta
-            mu = _mu(eta)
-        wx = (r * mu)[:, None] * x - np.outer(mu, mu @ x)
-        weighted_eta = r * mu * eta - mu * (mu @ eta)
-        z += n * (x.T @ (y - mu + weighted_eta))
-        h += n * (x.T @ wx)
+            top = np.maximum(np.maximum.reduceat(eta, starts), 0.0)
+            e = np.exp(eta - per_row(top))
+            mu = e / per_row(np.exp(-top) + add(e))
+        weighted_eta = r * mu * eta - mu * per_row(add(mu * eta))
+        z += x.T @ (per_row(n) * (y - mu + weighted_eta))
+        mean = add(mu[:, None] * x)
+        h += x.T @ ((per_row(n) * r * mu)[:, None] * x) - mean.T @ (n[:, None] * mean)
         pos = y > 0
-        dev += 2 * n * float((r[pos] * y[pos] * np.log(y[pos] / mu[pos])).sum())
-        rest = 1 - y.sum()
-        if rest > 1e-12:
-            dev += 2 * n * rest * float(np.log(rest / (1 - mu.sum() + 1e-6)))
+        dev += 2 * float((per_row(n)[pos] * r[pos] * y[pos] * np.log(y[pos] / mu[pos])).sum())
+        rest, left = 1 - add(y), 1 - add(mu) + 1e-6
+        some = rest > 1e-12
+        dev += 2 * float((n[some] * rest[some] * np.log(rest[some] / left[some])).sum())
     return z, h, dev
 
 
@@ -120,13 +153,16 @@ def newton(sums, steps: int = MOST_STEPS, epsilon: float = EPSILON) -> dict:
     return {"coef": beta, "covariance": np.linalg.inv(h) if h is not None else None, "deviance": float(dev), "iterations": i}
 
 
-def _spectra(frame: pd.DataFrame, scan: list[str], width: int) -> list:
-    out = []
-    for _, g in frame.groupby(scan, sort=True):
-        n = float(g["total"].iloc[0])
-        if n > 0:
-            out.append((_dense(g["idx"], width), g["intensity"].to_numpy(float) / n, n, g["reliability"].to_numpy(float)))
-    return out
+def _spectra(frame: pd.DataFrame, scan: list[str]) -> Spectra:
+    """The spectra with a positive total, in the order of their keys."""
+    f = frame[frame["total"] > 0].sort_values(scan, kind="stable")
+    keys = f[scan]
+    new = (keys != keys.shift()).any(axis=1).to_numpy()
+    starts = np.flatnonzero(new)
+    lengths = f["idx"].map(len).to_numpy(np.int64)
+    flat = np.concatenate([np.asarray(i, np.int64) for i in f["idx"]]) if len(f) else np.empty(0, np.int64)
+    total = f["total"].to_numpy(float)
+    return Spectra(flat, np.cumsum(lengths), starts, f["intensity"].to_numpy(float) / total, f["reliability"].to_numpy(float), total[starts])
 
 
 FIT = "n_spectra long, n_rows long, coef array<double>, covariance array<double>, deviance double, dispersion double, iterations int, converged boolean"
@@ -140,11 +176,11 @@ def fit_cells(rows: DataFrame, cell: list[str], scan: list[str], width: int, cel
     """
 
     def fit(frame: pd.DataFrame) -> pd.DataFrame:
-        spectra = _spectra(frame, scan, width)
-        got = newton(lambda b: _step(spectra, b)) if spectra else {"coef": None, "covariance": None, "deviance": np.nan, "iterations": 0}
-        if got["coef"] is None and spectra:
-            plain = [(x, y, n, np.ones_like(r)) for x, y, n, r in spectra]
-            got = newton(lambda b: _step(plain, b))
+        spectra = _spectra(frame, scan)
+        got = newton(lambda b: _step(spectra, b, width)) if len(spectra) else {"coef": None, "covariance": None, "deviance": np.nan, "iterations": 0}
+        if got["coef"] is None and len(spectra):
+            plain = replace(spectra, r=np.ones_like(spectra.r))
+            got = newton(lambda b: _step(plain, b, width))
         ok = got["coef"] is not None
         row = {c: frame[c].iloc[0] for c in cell} | {
             "n_spectra": len(spectra), "n_rows": len(frame), "coef": got["coef"].tolist() if ok else None, "covariance": got["covariance"].ravel().tolist() if ok else None,
@@ -157,26 +193,20 @@ def fit_cells(rows: DataFrame, cell: list[str], scan: list[str], width: int, cel
 
 def fit_large(rows: DataFrame, scan: list[str], width: int, parts: int = 64) -> dict:
     """The same fit for one cell of any size.  rows are dealt by scan once (a written table
-    keeps that between steps); each step sends the driver at most parts partial sums of
-    width * (width + 1) + 1 numbers."""
+    keeps that between steps); each step sends the driver parts partial sums of width * (width + 1) + 1
+    numbers.  parts is the number of pieces in which the rows fit workers' memory."""
     from ..sources.tables import materialize
 
-    n = min(parts, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    n = parts
     w = Window.partitionBy(*scan)
     dealt = materialize(rows.withColumn("_part", F.pmod(F.xxhash64(*scan), F.lit(n))).withColumn("total", F.max("total").over(w)), "glm-rows")
 
     def sums(beta):
-        def part(frames):
-            z, h, dev, seen = np.zeros(width), np.zeros((width, width)), 0.0, False
-            for f in frames:
-                a, b, d = _step(_spectra(f, scan, width), beta)
-                if len(a):
-                    z, h, dev, seen = z + a, h + b, dev + d, True
-            if seen:
-                yield pd.DataFrame({"s": [[*z, *h.ravel(), dev]]})
-
-        grouped = dealt.groupBy("_part", *scan).applyInPandas(lambda f: next(part([f]), pd.DataFrame({"s": []})).assign(_part=f["_part"].iloc[0]), "s array<double>, _part long")
-        added = grouped.groupBy("_part").applyInPandas(lambda f: pd.DataFrame({"s": [np.sum(np.stack(f["s"]), axis=0).tolist()]}), "s array<double>")
+        def part(f: pd.DataFrame) -> pd.DataFrame:
+            z, h, dev = _step(_spectra(f, scan), beta, width)
+            return pd.DataFrame({"s": [[*z, *h.ravel(), dev]]})
+
+        added = dealt.groupBy("_part").applyInPandas(part, "s array<double>")
         total = np.sum([np.array(r.s) for r in added.collect()], axis=0)
         return total[:width], total[width:-1].reshape(width, width), float(total[-1])
 
