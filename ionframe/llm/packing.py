@@ -19,8 +19,8 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -84,14 +84,15 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, slack: int = SL
 
 def _best_fit(capacity: int):
     def run(batches):
-        frames = [b.to_pandas() for b in batches]
-        if not frames:
+        given = list(batches)
+        if not given:
             return
-        p = pd.concat(frames).sort_values(["length", "doc_id", "start", "row"], ascending=[False, True, True, True])
+        p = pa.Table.from_batches(given)
+        p = p.take(pc.sort_indices(p, sort_keys=[("length", "descending"), ("doc_id", "ascending"), ("start", "ascending"), ("row", "ascending")]))
         room = np.empty(len(p), np.int64)
         used = 0
         seq, offset = np.empty(len(p), np.int64), np.empty(len(p), np.int64)
-        for i, size in enumerate(p["length"].to_numpy()):
+        for i, size in enumerate(p["length"].to_pylist()):
             free = room[:used]
             fits = free >= size
             if fits.any():
@@ -101,8 +102,8 @@ def _best_fit(capacity: int):
                 room[j] = capacity
             seq[i], offset[i] = j, capacity - room[j]
             room[j] -= size
-        p["sequence_id"], p["offset"] = seq, offset
-        yield pa.RecordBatch.from_pandas(p[["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]], preserve_index=False)
+        names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+        yield pa.record_batch([*(p[n].combine_chunks() for n in names), pa.array(seq), pa.array(offset)], names=[*names, "sequence_id", "offset"])
 
     return run
 
