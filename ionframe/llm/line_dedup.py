@@ -4,11 +4,19 @@ Lines are normalised (lower case, runs of ASCII characters other than letters an
 one blank) and equal ones become one node.  A node has the 64-bit SimHash of its word pairs
 (each word with the next; the last alone): single words are so common that unrelated lines
 would have near fingerprints, and the more so the more lines there are.  Two
-nodes are linked if their fingerprints differ in at most MAX_BITS bits and the edit
-similarity of their normalised lines is at least SIMILARITY; of every connected group the
-first occurrence (least doc_id, then line number) is kept.
-
-Candidates meet in pigeonhole blocks: the fingerprint is cut into b blocks, of which at most
+nodes are linked if they are candidates and the edit similarity of their normalised lines is
+at least SIMILARITY; of every connected group the first occurrence (least doc_id, then line
+number) is kept.  Candidates are pairs
+
+- whose fingerprints differ in at most MAX_BITS bits (one changed word moves more than that in
+  most lines, so this index alone misses most fuzzy copies), or
+- whose sketches agree in one triple of TRIPLES and whose fingerprints differ in at most
+  WIDE_BITS bits; a sketch has nine minima of the word pairs' hashes, each equal in two lines
+  with the probability of their word pairs' Jaccard index, or
+- of at most SHORT_WORDS words that are equal after one word is taken out of one or both, or
+- of at most SHORT_CHARS characters: all that edits of that similarity can link.
+
+Fingerprints meet in pigeonhole blocks: the fingerprint is cut into b blocks, of which at most
 MAX_BITS differ, so each choice of b - MAX_BITS blocks is an index key and a pair agrees on
 one of them.  b is the least for which the keys have a few bits more than there are nodes to
 tell apart, so that chance meetings stay in proportion to the input.
@@ -30,12 +38,22 @@ from .common import connected_components, materialize
 
 MAX_BITS = 3
 SIMILARITY = 0.8
+#: Bits by which fingerprints of lines with a common triple may differ: unrelated ones differ
+#: in 32 +- 4, lines with a Jaccard index of 0.45 in some 20.
+WIDE_BITS = 26
+#: The lines of the affine plane of nine points: any five points hold one.
+TRIPLES = [(0, 1, 2), (3, 4, 5), (6, 7, 8), (0, 3, 6), (1, 4, 7), (2, 5, 8), (0, 4, 8), (1, 5, 6), (2, 3, 7), (0, 5, 7), (1, 3, 8), (2, 4, 6)]
+SHORT_WORDS = 9
+SHORT_CHARS = 14
 #: Most places of candidate lines that are broadcast to the scan that fetches their texts
 #: (some 30 bytes each); beyond it the texts are joined by a shuffle.
 BROADCAST_PLACES = 500_000
 #: Words that are counted together: the bytes of a counter hold so many without a sign bit.
 _PART = 126
 _ONES = 0x0101010101010101
+#: A minimum of the sketch has so many bits; three lie in a long.
+_SKETCH_BITS = 21
+_FLIPS = [(0x9E3779B97F4A7C15 * (k + 1) % 2**64) - 2**63 for k in range(9)]
 
 
 def _words(line: str) -> str:
@@ -56,8 +74,9 @@ def _majority_short() -> str:
 
 
 def lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, pos, k1, k2, fp) for every line that has a letter, digit or non-ASCII
-    character; k1, k2 identify the normalised line.  Lines are split at \\n, pos is from 0.
+    """(doc_id, pos, k1, k2, fp, s0, s1, s2, n) for every line that has a letter, digit or
+    non-ASCII character; k1, k2 identify the normalised line, s0..s2 hold its sketch, n is its
+    number of words.  Lines are split at \\n, pos is from 0.
 
     The hash of a word pair adds one to the counters of its bits; eight counters lie in the bytes of a
     long, so a row of eight sums counts all 64 bits.  The sums are made where the words are
@@ -71,18 +90,27 @@ def lines(docs: DataFrame) -> DataFrame:
     x = w.select("row", "doc_id", "pos", "k1", "k2", "n", "w", F.posexplode("w").alias("i", "word"))
     x = x.select("row", "doc_id", "pos", "k1", "k2", "n", F.expr(f"i div {_PART}").alias("part"), F.xxhash64("word", F.get("w", F.col("i") + 1)).alias("h"))
     sums = [F.sum(F.shiftrightunsigned("h", k).bitwiseAND(F.lit(_ONES))).alias(f"a{k}") for k in range(8)]
-    parts = x.groupBy("row", "doc_id", "pos", "k1", "k2", "part").agg(*sums, F.max("n").alias("n"))
+    least = [F.min(F.shiftrightunsigned(F.col("h").bitwiseXOR(F.lit(c)), 64 - _SKETCH_BITS)).alias(f"q{k}") for k, c in enumerate(_FLIPS)]
+    parts = x.groupBy("row", "doc_id", "pos", "k1", "k2", "part").agg(*sums, *least, F.max("n").alias("n"))
     # one pass: the counters stay only where a line has several parts
     is_short = F.col("n") <= _PART
-    parts = parts.select("row", "doc_id", "pos", "k1", "k2", "n", F.when(is_short, F.expr(_majority_short())).alias("fp"), *(F.when(~is_short, F.col(f"a{k}")).alias(f"a{k}") for k in range(8)))
+    parts = parts.select("row", "doc_id", "pos", "k1", "k2", "n", F.when(is_short, F.expr(_majority_short())).alias("fp"), *(F.when(~is_short, F.col(f"a{k}")).alias(f"a{k}") for k in range(8)), *_packed())
     parts = materialize(parts, "line-parts")
-    short = parts.where(is_short).select("doc_id", "pos", "k1", "k2", "fp")
+    short = parts.where(is_short).select("doc_id", "pos", "k1", "k2", "fp", "s0", "s1", "s2", "n")
     wide = [F.sum(F.expr(f"shiftrightunsigned(a{k}, {8 * j}) & 255L")).alias(f"b{8 * j + k}") for k in range(8) for j in range(8)]
-    long = parts.where(~is_short).groupBy("row", "doc_id", "pos", "k1", "k2").agg(*wide, F.max("n").alias("n"))
-    long = long.select("doc_id", "pos", "k1", "k2", F.expr(" | ".join(f"if(2 * b{b} > n, shiftleft(1L, {b}), 0L)" for b in range(64))).alias("fp"))
+    long = parts.where(~is_short).groupBy("row", "doc_id", "pos", "k1", "k2").agg(*wide, *(F.min(_unpacked(k)).alias(f"q{k}") for k in range(9)), F.max("n").alias("n"))
+    long = long.select("doc_id", "pos", "k1", "k2", F.expr(" | ".join(f"if(2 * b{b} > n, shiftleft(1L, {b}), 0L)" for b in range(64))).alias("fp"), *_packed(), "n")
     return short.unionByName(long)
 
 
+def _packed():
+    return [F.expr(" | ".join(f"shiftleft(q{3 * i + k}, {_SKETCH_BITS * k})" for k in range(3))).alias(f"s{i}") for i in range(3)]
+
+
+def _unpacked(k: int):
+    return F.shiftrightunsigned(f"s{k // 3}", _SKETCH_BITS * (k % 3)).bitwiseAND(F.lit((1 << _SKETCH_BITS) - 1))
+
+
 def _keys(words: str):
     return F.expr(f"xxhash64({words})").alias("k1"), F.expr(f"xxhash64(1L, {words})").alias("k2")
 
@@ -101,11 +129,32 @@ def _index(nodes: DataFrame, b: int) -> DataFrame:
     keys = []
     for no, chosen in enumerate(itertools.combinations(range(b), b - MAX_BITS)):
         keys.append(F.xxhash64(F.lit(no), *(piece[i] for i in chosen)))
-    return nodes.select(F.explode(F.array(*keys)).alias("key"), "fp", F.col("k1").alias("node"))
+    wide = [F.xxhash64(F.lit(-1 - no), *(_unpacked(k) for k in t)) for no, t in enumerate(TRIPLES)]
+    of = lambda keys, bits: nodes.select(F.explode(F.array(*keys)).alias("key"), "fp", F.col("k1").alias("node"), F.lit(bits).cast("byte").alias("bits"))
+    return of(keys, MAX_BITS).unionByName(of(wide, WIDE_BITS))
+
+
+def _short_index(nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Keys of the lines of few words or characters: what is left without one word, or after
+    every choice of as many deletions as the similarity allows edits."""
+    short = materialize(nodes.where(F.col("n_words") <= SHORT_WORDS), "line-short")
+    t = _texts(short.select(F.col("k1").alias("node")), short, docs).withColumn("line", F.array_join("words", " "))
+    words = F.expr("array_append(transform(sequence(0, size(words) - 1), i -> xxhash64(-100L, concat(slice(words, 1, i), slice(words, i + 2, size(words))))), xxhash64(-100L, words))")
+    drop = "flatten(transform({0}, v -> transform(sequence(1, greatest(1, char_length(v))), i -> concat(substring(v, 1, i - 1), substring(v, i + 1)))))"
+    # up to 4 characters allow no edit, up to 9 one and up to 14 two
+    t = t.withColumn("d0", F.when(F.char_length("line").between(5, SHORT_CHARS), F.array("line")))
+    t = t.withColumn("d1", F.expr(f"array_distinct({drop.format('d0')})"))
+    t = t.withColumn("d2", F.when(F.char_length("line") > 9, F.expr(f"array_distinct({drop.format('d1')})")))
+    none = F.array().cast("array<string>")
+    chars = F.concat(*(F.coalesce(F.col(c), none) for c in ("d0", "d1", "d2")))
+    # without its only word every line would be the same
+    keys = F.concat(F.when(F.size("words") > 1, words).otherwise(F.array().cast("array<long>")), F.transform(chars, lambda v: F.xxhash64(F.lit(-101), v)))
+    t = t.select("node", F.explode(F.array_distinct(keys)).alias("key"))
+    return t.join(short.select(F.col("k1").alias("node"), "fp"), "node").select("key", "fp", "node", F.lit(64).cast("byte").alias("bits"))
 
 
 def _near(a: str, b: str):
-    return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= MAX_BITS
+    return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= F.col("bits")
 
 
 def _texts(wanted: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
@@ -152,25 +201,25 @@ def line_classes(docs: DataFrame) -> DataFrame:
     doc_id are taken for the same document: their lines of one number share one fate.
     """
     found = materialize(lines(docs), "lines")
-    nodes = found.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("n"), F.min("fp").alias("fp"))
+    nodes = found.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("n"), F.min("fp").alias("fp"), *(F.min(f"s{i}").alias(f"s{i}") for i in range(3)), F.min("n").alias("n_words"))
     nodes = materialize(nodes, "line-nodes")
     in_key = Window.partitionBy("key")
     ordered = in_key.orderBy("fp", "node")
-    index = _index(nodes, blocks(nodes.count())).select(
-        "key", "fp", "node", F.count("*").over(in_key).alias("size"), F.first("node").over(ordered).alias("hub"), F.first("fp").over(ordered).alias("hub_fp"),
+    index = _index(nodes, blocks(nodes.count())).unionByName(_short_index(nodes, docs)).select(
+        "key", "fp", "node", "bits", F.count("*").over(in_key).alias("size"), F.first("node").over(ordered).alias("hub"), F.first("fp").over(ordered).alias("hub_fp"),
         F.lag("node").over(ordered).alias("prev"), F.lag("fp").over(ordered).alias("prev_fp"),
     )
     hub = F.when((F.col("node") != F.col("hub")) & _near("fp", "hub_fp"), F.col("hub")).alias("hub")
     prev = F.when(_near("fp", "prev_fp"), F.col("prev")).alias("prev")
-    met = index.where("size > 1").select("key", "fp", "node", (F.col("size") > 2).alias("more"), hub, prev)
+    met = index.where("size > 1").select("key", "fp", "node", "bits", (F.col("size") > 2).alias("more"), hub, prev)
     met = materialize(met.where("more or hub is not null or prev is not null"), "line-index")
     near = met.where("hub is not null or prev is not null").select("node", F.explode(F.array("hub", "prev")).alias("b")).where("b is not null")
     edges = materialize(_verified(near.select(F.col("node").alias("a"), "b"), nodes, docs), "line-edges")
     groups = connected_components(edges)
     # members of a bucket that are in different groups still; buckets of two are done
-    more = met.where("more").select("key", "fp", "node").join(groups, "node", "left").select("key", "fp", "node", F.coalesce("component", "node").alias("g"))
-    more = more.withColumn("mixed", F.min("g").over(in_key) != F.max("g").over(in_key)).where("mixed").select("key", "fp", "node", "g")
-    x = more.select("key", F.col("fp").alias("fa"), F.col("node").alias("a"), F.col("g").alias("ga"))
+    more = met.where("more").select("key", "fp", "node", "bits").join(groups, "node", "left").select("key", "fp", "node", "bits", F.coalesce("component", "node").alias("g"))
+    more = more.withColumn("mixed", F.min("g").over(in_key) != F.max("g").over(in_key)).where("mixed").select("key", "fp", "node", "bits", "g")
+    x = more.select("key", F.col("fp").alias("fa"), F.col("node").alias("a"), F.col("g").alias("ga"), "bits")
     y = more.select("key", F.col("fp").alias("fb"), F.col("node").alias("b"), F.col("g").alias("gb"))
     late = x.join(y, (x["key"] == y["key"]) & (F.col("a") < F.col("b")) & (F.col("ga") != F.col("gb")) & _near("fa", "fb")).select("a", "b")
     late = materialize(late.distinct(), "line-late")

@@ -112,6 +112,22 @@ def test_line_fingerprints(spark):
         assert got[i] == sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
+def test_changed_lines_are_linked(spark):
+    r, texts = random.Random(5), []
+    for n in [*range(2, 12)] * 4 + [20, 30, 60, 120, 200] * 8:
+        words = ["".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(3, 7))) for _ in range(n)]
+        k = max(range(n), key=lambda i: -len(words[i])) if n < 6 else r.randrange(n)
+        other = words[k][:-1] + "z" if n < 6 else "zzzz"
+        changed = " ".join(other if i == k else w for i, w in enumerate(words))
+        if n < 6 or len(words[k]) <= 0.2 * len(changed):
+            texts.append((" ".join(words), changed))
+    texts += [("abcdefghij", "abcdxfghiyj"), ("abcde", "abcdx"), ("kmnopqrst", "kmnpqrst")]
+    docs = spark.createDataFrame([(2 * i + j, t) for i, two in enumerate(texts) for j, t in enumerate(two)], "doc_id long, text string")
+    got = {x.doc_id: x.class_doc_id for x in line_dedup.line_classes(docs).collect()}
+    missed = [two for i, two in enumerate(texts) if got.get(2 * i + 1) != 2 * i]
+    assert not missed
+
+
 def test_dedup_lines_keeps_rows_and_columns(awkward, empty):
     out = line_dedup.dedup_lines(awkward)
     assert out.columns == awkward.columns and out.count() == awkward.count()
