@@ -235,3 +235,29 @@ def test_streaming_counters(spark, tmp_path):
     r.processAllAvailable()
     r.stop()
     assert spark.sql("select sum(on_count + off_count) from rates").first()[0] == 100
+
+
+def test_distance_correlation_of_any_group(spark):
+    """Against whole distance matrices, of a group of more rows than one used to take as well."""
+    rng = np.random.default_rng(3)
+    groups = {1: (rng.normal(size=300), rng.normal(size=300)), 2: (rng.integers(0, 6, 200) * 1.0, rng.integers(0, 4, 200) * 0.1), 3: (np.ones(5), np.arange(5.0)), 4: (np.array([1.0]), np.array([2.0]))}
+    x = rng.integers(0, 50, 5200) * 1.0
+    groups[5] = (x, x * rng.integers(0, 3, 5200))
+    df = spark.createDataFrame([(g, float(u), float(v)) for g, (us, vs) in groups.items() for u, v in zip(us, vs)], "g long, u double, v double")
+    got = {r.g: r.dcor for r in select.distance_correlation(df, ["g"], "u", "v", "g long").collect()}
+    for g, (u, v) in groups.items():
+        a, b = (d - d.mean(0) - d.mean(1)[:, None] + d.mean() for d in (abs(w[:, None] - w) for w in (u, v)))
+        if g in (3, 4):
+            assert got[g] is None or math.isnan(got[g])
+        else:
+            assert got[g] == pytest.approx(math.sqrt((a * b).mean() / math.sqrt((a * a).mean() * (b * b).mean())), abs=1e-9)
+
+
+def test_distcorr_of_all_suppliers(spark, duck):
+    from ionframe.plans import registry
+    from tests.conftest import DATA
+
+    got = {r.g: r.dcor for r in registry.queries()["s_distcorr"](spark, DATA).collect()}
+    assert set(got) == {g for (g,) in duck.sql("select distinct l_suppkey from lineitem").fetchall()}
+    for g, dcor in duck.sql(registry.oracle_sql()["s_distcorr"]).fetchall():
+        assert got[g] == pytest.approx(dcor, abs=1.1e-5, nan_ok=True)
