@@ -165,7 +165,7 @@ select p_partkey, charge, coalesce(i, 1.0) as intensity from f cross join (selec
 def j_all_products(spark, d):
     from ..functions.chem import all_products
 
-    f = table(spark, d, "part").where("p_size <= 10").select("p_partkey")
+    f = table(spark, d, "part").select("p_partkey")
     m = table(spark, d, "lineitem").select(F.col("l_partkey").alias("p_partkey"), F.col("l_linenumber").alias("charge"), F.col("l_extendedprice").alias("intensity"))
     return all_products(f, m, ["p_partkey"]).select("p_partkey", F.col("charge").cast(L).alias("charge"), "intensity")
 

@@ -105,7 +105,7 @@ _EDGES = """e as (select l_suppkey as scan, l_partkey % 50 as own, l_orderkey %
 g as (select scan, own, product(mu) as a, product(nu) as b from b where r = 1 and mu > 0 group by all)
 select scan, own, round(0.3 * a / (0.3 * a + 0.7 * b), 6) as probability from g""")
 def a_posterior(spark, d):
-    e = table(spark, d, "lineitem").where("l_linenumber <= 3").select(
+    e = table(spark, d, "lineitem").select(
         F.col("l_suppkey").alias("scan"), (F.col("l_partkey") % 50).alias("own"), (F.col("l_orderkey") % 60).alias("other"), F.col("l_orderkey").alias("ok"), F.col("l_linenumber").alias("ln"), F.col("l_extendedprice").alias("x"),
         F.when(F.col("l_tax") == 0.08, 0.0).otherwise(0.2 + F.col("l_tax")).alias("mu"), (0.1 + F.col("l_discount")).alias("nu"),
     )
@@ -118,7 +118,7 @@ select l_orderkey, l_linenumber, l_partkey, round(case when l_returnflag = 'R' t
 from lineitem left join s on scan = l_suppkey and own = l_partkey % 50""")
 def a_reliability(spark, d):
     li = table(spark, d, "lineitem")
-    e = li.where("l_linenumber <= 3").select(F.col("l_suppkey").alias("scan"), (F.col("l_partkey") % 50).alias("own"), F.when(F.col("l_tax") == 0.08, 0.0).otherwise(0.2 + F.col("l_tax")).alias("mu"))
+    e = li.select(F.col("l_suppkey").alias("scan"), (F.col("l_partkey") % 50).alias("own"), F.when(F.col("l_tax") == 0.08, 0.0).otherwise(0.2 + F.col("l_tax")).alias("mu"))
     s = e.groupBy("scan", "own").agg(F.avg("mu").alias("probability"))
     m = li.withColumns({"scan": F.col("l_suppkey"), "own": F.col("l_partkey") % 50})
     out = relations.with_reliability(m, s, ["scan", "own"], 0.5, F.col("l_returnflag") == "R", 0.5)
