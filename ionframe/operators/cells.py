@@ -114,6 +114,8 @@ def adjacent(cells: DataFrame, width: int = 10, charge: str = "charge") -> DataF
 
 
 def partition_key(cells: DataFrame, columns: list[str]) -> DataFrame:
-    """A dense number from 0 of the distinct cells in order; a grid bounds the rows of the window."""
-    keys = cells.select(*columns).distinct().limit(MOST_CELLS)
+    """A dense number from 0 of the distinct cells in order; more than a grid may have are an error."""
+    keys = cells.select(*columns).distinct()
+    if keys.limit(MOST_CELLS + 1).count() > MOST_CELLS:
+        raise ValueError(f"there are more than {MOST_CELLS} different cells")
     return cells.join(F.broadcast(keys.withColumn("partition_key", F.dense_rank().over(Window.orderBy(*columns)) - 1)), columns)

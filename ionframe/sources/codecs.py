@@ -35,10 +35,16 @@ def unpack_scores(data: bytes) -> tuple[float, ...]:
     return _SCORE_SET.unpack(data)
 
 
+#: Most rows of a model table that go into one document.
+MOST_MODELS = 100_000
+
+
 def model_document(models: DataFrame, metadata: dict) -> str:
     """The JSON text of a model table (one row for each cell: spec and fit structs); a table has
     at most as many rows as the grid has cells."""
-    rows = models.select(F.to_json("spec").alias("s"), F.to_json("fit").alias("f")).limit(100_000).collect()
+    rows = models.select(F.to_json("spec").alias("s"), F.to_json("fit").alias("f")).limit(MOST_MODELS + 1).collect()
+    if len(rows) > MOST_MODELS:
+        raise ValueError(f"a model table has more than {MOST_MODELS} rows")
     return json.dumps({"metadata": metadata, "models": [[json.loads(r.s), json.loads(r.f)] for r in rows]}, sort_keys=True, indent=2)
 
 

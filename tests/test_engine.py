@@ -277,3 +277,14 @@ def test_query_takes_whole_tables(spark, duck, name, cut):
     assert len(got) == len(want)
     for g, w in zip(sorted(map(tuple, got)), sorted(want)):
         assert g[:key] == w[:key] and g[key] == pytest.approx(w[key], abs=1.1e-6)
+
+
+def test_too_many_cells_or_models_are_an_error(spark, monkeypatch):
+    df = spark.range(3).selectExpr("id as a", "struct(id) as spec", "struct(id) as fit")
+    monkeypatch.setattr(cells, "MOST_CELLS", 2)
+    monkeypatch.setattr(codecs, "MOST_MODELS", 2, raising=False)
+    with pytest.raises(ValueError):
+        cells.partition_key(df, ["a"])
+    with pytest.raises(ValueError):
+        codecs.model_document(df, {})
+    assert sorted(r.partition_key for r in cells.partition_key(df.where("a < 2"), ["a"]).collect()) == [0, 1]
