@@ -1,12 +1,12 @@
 """Fuzzy line deduplication in DataFrame expressions only.
 
 Lines are normalised (lower case, runs of ASCII characters other than letters and digits to
-one blank) and equal ones become one node.  A node has the 64-bit SimHash of its word pairs
-(each word with the next; the last alone): single words are so common that unrelated lines
-would have near fingerprints, and the more so the more lines there are.  Two
-nodes are linked if they are candidates and the edit similarity of their normalised lines is
-at least SIMILARITY; of every connected group the first occurrence (least doc_id, then line
-number) is kept.  Candidates are pairs
+one blank) and equal ones become one node, numbered where it is written.  A node has the
+64-bit SimHash of its word pairs (each word with the next; the last alone): single words are
+so common that unrelated lines would have near fingerprints, and the more so the more lines
+there are.  Two nodes are linked if they are candidates and the edit similarity of their
+normalised lines is at least SIMILARITY; of every connected group the first occurrence (least
+doc_id, then line number) is kept.  Candidates are pairs
 
 - whose fingerprints differ in at most MAX_BITS bits (one changed word moves more than that in
   most lines, so this index alone misses most fuzzy copies), or
@@ -23,8 +23,12 @@ tell apart, so that chance meetings stay in proportion to the input.
 
 No bucket is expanded into all its pairs.  First each member is compared with the bucket's
 first and with its predecessor; after the groups of those links are known, only members of
-one bucket that are still in different groups are compared.  A pair that was skipped is in
-one group already, so no link between groups is lost.
+one bucket that are still in different groups are compared, in chunks of LONG_BUCKET members
+by LONG_BUCKET, each pair of chunks on its own.  A pair that was skipped is in one group
+already, so no link between groups is lost.
+
+A line is known by its row (numbered where the lines are written, so equal rows differ) and
+its place in the row's text.
 """
 
 from __future__ import annotations
@@ -46,8 +50,10 @@ TRIPLES = [(0, 1, 2), (3, 4, 5), (6, 7, 8), (0, 3, 6), (1, 4, 7), (2, 5, 8), (0,
 SHORT_WORDS = 9
 SHORT_CHARS = 14
 #: Most places of candidate lines that are broadcast to the scan that fetches their texts
-#: (some 30 bytes each); beyond it the texts are joined by a shuffle.
+#: (some 40 bytes each); beyond it the texts are joined by a shuffle.
 BROADCAST_PLACES = 500_000
+#: Members of a chunk in which the members of a bucket are compared.
+LONG_BUCKET = 1000
 #: Words that are counted together: the bytes of a counter hold so many without a sign bit.
 _PART = 126
 _ONES = 0x0101010101010101
@@ -73,33 +79,44 @@ def _majority_short() -> str:
     )
 
 
+def _documents(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, text): the hash tells texts of one doc_id apart."""
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return d.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+
+
+_LINE = ["row", "doc_id", "text_hash", "pos", "k1", "k2", "short", "n"]
+
+
 def lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, pos, k1, k2, fp, s0, s1, s2, n) for every line that has a letter, digit or
-    non-ASCII character; k1, k2 identify the normalised line, s0..s2 hold its sketch, n is its
-    number of words.  Lines are split at \\n, pos is from 0.
+    """(row, doc_id, text_hash, pos, k1, k2, short, n, fp, s0, s1, s2) for every line that has a
+    letter, digit or non-ASCII character; k1, k2 identify the normalised line, short is the line
+    itself where it has at most SHORT_WORDS words, n is its number of words, s0..s2 hold its
+    sketch.  Lines are split at \\n, pos is from 0.
 
     The hash of a word pair adds one to the counters of its bits; eight counters lie in the bytes of a
     long, so a row of eight sums counts all 64 bits.  The sums are made where the words are
     (before the shuffle), in parts of _PART words.
     """
-    d = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    e = d.select("row", "doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    w = e.select("row", "doc_id", "pos", F.expr(_words("line")).alias("w")).where("size(w) > 0")
+    # rows are numbered below the generator, which would number the lines
+    d = _documents(docs).withColumn("row", F.monotonically_increasing_id())
+    e = d.select("row", "doc_id", "text_hash", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    w = e.select("row", "doc_id", "text_hash", "pos", F.expr(_words("line")).alias("w")).where("size(w) > 0")
     # keys and size before the words are exploded: beside the generator they'd be computed for each word
-    w = w.select("row", "doc_id", "pos", "w", *_keys("w"), F.size("w").alias("n"))
-    x = w.select("row", "doc_id", "pos", "k1", "k2", "n", "w", F.posexplode("w").alias("i", "word"))
-    x = x.select("row", "doc_id", "pos", "k1", "k2", "n", F.expr(f"i div {_PART}").alias("part"), F.xxhash64("word", F.get("w", F.col("i") + 1)).alias("h"))
+    w = w.select("row", "doc_id", "text_hash", "pos", "w", *_keys("w"), F.when(F.size("w") <= SHORT_WORDS, F.array_join("w", " ")).alias("short"), F.size("w").alias("n"))
+    x = w.select(*_LINE, "w", F.posexplode("w").alias("i", "word"))
+    x = x.select(*_LINE, F.expr(f"i div {_PART}").alias("part"), F.xxhash64("word", F.get("w", F.col("i") + 1)).alias("h"))
     sums = [F.sum(F.shiftrightunsigned("h", k).bitwiseAND(F.lit(_ONES))).alias(f"a{k}") for k in range(8)]
     least = [F.min(F.shiftrightunsigned(F.col("h").bitwiseXOR(F.lit(c)), 64 - _SKETCH_BITS)).alias(f"q{k}") for k, c in enumerate(_FLIPS)]
-    parts = x.groupBy("row", "doc_id", "pos", "k1", "k2", "part").agg(*sums, *least, F.max("n").alias("n"))
+    parts = x.groupBy(*_LINE, "part").agg(*sums, *least)
     # one pass: the counters stay only where a line has several parts
     is_short = F.col("n") <= _PART
-    parts = parts.select("row", "doc_id", "pos", "k1", "k2", "n", F.when(is_short, F.expr(_majority_short())).alias("fp"), *(F.when(~is_short, F.col(f"a{k}")).alias(f"a{k}") for k in range(8)), *_packed())
+    parts = parts.select(*_LINE, F.when(is_short, F.expr(_majority_short())).alias("fp"), *(F.when(~is_short, F.col(f"a{k}")).alias(f"a{k}") for k in range(8)), *_packed())
     parts = materialize(parts, "line-parts")
-    short = parts.where(is_short).select("doc_id", "pos", "k1", "k2", "fp", "s0", "s1", "s2", "n")
+    short = parts.where(is_short).select(*_LINE, "fp", "s0", "s1", "s2")
     wide = [F.sum(F.expr(f"shiftrightunsigned(a{k}, {8 * j}) & 255L")).alias(f"b{8 * j + k}") for k in range(8) for j in range(8)]
-    long = parts.where(~is_short).groupBy("row", "doc_id", "pos", "k1", "k2").agg(*wide, *(F.min(_unpacked(k)).alias(f"q{k}") for k in range(9)), F.max("n").alias("n"))
-    long = long.select("doc_id", "pos", "k1", "k2", F.expr(" | ".join(f"if(2 * b{b} > n, shiftleft(1L, {b}), 0L)" for b in range(64))).alias("fp"), *_packed(), "n")
+    long = parts.where(~is_short).groupBy(*_LINE).agg(*wide, *(F.min(_unpacked(k)).alias(f"q{k}") for k in range(9)))
+    long = long.select(*_LINE, F.expr(" | ".join(f"if(2 * b{b} > n, shiftleft(1L, {b}), 0L)" for b in range(64))).alias("fp"), *_packed())
     return short.unionByName(long)
 
 
@@ -123,22 +140,27 @@ def blocks(n: int) -> int:
     return b
 
 
+def _bits(key: str):
+    """The most bits by which fingerprints under a key may differ; the key's low bits tell it."""
+    return F.expr(f"case {key} & 3 when 0 then {MAX_BITS} when 1 then {WIDE_BITS} else 64 end")
+
+
+def _key(kind: int, *cols):
+    return F.xxhash64(*cols).bitwiseAND(F.lit(~3)).bitwiseOR(F.lit(kind))
+
+
 def _index(nodes: DataFrame, b: int) -> DataFrame:
     edges = [64 * i // b for i in range(b + 1)]
     piece = [F.shiftrightunsigned("fp", lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)) for lo, hi in zip(edges[:-1], edges[1:])]
-    keys = []
-    for no, chosen in enumerate(itertools.combinations(range(b), b - MAX_BITS)):
-        keys.append(F.xxhash64(F.lit(no), *(piece[i] for i in chosen)))
-    wide = [F.xxhash64(F.lit(-1 - no), *(_unpacked(k) for k in t)) for no, t in enumerate(TRIPLES)]
-    of = lambda keys, bits: nodes.select(F.explode(F.array(*keys)).alias("key"), "fp", F.col("k1").alias("node"), F.lit(bits).cast("byte").alias("bits"))
-    return of(keys, MAX_BITS).unionByName(of(wide, WIDE_BITS))
+    keys = [_key(0, F.lit(no), *(piece[i] for i in chosen)) for no, chosen in enumerate(itertools.combinations(range(b), b - MAX_BITS))]
+    keys += [_key(1, F.lit(-1 - no), *(_unpacked(k) for k in t)) for no, t in enumerate(TRIPLES)]
+    return nodes.select(F.explode(F.array(*keys)).alias("key"), "node")
 
 
-def _short_index(nodes: DataFrame, docs: DataFrame) -> DataFrame:
+def _short_index(nodes: DataFrame) -> DataFrame:
     """Keys of the lines of few words or characters: what is left without one word, or after
     every choice of as many deletions as the similarity allows edits."""
-    short = materialize(nodes.where(F.col("n_words") <= SHORT_WORDS), "line-short")
-    t = _texts(short.select(F.col("k1").alias("node")), short, docs).withColumn("line", F.array_join("words", " "))
+    t = nodes.where("short is not null").select("node", F.col("short").alias("line"), F.split("short", " ").alias("words"))
     words = F.expr("array_append(transform(sequence(0, size(words) - 1), i -> xxhash64(-100L, concat(slice(words, 1, i), slice(words, i + 2, size(words))))), xxhash64(-100L, words))")
     drop = "flatten(transform({0}, v -> transform(sequence(1, greatest(1, char_length(v))), i -> concat(substring(v, 1, i - 1), substring(v, i + 1)))))"
     # up to 4 characters allow no edit, up to 9 one and up to 14 two
@@ -149,27 +171,22 @@ def _short_index(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     chars = F.concat(*(F.coalesce(F.col(c), none) for c in ("d0", "d1", "d2")))
     # without its only word every line would be the same
     keys = F.concat(F.when(F.size("words") > 1, words).otherwise(F.array().cast("array<long>")), F.transform(chars, lambda v: F.xxhash64(F.lit(-101), v)))
-    t = t.select("node", F.explode(F.array_distinct(keys)).alias("key"))
-    return t.join(short.select(F.col("k1").alias("node"), "fp"), "node").select("key", "fp", "node", F.lit(64).cast("byte").alias("bits"))
-
-
-def _near(a: str, b: str):
-    return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= F.col("bits")
+    return t.select(F.explode(F.array_distinct(F.transform(keys, lambda k: k.bitwiseAND(F.lit(~3)).bitwiseOR(F.lit(2))))).alias("key"), "node")
 
 
 def _texts(wanted: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """(node, words) of the wanted nodes, read again where they first occur."""
-    places = nodes.join(wanted.distinct(), nodes["k1"] == F.col("node"), "left_semi").select("k1", "k2", "first.doc_id", "first.pos")
+    places = nodes.join(wanted.distinct(), "node", "left_semi").select("node", "k1", "k2", "first.doc_id", "first.text_hash", "first.pos")
     places = materialize(places, "line-places")
-    at = places.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "k1", "k2")).alias("at")).withColumnRenamed("doc_id", "_doc")
+    at = places.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("pos", "k1", "k2", "node")).alias("at"))
+    at = at.select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"), "at")
     if places.count() <= BROADCAST_PLACES:
         at = F.broadcast(at)
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    t = d.join(at, F.col("doc_id").eqNullSafe(F.col("_doc"))).select(F.split("text", "\n").alias("l"), F.explode("at").alias("p"))
-    t = t.select("p.k1", "p.k2", F.expr(_words("get(l, p.pos)")).alias("words"))
-    # rows that repeat an id with another text are told apart by the line's own keys
-    t = t.where("xxhash64(words) = k1 and xxhash64(1L, words) = k2")
-    return materialize(t.dropDuplicates(["k1", "k2"]).select(F.col("k1").alias("node"), "words"), "line-texts")
+    t = _documents(docs).join(at, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("text_hash") == F.col("_hash")))
+    t = t.select(F.split("text", "\n").alias("l"), F.explode("at").alias("p"))
+    t = t.select("p.node", "p.k1", "p.k2", F.expr(_words("get(l, p.pos)")).alias("words")).where("xxhash64(words) = k1 and xxhash64(1L, words) = k2")
+    # rows that are repeated give a text as often
+    return materialize(t.select("node", "words").dropDuplicates(["node"]), "line-texts")
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
@@ -177,9 +194,9 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
 
     Words that both lines begin and end with are taken off before the edit distance is
     computed, which does not change it; if one line has no other words, the distance is the
-    length of what the other has more, with its blank.
+    length of what the other has more, with its blank.  The distance is asked for with a
+    sixteenth and a quarter of the bound first: most copies are much nearer than that.
     """
-    pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "line-pairs")
     texts = _texts(pairs.select(F.explode(F.array("a", "b")).alias("node")), nodes, docs)
     j = pairs.join(texts.select(F.col("node").alias("a"), F.col("words").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("words").alias("y")), "b")
     length = "aggregate({0}, -1, (t, w) -> t + 1 + char_length(w))"
@@ -188,59 +205,106 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     j = j.withColumn("p", F.expr(f"int({same.format('x', 'y')})"))
     j = j.withColumn("s", F.expr(f"least(int({same.format('reverse(x)', 'reverse(y)')}), least(size(x), size(y)) - p)"))
     j = j.select("a", "b", "most", *(F.expr(f"array_join(slice({c}, p + 1, size({c}) - p - s), ' ')").alias(c) for c in "xy"))
-    near = "if(x = '' or y = '', greatest(char_length(x), char_length(y)) + 1 <= most, levenshtein(x, y, most) >= 0)"
+    near = "if(x = '' or y = '', greatest(char_length(x), char_length(y)) + 1 <= most, levenshtein(x, y, most div 16) >= 0 or levenshtein(x, y, most div 4) >= 0 or levenshtein(x, y, most) >= 0)"
     return j.where(F.expr(near)).select("a", "b")
 
 
-def line_classes(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_no, class_doc_id, class_line_no, kept) for every line whose class has
-    more than one occurrence; the class is named by its first occurrence, the only one kept.
+def _first_pairs(met: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs of each member with its bucket's first and with its predecessor whose
+    fingerprints are near enough for the key."""
+    pairs = met.select("key", "node", F.explode(F.array("hub", "prev")).alias("b")).where("b is not null and b <> node")
+    pairs = pairs.groupBy(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).agg(F.max(_bits("key")).alias("bits"))
+    fps = nodes.select("node", "fp")
+    pairs = pairs.join(fps.select(F.col("node").alias("a"), F.col("fp").alias("fa")), "a").join(fps.select(F.col("node").alias("b"), F.col("fp").alias("fb")), "b")
+    return pairs.where(F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= F.col("bits")).select("a", "b")
 
-    Null and empty texts have no lines to compare; lines without a letter, digit or non-ASCII
-    character are in no class.  A null doc_id is less than any other.  Rows that repeat a
-    doc_id are taken for the same document: their lines of one number share one fate.
-    """
+
+def _late_pairs(met: DataFrame, groups: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The near pairs of one bucket that lie in different groups, chunk by chunk."""
+    m = met.select("key", "node").join(groups, "node", "left").select("key", "node", F.coalesce("component", "node").alias("g"))
+    mixed = m.groupBy("key").agg(F.count("*").alias("size"), F.min("g").alias("lo"), F.max("g").alias("hi")).where("size > 2 and lo <> hi")
+    mixed = mixed.select("key", F.ceil(F.col("size") / LONG_BUCKET).cast("int").alias("chunks"))
+    m = m.join(mixed, "key").join(nodes.select("node", "fp"), "node").withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    m = materialize(m.withColumn("other", F.expr("sequence(0, chunks - 1)")), "line-mixed")
+    x = m.select("key", F.col("own").alias("i"), F.explode("other").alias("j"), F.col("node").alias("a"), F.col("g").alias("ga"), F.col("fp").alias("fa"))
+    y = m.select("key", F.explode("other").alias("i"), F.col("own").alias("j"), F.col("node").alias("b"), F.col("g").alias("gb"), F.col("fp").alias("fb"))
+    near = F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= _bits("key")
+    return x.join(y, ["key", "i", "j"]).where((F.col("a") < F.col("b")) & (F.col("ga") != F.col("gb")) & near).select("a", "b").distinct()
+
+
+def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The lines, and (k1, k2, head) of those whose class has more than one occurrence."""
     found = materialize(lines(docs), "lines")
-    nodes = found.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("n"), F.min("fp").alias("fp"), *(F.min(f"s{i}").alias(f"s{i}") for i in range(3)), F.min("n").alias("n_words"))
-    nodes = materialize(nodes, "line-nodes")
-    in_key = Window.partitionBy("key")
-    ordered = in_key.orderBy("fp", "node")
-    index = _index(nodes, blocks(nodes.count())).unionByName(_short_index(nodes, docs)).select(
-        "key", "fp", "node", "bits", F.count("*").over(in_key).alias("size"), F.first("node").over(ordered).alias("hub"), F.first("fp").over(ordered).alias("hub_fp"),
-        F.lag("node").over(ordered).alias("prev"), F.lag("fp").over(ordered).alias("prev_fp"),
-    )
-    hub = F.when((F.col("node") != F.col("hub")) & _near("fp", "hub_fp"), F.col("hub")).alias("hub")
-    prev = F.when(_near("fp", "prev_fp"), F.col("prev")).alias("prev")
-    met = index.where("size > 1").select("key", "fp", "node", "bits", (F.col("size") > 2).alias("more"), hub, prev)
-    met = materialize(met.where("more or hub is not null or prev is not null"), "line-index")
-    near = met.where("hub is not null or prev is not null").select("node", F.explode(F.array("hub", "prev")).alias("b")).where("b is not null")
-    edges = materialize(_verified(near.select(F.col("node").alias("a"), "b"), nodes, docs), "line-edges")
+    nodes = found.groupBy("k1", "k2", "short").agg(
+        F.min(F.struct("doc_id", "pos", "row", "text_hash")).alias("first"), F.count("*").alias("n"), F.min("fp").alias("fp"), *(F.min(f"s{i}").alias(f"s{i}") for i in range(3)))
+    nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "line-nodes")
+    # streaming functions of the sorted bucket; a bucket of one is dropped
+    ordered = Window.partitionBy("key").orderBy("node")
+    index = _index(nodes, blocks(nodes.count())).unionByName(_short_index(nodes))
+    met = index.select("key", "node", F.first("node").over(ordered).alias("hub"), F.lag("node").over(ordered).alias("prev"), F.lead("node").over(ordered).alias("next"))
+    met = materialize(met.where("prev is not null or next is not null").drop("next"), "line-index")
+    edges = materialize(_verified(materialize(_first_pairs(met, nodes), "line-pairs"), nodes, docs), "line-edges")
     groups = connected_components(edges)
-    # members of a bucket that are in different groups still; buckets of two are done
-    more = met.where("more").select("key", "fp", "node", "bits").join(groups, "node", "left").select("key", "fp", "node", "bits", F.coalesce("component", "node").alias("g"))
-    more = more.withColumn("mixed", F.min("g").over(in_key) != F.max("g").over(in_key)).where("mixed").select("key", "fp", "node", "bits", "g")
-    x = more.select("key", F.col("fp").alias("fa"), F.col("node").alias("a"), F.col("g").alias("ga"), "bits")
-    y = more.select("key", F.col("fp").alias("fb"), F.col("node").alias("b"), F.col("g").alias("gb"))
-    late = x.join(y, (x["key"] == y["key"]) & (F.col("a") < F.col("b")) & (F.col("ga") != F.col("gb")) & _near("fa", "fb")).select("a", "b")
-    late = materialize(late.distinct(), "line-late")
+    late = materialize(_late_pairs(met, groups, nodes), "line-late")
     if not late.isEmpty():
         edges = materialize(edges.unionByName(_verified(late, nodes, docs)), "line-edges")
         groups = connected_components(edges)
-    named = nodes.join(groups, nodes["k1"] == groups["node"], "left").select("k1", "k2", "first", "n", F.coalesce("component", "k1").alias("g"))
+    named = nodes.join(groups, "node", "left").select("k1", "k2", "first", "n", F.coalesce("component", "node").alias("g"))
     named = materialize(named, "line-groups")
     total = named.groupBy("g").agg(F.min("first").alias("head"), F.sum("n").alias("total")).where("total > 1").select("g", "head")
-    heads = materialize(named.select("k1", "k2", "g").join(total, "g").select("k1", "k2", "head"), "line-heads")
-    kept = F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("pos") == F.col("head.pos"))
-    return found.select("doc_id", "pos", "k1", "k2").join(heads, ["k1", "k2"]).select(
-        "doc_id", F.col("pos").alias("line_no"), F.col("head.doc_id").alias("class_doc_id"), F.col("head.pos").alias("class_line_no"), kept.alias("kept")
-    )
+    return found, materialize(named.join(total, "g").select("k1", "k2", "head"), "line-heads")
+
+
+def _occurrences(found: DataFrame, heads: DataFrame) -> DataFrame:
+    """Every line of a class with its head and whether it is that; a very common line is one
+    key of the lines' side only, which Spark splits where it is too large for a task."""
+    kept = (F.col("row") == F.col("head.row")) & (F.col("pos") == F.col("head.pos"))
+    return found.join(heads, ["k1", "k2"]).select("row", "doc_id", "text_hash", "pos", "head", kept.alias("kept"))
+
+
+def line_classes(docs: DataFrame) -> DataFrame:
+    """(doc_id, line_no, class_doc_id, class_line_no, kept) for every line whose class has
+    more than one occurrence; the class is named by its first occurrence (least doc_id, then
+    line number), the only one kept.
+
+    Null and empty texts have no lines to compare; lines without a letter, digit or non-ASCII
+    character are in no class.  A null doc_id is less than any other.  Rows that repeat a
+    doc_id, or all of a row, are documents of their own: of their equal lines one is kept.
+    """
+    return _occurrences(*_classes(docs)).select("doc_id", F.col("pos").alias("line_no"), F.col("head.doc_id").alias("class_doc_id"), F.col("head.pos").alias("class_line_no"), "kept")
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """docs with the lines of text that are not kept taken out; every row and column stays (a
-    text can become empty), rows without such lines are unchanged."""
-    gone = line_classes(docs).where("not kept").groupBy("doc_id").agg(F.collect_set("line_no").alias("_gone")).withColumnRenamed("doc_id", "_doc")
-    gone = materialize(gone, "line-gone")
-    j = docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")), "left")
-    left = F.expr("array_join(filter(split(text, '\\n'), (l, i) -> not array_contains(_gone, i)), '\\n')")
-    return j.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(left)).select(*docs.columns)
+    text can become empty), rows without such lines are unchanged.
+
+    A row is known by its doc_id and text.  Of rows that repeat both, every line has a copy in
+    the first of them, so the others (any, as rows have no order) keep only lines without a
+    letter, digit or non-ASCII character.
+    """
+    found, heads = _classes(docs)
+    own = ["doc_id", "text_hash"]
+    rows = found.groupBy(*own).agg(F.min("row").alias("least"), F.max("row").alias("most"))
+    again = materialize(rows.where("least <> most").select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash")), "line-again")
+    # a head is in the least row of its doc_id and line number; of equal rows that is the first
+    gone = _occurrences(found, heads).where("not kept").groupBy("row", *own).agg(F.collect_set("pos").alias("gone"))
+    first = rows.select(F.col("least").alias("row"))
+    gone = materialize(gone.join(first, "row", "left_semi").select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"), F.col("gone").alias("_gone")), "line-gone")
+    names = docs.columns
+    d = docs.select(F.struct(*names).alias("_all"), F.col("doc_id").cast("long").alias("_id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("_text_hash"))
+    same = F.col("_id").eqNullSafe(F.col("_doc")) & (F.col("_text_hash") == F.col("_hash"))
+    left = F.expr("array_join(filter(split(_all.text, '\\n'), (l, i) -> not array_contains(_gone, i)), '\\n')")
+
+    def shortened(rows: DataFrame, text) -> DataFrame:
+        return rows.withColumn("_new", text).select(*(F.col("_new").alias(n) if n == "text" else F.col("_all")[n].alias(n) for n in names))
+
+    text = F.when(F.col("_gone").isNull(), F.col("_all.text")).otherwise(left)
+    if again.isEmpty():
+        return shortened(d.join(gone, same, "left"), text)
+    once = d.join(again, same, "left_anti")
+    # the rows that are repeated, numbered where they are written
+    many = materialize(d.join(again, same, "left_semi").withColumn("_row", F.monotonically_increasing_id()), "line-repeated")
+    one = many.groupBy("_id", "_text_hash").agg(F.min("_row").alias("_row")).select("_row")
+    others = F.expr(f"array_join(filter(split(_all.text, '\\n'), l -> size({_words('l')}) = 0), '\\n')")
+    parts = once.unionByName(many.join(one, "_row", "left_semi").drop("_row")).join(gone, same, "left")
+    return shortened(parts, text).unionByName(shortened(many.join(one, "_row", "left_anti"), others))

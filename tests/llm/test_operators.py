@@ -93,7 +93,8 @@ def test_line_classes_by_brute_force(spark):
             p = c
         return p[-1]
 
-    linked = [(i, j) for i in range(len(names)) for j in range(i) if bin(fps[names[i]] ^ fps[names[j]]).count("1") <= 3 and distance(names[i], names[j]) <= int(0.2 * max(len(names[i]), len(names[j])) + 1e-9)]
+    # every pair of edit similarity 0.8, however far their fingerprints are
+    linked = [(i, j) for i in range(len(names)) for j in range(i) if min(len(names[i]), len(names[j])) >= 0.8 * max(len(names[i]), len(names[j])) and distance(names[i], names[j]) <= int(0.2 * max(len(names[i]), len(names[j])) + 1e-9)]
     groups = collections.defaultdict(list)
     for i, root in enumerate(components(len(names), linked)):
         groups[root] += where[names[i]]
@@ -128,6 +129,31 @@ def test_changed_lines_are_linked(spark):
     assert not missed
 
 
+REPEATED = [(9, "A common line"), (9, "A common line\nonly here"), (9, "A common line\nonly here"), (1, "a common line!\n--"), (1, "a common line!\n--"), (None, "first of all"), (None, "of no other"), (None, "first of all\nx1"), (None, None), (None, "")]
+
+
+def test_one_occurrence_is_kept_of_repeated_rows(spark):
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(REPEATED)], "doc_id long, text string, _row long").repartition(3)
+    classes = collections.defaultdict(list)
+    for r in line_dedup.line_classes(docs).collect():
+        classes[r.class_doc_id, r.class_line_no].append(r)
+    assert sorted(len(c) for c in classes.values()) == [2, 2, 5] and all(sum(r.kept for r in c) == 1 for c in classes.values())
+    out = line_dedup.dedup_lines(docs).collect()
+    assert sorted(r._row for r in out) == list(range(len(REPEATED)))
+    left = collections.Counter(" ".join(normal(x)) for r in out for x in (r.text or "").split("\n") if normal(x))
+    assert left == {"a common line": 1, "only here": 1, "first of all": 1, "of no other": 1, "x1": 1}
+    assert sum("--" in (r.text or "") for r in out) == 2 and [r.text for r in out if r._row == 8] == [None]
+
+
+def test_long_buckets_are_compared_in_chunks(spark, monkeypatch):
+    rows = [(i, f"item {i} of the long list that every single page of this site repeats at its very end {'qrst'[i % 4] * (3 + 14 * (i % 4))}") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(map(tuple, line_dedup.line_classes(docs).collect()))
+    assert len({r[2] for r in want}) > 1
+    monkeypatch.setattr(line_dedup, "LONG_BUCKET", 7)
+    assert sorted(map(tuple, line_dedup.line_classes(docs).collect())) == want
+
+
 def test_dedup_lines_keeps_rows_and_columns(awkward, empty):
     out = line_dedup.dedup_lines(awkward)
     assert out.columns == awkward.columns and out.count() == awkward.count()
