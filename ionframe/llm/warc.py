@@ -13,8 +13,13 @@ over those exits (the length doubles each round, so log2(splits of a file) round
 entries of every split that the chain from 0 reaches, and following the chain from an entry
 inside its split marks the true records.  Other candidates are rejected.
 
-Records that end in a later split are put together from the pieces of bytes that splits emit
-for the purpose; no other payload is shuffled.
+A header may have any length and run over any number of splits: one that is open at its
+split's end is put together from the first bytes of the following splits, up to the split in
+which it ends.  Records that end in a later split are put together from the pieces of bytes
+that splits emit for the purpose; no other payload is shuffled.  A chain that ends before its
+file does is an error, as the records behind it would be lost.
+
+Only plain files are read; archives whose records are compressed one by one are not.
 """
 
 from __future__ import annotations
@@ -33,12 +38,11 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 MAGIC = b"WARC/1."
-#: Longest record header that may lie across a split's end.
-HEADER = 1 << 16
 #: Bytes of the cells by which pieces of records that span splits are joined.
 CELL = 1 << 20
 _ID = re.compile(r"<urn:x-page:(-?\d+)>")
 _END = "\r\n\r\n"
+_CUT = _END.encode()
 
 
 def base32_sha1(payload: Column) -> Column:
@@ -59,8 +63,9 @@ def write(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     p = p.withColumn("digest", base32_sha1(F.col("html").cast("binary"))).withColumn("n", F.octet_length("html"))
     ids = p.where(F.col("n") >= least_bytes).select("digest", "page_id")
+    # ids and digests only; a very common payload is a hot digest on this side alone, whose join Spark splits
     largest = ids.groupBy("digest").agg(F.max("page_id").alias("response"), F.count("*").alias("c")).where("c > 1").select("digest", "response")
-    revisits = ids.join(largest, "digest").where("not page_id <=> response").distinct()
+    revisits = ids.distinct().join(largest, "digest").where("not page_id <=> response")
     # few rows unless there are many copies; Spark broadcasts them where their size allows it
     revisits = materialize(revisits.select(F.col("digest").alias("_d"), F.col("page_id").alias("_p"), "response"), "warc-revisits")
     r = p.join(revisits, F.col("digest").eqNullSafe(F.col("_d")) & F.col("page_id").eqNullSafe(F.col("_p")), "left")
@@ -119,17 +124,19 @@ def _parse(file: str, block: int, data: bytes, keep: bool, whole: bool) -> list[
     if whole:
         return [*out, *(base | {"kind": "piece", "rel": at, "piece": data[at : at + CELL]} for at in range(0, len(data), CELL))]
     if block:
-        out.append(base | {"kind": "head", "rel": 0, "piece": data[:HEADER]})
+        # an end that lies across the border shows in the first three bytes already
+        ends = data.find(_CUT)
+        out.append(base | {"kind": "head", "rel": 0, "size": int(ends >= 0), "piece": data[: ends + 4] if ends >= 0 else data})
     found, opened, at = {}, set(), data.find(MAGIC)
     while at >= 0:
         if at == 0 or data[at - 1] == 10:
-            end = data.find(b"\r\n\r\n", at, at + HEADER)
+            end = data.find(_CUT, at)
             if end >= 0:
                 fields = _fields(data[at:end])
                 n = _length(fields)
                 if n is not None:
                     found[at] = (end + 4, n, fields)
-            elif at + HEADER > len(data):
+            else:
                 opened.add(at)
         at = data.find(MAGIC, at + 1)
     exits: dict[int, int | None] = {}
@@ -209,8 +216,8 @@ def read(spark: SparkSession, path, keep_payload: bool = True) -> DataFrame:
     uri, declared (digest field), full_bytes (of the full payload: for a revisit as its HTTP
     header says), payload_digest (of the bytes read) and payload (null unless kept).
 
-    A file that doesn't start with a record gives none; a chain ends at the first offset
-    without a record.  Fields that a record lacks are null.
+    Raises ValueError where a file's chain of records ends before the file does (a file that
+    is cut off, or that holds something else).  Fields that a record lacks are null.
     """
     scan = materialize(_scan(spark, path, keep_payload), "warc-scan")
     splits = materialize(_splits(scan), "warc-splits")
@@ -235,29 +242,57 @@ def read(spark: SparkSession, path, keep_payload: bool = True) -> DataFrame:
     marked = found.join(reached.withColumn("entry", F.lit(True)), ["file", "offset"], "left").withColumn("entry", F.coalesce("entry", F.lit(False)))
     true = marked.select("file", "block", "rel", "next", "entry").groupBy("file", "block").applyInPandas(_chain, "file string, block long, rel long")
     true = materialize(true.join(found, ["file", "block", "rel"]), "warc-true")
+    _check_ends(true, splits)
     names = ["file", "offset", *_RECORD]
     whole = placed.where("record_type is not null or payload_digest is not null").join(true.select("file", "offset"), ["file", "offset"], "left_semi").select(*names)
     return whole.unionByName(_joined(spark, path, scan, splits, placed, late, true, keep_payload)) if most > 1 else whole
 
 
+def _check_ends(true: DataFrame, splits: DataFrame) -> None:
+    last = true.groupBy("file").agg(F.max(F.col("offset") + F.col("size")).alias("chain"))
+    length = splits.groupBy("file").agg(F.sum("length").alias("length"))
+    # the reader of lines sees one line feed more than there is if a file doesn't end with one
+    bad = length.join(last, "file", "left").where("length > 0 and (chain is null or chain < length - 1 or chain > length)")
+    short = bad.select("file", "chain", "length").limit(3).collect()
+    if short:
+        raise ValueError(f"the records of {short[0].file} end at byte {short[0].chain} of {short[0].length}")
+
+
 def _opened(scan: DataFrame, splits: DataFrame) -> DataFrame:
-    """Candidates whose header ends in the next split."""
+    """Candidates whose header ends in a later split.
+
+    Splits between two header ends are one run; a header that is open at a split's end goes on
+    through the following run, so its bytes are that run's heads, in order.  A run's bytes are
+    one header at most, whatever the file's size.
+    """
 
     def run(frames):
         for f in frames:
             rows = []
             for r in f.itertuples():
-                data = r.piece + (r.head or b"")
-                end = data.find(b"\r\n\r\n", 0, HEADER)
+                data = r.piece + b"".join(h["piece"] for h in (r.heads if r.heads is not None else []))
+                end = data.find(_CUT)
                 n = _length(_fields(data[:end])) if end >= 0 else None
                 if n is not None:
                     size = end + 8 + n
                     rows.append((r.file, r.block, r.rel, r.offset, size, end + 4, r.rel + size, None, r.start, r.piece))
             yield pd.DataFrame(rows, columns=["file", "block", "rel", "offset", "size", "body", "exit", "next", "start", "piece"])
 
-    heads = scan.where("kind = 'head'").join(splits, ["file", "block"]).select("file", (F.col("ordinal") - 1).alias("ordinal"), F.col("piece").alias("head"))
-    o = _place(scan.where("kind = 'open'"), splits).join(heads, ["file", "ordinal"], "left").select("file", "block", "rel", "offset", "start", "piece", "head")
-    return materialize(o.mapInPandas(run, "file string, block long, rel long, offset long, size long, body long, exit long, next long, start long, piece binary"), "warc-open")
+    order = Window.partitionBy("file").orderBy("ordinal")
+    ends = scan.where("kind = 'head'").select("file", "block", F.col("size").alias("ends"))
+    # a split's run is counted by the ends before it; the split after an open header begins its run's rest
+    runs = splits.join(ends, ["file", "block"], "left").select("file", "block", "ordinal", F.coalesce(F.sum("ends").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("run"))
+    runs = runs.select("file", "block", "ordinal", "run", F.lead("run").over(order).alias("next_run"))
+    opens = _place(scan.where("kind = 'open'"), splits).select("file", "block", "rel", "offset", "start", "ordinal", "piece")
+    opens = opens.join(runs.select("file", "block", F.col("next_run").alias("run")), ["file", "block"]).where("run is not null")
+    wanted = opens.groupBy("file", "run").agg(F.min("ordinal").alias("after"))
+    heads = scan.where("kind = 'head'").select("file", "block", "piece").join(runs, ["file", "block"]).join(wanted, ["file", "run"]).where("ordinal > after")
+    heads = heads.select("file", "run", F.col("ordinal").alias("at"), "piece")
+    # a header is open at one split's end at least; the splits behind that are its rest
+    found = opens.withColumnRenamed("piece", "own").join(heads.withColumnRenamed("piece", "head"), ["file", "run"], "left").where("at is null or at > ordinal")
+    found = found.groupBy("file", "block", "rel").agg(F.first("offset").alias("offset"), F.first("start").alias("start"), F.first("own").alias("piece"),
+                                                      F.array_sort(F.collect_list(F.when(F.col("head").isNotNull(), F.struct("at", F.col("head").alias("piece"))))).alias("heads"))
+    return materialize(found.mapInPandas(run, "file string, block long, rel long, offset long, size long, body long, exit long, next long, start long, piece binary"), "warc-open")
 
 
 def _joined(spark, path, scan, splits, placed, late, true, keep) -> DataFrame:
@@ -295,7 +330,9 @@ def _joined(spark, path, scan, splits, placed, late, true, keep) -> DataFrame:
     if not out.where("short").isEmpty():
         # a payload that fakes the border of the next record, or a cut file: look at all bytes
         out = materialize(assembled(gather(_scan(spark, path, whole=True))).mapInPandas(run, ddl), "warc-joined")
-    return out.where("not short").drop("short")
+        if not out.where("short").isEmpty():
+            raise ValueError("a record is longer than its file")
+    return out.drop("short")
 
 
 def round_trip(pages: DataFrame, path: str, least_bytes: int = 0) -> DataFrame:

@@ -185,6 +185,34 @@ def test_warc_round_trip(spark, tmp_path, size):
     assert len(r) == len(rows) and all(x.intact for x in r)
 
 
+@pytest.mark.parametrize("size", ["2k", "128m"])
+def test_warc_headers_of_any_length(spark, tmp_path, size):
+    long = "http://x/" + "WARC/1.1 " * 8000
+    rows = [(i, {3: long, 4: "u" * 5000, 5: "v" * 7001, 6: "WARC/1.1" * 700}.get(i), f"page {i} " * (i % 7)) for i in range(60)]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+    try:
+        pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"digest": F.lit(1), "n": F.lit("x"), "response": F.lit(2), "value": F.lit(3)})
+        r = warc.round_trip(pages.coalesce(1), str(tmp_path / "w")).collect()
+        assert {x.page_id: (x.payload_bytes, x.payload_digest, x.record_type, x.refers_to) for x in r} == expected_records([(i, h) for i, _, h in rows])
+        assert len(r) == 60 and all(x.intact for x in r)
+        assert next(x.uri for x in warc.read(spark, str(tmp_path / "w")).collect() if x.record_id == "<urn:x-page:3>") == long.strip()
+        whole = b"".join(f.read_bytes() for f in (tmp_path / "w").glob("part-*"))
+        for name, cut in (("a", len(whole) - 30), ("b", 40000), ("c", 150)):
+            (tmp_path / name).write_bytes(whole[:cut])
+            with pytest.raises(ValueError):
+                warc.read(spark, str(tmp_path / name)).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_warc_repeated_rows(spark, tmp_path):
+    rows = [(5, "u", "same")] * 3 + [(4, "u", "same")] * 2 + [(None, "u", "same"), (1, None, None)]
+    r = warc.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string"), str(tmp_path / "w")).collect()
+    assert collections.Counter((x.page_id, x.record_type, x.refers_to) for x in r) == {(5, "response", None): 3, (4, "revisit", 5): 2, (None, "revisit", 5): 1, (1, "response", None): 1}
+
+
 def test_warc_payloads_and_empty_table(spark, tmp_path):
     pages = spark.createDataFrame([(1, "u", "Grüße\r\n"), (None, "u", "q")], "page_id long, url string, html string")
     warc.write(pages, str(tmp_path / "w"))
