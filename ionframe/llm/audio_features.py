@@ -5,7 +5,8 @@ Media are WAV files (PCM, one channel, unsigned 8-bit samples) in a binary colum
 overlapping frames after polyphase resampling, cut into clips of a fixed shape and stored as
 an Arrow stream whose ``mel`` column is a fixed-shape tensor of FRAMES x MELS float32 beside
 the clips' time spans, and the spans of activity that a two-threshold (hysteresis) energy
-detector finds.  Samples are processed in blocks, so memory doesn't grow with their number.
+detector finds.  Files of any sample rate are brought to RATE_OUT.  One file at a time is held
+in memory, with some ten bytes for each of its samples; filters and transforms work in blocks.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ import hashlib
 import struct
 import zlib
 from functools import lru_cache
+from math import ceil, gcd
 
 import numpy as np
 import pyarrow as pa
@@ -22,9 +24,12 @@ from pyspark.sql import functions as F
 
 #: The padded payload is a multiple of this.
 UNIT, FILLER = 576, b"\xff"
-RATE_IN, RATE_OUT = 16000, 8000
-UP, DOWN, TAPS = 1, 2, 48
+RATE_IN, RATE_OUT = 12000, 8000
+#: Taps of the resampler on either side of a point, in periods of the lower of the two rates.
+REACH = 16
 FRAME, HOP, MELS, FRAMES = 256, 128, 40, 64
+#: Rates above this are taken for damage.
+MOST_RATE = 1 << 20
 #: Decibels above the file's floor at which activity begins and goes on, and least frames.
 ENTER_DB, STAY_DB, LEAST_FRAMES = 12.0, 6.0, 3
 #: Frames that are transformed together.
@@ -52,8 +57,10 @@ def from_wav(media: bytes) -> tuple[int, bytes]:
     while at + 8 <= len(media):
         name, size = struct.unpack_from("<4sI", media, at)
         if name == b"fmt ":
+            if at + 24 > len(media):
+                break
             kind, channels, rate, _, _, bits = struct.unpack_from("<HHIIHH", media, at + 8)
-            if (kind, channels, bits) != (1, 1, 8):
+            if (kind, channels, bits) != (1, 1, 8) or not 0 < rate <= MOST_RATE:
                 raise ValueError("only one channel of 8-bit PCM is read")
         elif name == b"data" and rate is not None:
             return rate, media[at + 8 : at + 8 + size]
@@ -62,12 +69,13 @@ def from_wav(media: bytes) -> tuple[int, bytes]:
 
 
 @lru_cache
-def _phases() -> np.ndarray:
-    """The windowed low-pass filter of the resampler, a row for each of the UP phases: row p
-    weighs the samples around a point that lies p / UP after sample TAPS // 2 of TAPS."""
-    t = np.arange(TAPS) - TAPS // 2 - np.arange(UP)[:, None] / UP
-    cut = min(1, UP / DOWN)
-    h = cut * np.sinc(cut * t) * np.cos(np.pi * np.clip(t / TAPS, -0.5, 0.5)) ** 2
+def _phases(up: int, down: int) -> np.ndarray:
+    """The windowed low-pass filter of the resampler, a row for each of the up phases: row p
+    weighs the samples around a point that lies p / up after the middle one of its taps."""
+    half = ceil(REACH * max(1, down / up))
+    t = np.arange(2 * half) - half - np.arange(up)[:, None] / up
+    cut = min(1, up / down)
+    h = cut * np.sinc(cut * t) * np.cos(np.pi * np.clip(t / (2 * half), -0.5, 0.5)) ** 2
     return (h / h.sum(1, keepdims=True)).astype(np.float32)
 
 
@@ -83,18 +91,21 @@ def _mel() -> np.ndarray:
     return np.maximum(0, np.minimum(up, down)).T.astype(np.float32)
 
 
-def resample(x: np.ndarray) -> np.ndarray:
-    """Polyphase resampling by UP / DOWN with zero ends; output i is at input i * DOWN / UP."""
-    h = _phases()
-    n = -(-len(x) * UP // DOWN)
-    padded = np.concatenate([np.zeros(TAPS // 2, np.float32), x, np.zeros(TAPS, np.float32)])
-    windows = np.lib.stride_tricks.sliding_window_view(padded, TAPS)
+def resample(x: np.ndarray, rate: int = RATE_IN) -> np.ndarray:
+    """Polyphase resampling from rate to RATE_OUT with zero ends: with their ratio up / down in
+    lowest terms, output i is at input i * down / up, which phase i * down % up interpolates."""
+    up, down = RATE_OUT // gcd(RATE_OUT, rate), rate // gcd(RATE_OUT, rate)
+    h = _phases(up, down)
+    taps = h.shape[1]
+    n = -(-len(x) * up // down)
+    padded = np.concatenate([np.zeros(taps // 2, np.float32), x, np.zeros(taps, np.float32)])
+    windows = np.lib.stride_tricks.sliding_window_view(padded, taps)
     out = np.empty(n, np.float32)
-    for phase in range(min(UP, n)):
-        at = np.arange(phase, n, UP) * DOWN // UP
-        for lo in range(0, len(at), 16 * BLOCK):
-            some = slice(lo, lo + 16 * BLOCK)
-            out[phase::UP][some] = windows[at[some][0] : at[some][-1] + 1 : DOWN] @ h[phase * DOWN % UP]
+    for phase in range(min(up, n)):
+        first, count = phase * down // up, len(range(phase, n, up))
+        for lo in range(0, count, 16 * BLOCK):
+            hi = min(count, lo + 16 * BLOCK)
+            out[phase::up][lo:hi] = windows[first + lo * down : first + (hi - 1) * down + 1 : down] @ h[phase * down % up]
     return out
 
 
@@ -140,10 +151,10 @@ def tensors(mel: np.ndarray) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
-def analyse(samples: bytes) -> tuple[np.ndarray, list[tuple[float, float]]]:
+def analyse(samples: bytes, rate: int = RATE_IN) -> tuple[np.ndarray, list[tuple[float, float]]]:
     """Log-mel energies and the spans of activity in seconds."""
     x = (np.frombuffer(samples, np.uint8).astype(np.float32) - 128) / 128
-    mel = log_mel(resample(x))
+    mel = log_mel(resample(x, rate))
     return mel, [(a * HOP / RATE_OUT, ((b - 1) * HOP + FRAME) / RATE_OUT) for a, b in segments(mel)]
 
 
@@ -164,26 +175,33 @@ def features(media: DataFrame, keep_tensors: bool = True) -> DataFrame:
     feature and the digests of the samples and of the file that were read.
 
     feature names frames, clips and spans and a digest of the energies in whole 1/8 nepers, so
-    equal samples have equal features.  Rows are independent; repeated rows come back as often.
+    equal samples have equal features; clips_sha256 is the digest of the Arrow stream of clips.
+    Media that are null or anything else than WAV files of one channel of 8-bit PCM keep
+    doc_id and n_bytes and have null in all other columns.  Rows are independent; repeated
+    rows come back as often; other columns are ignored.
     """
 
+    def one(m: bytes | None) -> tuple:
+        try:
+            rate, samples = from_wav(m or b"")
+        except ValueError:
+            return (None,) * 9
+        mel, spans = analyse(samples, rate)
+        clips = tensors(mel)
+        digest = hashlib.sha256(np.rint(mel * 8).astype("<i2").tobytes() + np.rint(np.array(spans).ravel() * 1000).astype("<i8").tobytes()).hexdigest()
+        return (
+            len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-32:]), len(m), hashlib.sha256(m).hexdigest(),
+            f"frames={len(mel)};clips={-(-len(mel) // FRAMES)};spans={len(spans)};mel={digest}", hashlib.sha256(clips).hexdigest(), clips if keep_tensors else None, [{"start_s": a, "end_s": z} for a, z in spans],
+        )
+
     def run(batches):
         for b in batches:
             for lo in range(0, len(b), 64):
                 part = b.slice(lo, 64)
-                out = []
-                for m in part.column(2).to_pylist():
-                    _, samples = from_wav(m)
-                    mel, spans = analyse(samples)
-                    clips = tensors(mel)
-                    digest = hashlib.sha256(np.rint(mel * 8).astype("<i2").tobytes() + np.rint(np.array(spans).ravel() * 1000).astype("<i8").tobytes()).hexdigest()
-                    out.append((
-                        len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-32:]), len(m), hashlib.sha256(m).hexdigest(),
-                        f"frames={len(mel)};clips={-(-len(mel) // FRAMES)};spans={len(spans)};mel={digest}", clips if keep_tensors else None, [{"start_s": a, "end_s": z} for a, z in spans],
-                    ))
-                kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())]))]
-                yield pa.record_batch([part.column(0), part.column(1), *(pa.array(c, k) for c, k in zip(zip(*out), kinds))], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "clips", "spans"])
+                out = [one(m) for m in part.column(2).to_pylist()]
+                kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary(), pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())]))]
+                yield pa.record_batch([part.column(0), part.column(1), *(pa.array(c, k) for c, k in zip(zip(*out), kinds))], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "clips_sha256", "clips", "spans"])
 
     return media.select("doc_id", "n_bytes", "media").mapInArrow(
-        run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, clips binary, spans array<struct<start_s: double, end_s: double>>"
+        run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, clips_sha256 string, clips binary, spans array<struct<start_s: double, end_s: double>>"
     )

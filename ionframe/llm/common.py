@@ -15,10 +15,13 @@ SPACES = r"\x20\x09-\x0D"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (spark.checkpoint.dir).
 
-    Where the session names none (a local session, as in tests) a temporary one is set.
+    Where a local session names none (as in tests) a temporary one is set; on a cluster, whose
+    executors would each write to their own disk, that is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="ionframe-")
         spark.conf.set("spark.checkpoint.dir", root)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -32,7 +35,19 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.written_at = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that materialize wrote and that nothing reads any more; what was made
+    of them has to be written itself."""
+    for t in tables:
+        jvm, path = t.sparkSession._jvm, getattr(t, "written_at", None)
+        if path:
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
 def id_remainder(doc_id: Column, m: int) -> Column:
@@ -57,6 +72,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     spark = edges.sparkSession
     live = materialize(_both_ways(edges.select("a", "b")), "cc-edges")
     maps: list[DataFrame] = []
+    used: list[DataFrame] = []
     for _ in range(max_rounds):
         if live.isEmpty():
             break
@@ -65,6 +81,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
         up = parent.select(F.col("a").alias("p"), F.col("p").alias("pp"))
         jumped = materialize(parent.join(up, "p").select("a", F.col("pp").alias("p")), "cc-map")
         maps.append(jumped)
+        used += [live, parent]
         left = jumped.withColumnRenamed("p", "x")
         right = jumped.select(F.col("a").alias("b"), F.col("p").alias("y"))
         moved = live.where("a < b").join(left, "a").join(right, "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
@@ -77,7 +94,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     for m in maps[1:]:
         step = m.select(F.col("a").alias("component"), F.col("p").alias("next"))
         out = out.join(step, "component", "left").select("node", F.coalesce("next", "component").alias("component"))
-    return materialize(out, "cc")
+    out = materialize(out, "cc")
+    discard(*used, *maps, live)
+    return out
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:

@@ -5,8 +5,13 @@ of a text matches a template if the Dice coefficient of their sets of word bigra
 2 |A and B| / (|A| + |B|), is at least THRESHOLD (t).  From that follow bounds that prune
 without losing a match: the window's set has between |B| t / (2 - t) and |B| (2 - t) / t
 bigrams, and at least that lower number of them are in B.  So a text is looked at for a
-template only where so many positions with a bigram of B lie together; all other templates
-and texts are dropped by counting.
+template only if it has so many different bigrams of B; all other templates and texts are
+dropped by counting.
+
+A window begins with a bigram that does not come again within it and ends with one that is new
+to it, as it could be made shorter otherwise.  So windows that are open at a position begin with
+different bigrams of at most |B| (2 - t) / t, and the work is at most a text's length times
+that, however often it repeats itself.
 """
 
 from __future__ import annotations
@@ -40,6 +45,34 @@ TEMPLATES = {
         "FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, "
         "WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
     ),
+    "BSD-3-Clause-text": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+        "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation "
+        "and/or other materials provided with the distribution. "
+        "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software "
+        "without specific prior written permission. "
+        'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, '
+        "THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS "
+        "BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE "
+        "GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT "
+        "LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+    ),
+    "Zlib-text": (
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use "
+        "of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute "
+        "it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original "
+        "software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. "
+        "2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. "
+        "3. This notice may not be removed or altered from any source distribution."
+    ),
+    "BSL-1.0-text": (
+        'Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this '
+        'license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to '
+        "permit third-parties to whom the Software is furnished to do so, all subject to the following: The copyright notices in the Software and this entire statement, "
+        "including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all "
+        "derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor."
+    ),
     "ISC-text": (
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
         "provided that the above copyright notice and this permission notice appear in all copies."
@@ -57,6 +90,18 @@ TEMPLATES = {
         "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of "
         "MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."
     ),
+    "LGPL-3.0-header": (
+        "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by "
+        "the Free Software Foundation, either version 3 of the License, or (at your option) any later version. "
+        "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of "
+        "MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details."
+    ),
+    "AGPL-3.0-header": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by "
+        "the Free Software Foundation, either version 3 of the License, or (at your option) any later version. "
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of "
+        "MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details."
+    ),
     "MPL-2.0-header": (
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, "
         "You can obtain one at https://mozilla.org/MPL/2.0/."
@@ -107,55 +152,63 @@ class Scanner:
         pairs[(w[:-1] == 0) | (w[1:] == 0)] = 0
         masks = self.table[pairs]
         at = np.flatnonzero(masks)
-        out = []
         if not len(at):
-            return out
-        hit_masks = masks[at]
+            return []
+        different = self.table[np.unique(pairs[at])]
+        out, before = [], None
         for i, name in enumerate(self.names):
-            hits = at[(hit_masks >> i) & 1 == 1]
-            need = self.least[i]
-            if len(hits) < need:
+            if np.count_nonzero((different >> i) & 1) < self.least[i]:
                 continue
-            # a window begins and ends at a hit, else a part of it would be at least as good
-            best = None
-            for k in np.flatnonzero(hits[need - 1 :] - hits[: len(hits) - need + 1] < self._reach(i, pairs, hits)):
-                found = self._best_from(i, pairs, hits, int(k))
-                if found and (best is None or found[0] > best[0]):
-                    best = found
+            if before is None:
+                before, after = self._neighbours(words, w)
+            best = self._best(i, (masks >> i) & 1 == 1, before, after)
             if best:
                 out.append((name, *best))
         return out
 
-    def _reach(self, i: int, pairs: np.ndarray, hits: np.ndarray) -> int:
-        """Bound of a window's positions: a set of at most most[i] different bigrams can repeat,
-        so only texts whose bigrams repeat can have longer windows than that."""
-        return self.most[i] if len(np.unique(hits)) == len(np.unique(pairs[hits])) else len(pairs)
-
-    def _best_from(self, i: int, pairs: np.ndarray, hits: np.ndarray, k: int):
-        seen, common, best, start = set(), 0, None, int(hits[k])
-        b = self.sets[i]
-        for at in range(start, len(pairs)):
-            p = int(pairs[at])
-            # words outside the templates differ from each other as far as is known here
-            key = p if p else -at
-            if key not in seen:
-                seen.add(key)
-                if len(seen) > self.most[i]:
+    def _neighbours(self, words: list[bytes], w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each bigram the positions where it was last and comes next (-1 and the number of
+        bigrams where there are none); words that are in no template are told apart."""
+        own: dict[bytes, int] = {}
+        for k in np.flatnonzero(w == 0).tolist():
+            w[k] = own.setdefault(words[k], self.width + len(own))
+        pairs = w[:-1] * (self.width + len(own)) + w[1:]
+        n = len(pairs)
+        order = np.argsort(pairs, kind="stable")
+        same = pairs[order[1:]] == pairs[order[:-1]]
+        before, after = np.full(n, -1), np.full(n, n)
+        before[order[1:][same]] = order[:-1][same]
+        after[order[:-1][same]] = order[1:][same]
+        return before, after
+
+    def _best(self, i: int, hit: np.ndarray, before: np.ndarray, after: np.ndarray):
+        size, most, best = len(self.sets[i]), self.most[i], None
+        # a window begins and ends at a hit, else a part of it would be at least as good
+        for start in np.flatnonzero(hit).tolist():
+            stop, reach = int(after[start]), start + most
+            while True:
+                part = slice(start, min(stop, reach))
+                new = before[part] < start
+                seen = np.cumsum(new)
+                if part.stop == stop or seen[-1] > most:
                     break
-                if p in b:
-                    common += 1
-                    d = 2 * common / (len(seen) + len(b))
-                    if d >= self.threshold and (best is None or d > best[0]):
-                        best = (d, start, at + 2)
+                reach = start + 2 * (reach - start)
+            common = np.cumsum(new & hit[part])
+            dice = np.where(seen <= most, 2 * common / (seen + size), 0)
+            k = int(dice.argmax())
+            if dice[k] >= self.threshold and (best is None or dice[k] > best[0]):
+                best = (float(dice[k]), start, start + k + 2)
         return best
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, license, dice, first_word, end_word) for each row of docs and each template
     that matches somewhere in its whole text; word numbers are those of the normalised text.
+    Of a template's several matches in a text only the best is reported, of equal ones the first.
 
     Null and empty texts have no match; repeated rows come back as often as they are there;
-    other columns are ignored.  Bigrams with a word that is in no template count as different.
+    other columns are ignored.  templates are other texts of any length by name, as of whole
+    licences; the default ones are notices, headers and the short licences.
     """
     templates = TEMPLATES if templates is None else templates
 

@@ -10,7 +10,7 @@ The pieces of a class are numbered without gathering them: rows are dealt into b
 hash, counted by class and bucket, and a bucket's numbers start after those of the buckets
 before it.  Piece number i goes to bin i // k at place i % k, so every worker fills its bins
 by arithmetic.  A class's last bin may be incomplete.  Those left-over pieces are fewer than
-k for each class, at most LEFT_OVER in all whatever the input, so one task packs them by
+k for each class, at most left_over() in all (21 297 for CAPACITY) whatever the input, so one task packs them by
 best fit.
 """
 
@@ -39,8 +39,9 @@ def shares(capacity: int = CAPACITY) -> list[int]:
     return sorted({capacity // k for k in range(1, capacity + 1)}, reverse=True)
 
 
-#: Bound of the pieces that one task packs.
-LEFT_OVER = sum(CAPACITY // s - 1 for s in shares())
+def left_over(capacity: int = CAPACITY) -> int:
+    """The bound of the pieces that one task packs."""
+    return sum(capacity // s - 1 for s in shares(capacity))
 
 
 def cut(n: int, capacity: int = CAPACITY, slack: int = SLACK) -> list[int]:
@@ -128,8 +129,8 @@ def pack(cut_pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     in_bin = Window.partitionBy("k", "bin").orderBy("i")
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
     full = numbered.where("full").withColumn("offset", F.sum("length").over(in_bin.rowsBetween(Window.unboundedPreceding, 0)) - F.col("length"))
-    full = full.select(*names, (F.lit(LEFT_OVER + 1) + F.col("bin") * (capacity + 1) + F.col("k")).alias("sequence_id"), "offset")
-    # at most LEFT_OVER rows
+    full = full.select(*names, (F.lit(left_over(capacity) + 1) + F.col("bin") * (capacity + 1) + F.col("k")).alias("sequence_id"), "offset")
+    # at most left_over(capacity) rows
     left = numbered.where("not full").select(*names, "row").repartition(1)
     left = left.mapInArrow(_best_fit(capacity), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
     return full.unionByName(left)

@@ -1,7 +1,7 @@
 """Quality classifier: supervised subword embeddings.
 
 A word's vector is the mean of the learned vectors of its hash bucket and of the buckets of
-its character n-grams (3 and 4 bytes of the word between marks).  A document's vector is the
+its character n-grams (3 to 5 bytes of the word between marks).  A document's vector is the
 mean over its words, plus the vector of one word bigram in which a word equal to the one
 before it is written "=" (so that repetition counts whatever the word is).  A linear layer
 and softmax give the probability of label 1.  numpy stochastic gradient descent trains all
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import operator
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import islice
 from zlib import crc32
@@ -30,20 +31,26 @@ from .common import id_remainder, materialize, sample_by_hash
 
 #: The bound of the labelled rows that training uses.
 TRAIN_ROWS = 2500
+#: Longer texts are not trained on (they are scored like any other): the driver holds the sample.
+TRAIN_CHARS = 100_000
 BUCKETS = 1 << 18
-DIM, EPOCHS, BATCH, RATE, SEED = 8, 3, 32, 60.0, 11
+DIM, EPOCHS, BATCH, RATE, SEED = 8, 3, 32, 200.0, 11
 #: Few rows are passed over more often than EPOCHS, until there were so many steps.
 MIN_STEPS = 100
-NGRAMS = (3, 4)
+NGRAMS = (3, 4, 5)
 #: Words in each of the two generations of a worker's cache.
 CACHE = 300_000
+#: Longer words are not kept in it.
+LONG_WORD = 256
 
 
-def buckets(word: bytes) -> list[int]:
-    """Bucket 0 is the bigram "="; words and n-grams have the others."""
+def buckets(word: bytes) -> Iterator[int]:
+    """Of the word and its n-grams, whatever its length; bucket 0 is the bigram "="."""
     marked = b"<" + word + b">"
-    grams = [marked[i : i + n] for n in NGRAMS for i in range(len(marked) - n + 1)] if len(word) <= 256 else []
-    return [1 + crc32(g, n) % (BUCKETS - 1) for n, gs in ((1, (word,)), (2, grams)) for g in gs]
+    yield 1 + crc32(word, 1) % (BUCKETS - 1)
+    for n in NGRAMS:
+        for i in range(len(marked) - n + 1):
+            yield 1 + crc32(marked[i : i + n], 2) % (BUCKETS - 1)
 
 
 @dataclass
@@ -56,10 +63,17 @@ class Model:
         same = weight[0]
 
         def mean(word: bytes) -> float:
-            b = buckets(word)
-            return sum(map(weight.__getitem__, b)) / len(b)
+            total, n = 0.0, 0
+            for n, b in enumerate(buckets(word), 1):
+                total += weight[b]
+            return total / n
 
-        cache = ChunkCache(mean, CACHE)
+        class Scores(ChunkCache):
+            # a long word is scored anew, so that the cache's bytes are bounded too
+            def __missing__(self, word: bytes) -> float:
+                return super().__missing__(word) if len(word) <= LONG_WORD else mean(word)
+
+        cache = Scores(mean, CACHE)
 
         def score(text: bytes | None) -> float:
             words = (text or b"").split()
@@ -92,7 +106,7 @@ def train(texts: list[bytes], labels: list[int]) -> Model:
         doc_words.append(np.array([ids.setdefault(w, len(ids)) for w in c], np.int64))
         doc_share.append(np.array(list(c.values()), np.float32) / n)
         doc_same.append(sum(map(operator.eq, words, islice(words, 1, None))) / n)
-    features = [np.array(buckets(w), np.int64) for w in ids]
+    features = [np.fromiter(buckets(w), np.int64) for w in ids]
     size = np.array([len(f) for f in features])
     rng = np.random.default_rng(SEED)
     e = np.zeros((BUCKETS, DIM), np.float32)
@@ -130,14 +144,14 @@ def train(texts: list[bytes], labels: list[int]) -> Model:
             if len(words):
                 g_words = np.zeros((len(words), DIM), np.float32)
                 _add_rows(g_words, inverse, share[:, None] * g_hidden[of_doc])
-                _add_rows(e, f, np.repeat(-rate * g_words / size[words, None] ** 0.5, size[words], axis=0))
+                _add_rows(e, f, np.repeat(-rate * g_words / size[words, None], size[words], axis=0))
     diff = out[:, 1] - out[:, 0]
     return Model((e @ diff).astype(np.float32), float(bias[1] - bias[0]))
 
 
 def fit(docs: DataFrame, labels: DataFrame, held_out: int | None = 1, modulus: int = 3) -> Model:
-    """Trains on at most TRAIN_ROWS rows of docs that have a label, chosen by a hash of the
-    id; rows whose crc32(doc_id) modulo modulus is held_out are never among them.  Rows of
+    """Trains on at most TRAIN_ROWS rows of docs that have a label and at most TRAIN_CHARS
+    characters, chosen by a hash of the id (of rows that repeat an id the least text); rows whose crc32(doc_id) modulo modulus is held_out are never among them.  Rows of
     labels without id or label count for nothing; of contradictory labels the larger holds.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
@@ -146,11 +160,12 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: int | None = 1, modulus: i
         known = known.where(id_remainder(F.col("doc_id"), modulus) != held_out)
     known = known.groupBy("doc_id").agg(F.max("quality").alias("quality"))
     # only ids that docs still has count against the bound
-    known = known.join(docs.select(F.col("doc_id").cast("long").alias("doc_id")), "doc_id", "left_semi")
+    short = docs.where(F.coalesce(F.char_length("text"), F.lit(0)) <= TRAIN_CHARS)
+    known = known.join(short.select(F.col("doc_id").cast("long").alias("doc_id")), "doc_id", "left_semi")
     chosen = materialize(sample_by_hash(known, TRAIN_ROWS, "doc_id"), "quality-sample")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
+    texts = short.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
     # chosen has at most TRAIN_ROWS rows of two numbers
-    rows = texts.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").limit(TRAIN_ROWS).collect()
+    rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text")).orderBy("doc_id").limit(TRAIN_ROWS).collect()
     return train([bytes(r.text) for r in rows], [r.quality for r in rows])
 
 

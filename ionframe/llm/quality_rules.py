@@ -4,7 +4,8 @@ Every rule is a boolean SQL expression that is true where it rejects a document.
 bounded sample each rule's time and share of rejections are measured; the cascade then asks
 the rules in descending order of rejections per second, and a document that one rule rejects
 is not shown to the next.  Rules are deterministic and joined by "or", so the order changes
-the time and the rule that is named, never the verdict.
+the time and the rule that is named, never the verdict.  The base metrics are made for every
+document, as they are results themselves, so the cascade saves only the rules' own work.
 """
 
 from __future__ import annotations
@@ -50,7 +51,8 @@ def metrics(docs: DataFrame) -> DataFrame:
 
     n_repeat_words: every 3-word window is packed as hash and position into one long and the
     longs are sorted; neighbours of one hash are compared word for word.  If a comparison
-    fails (two windows of one hash) the text takes an exact quadratic path.
+    fails (two windows of one hash, as in texts of millions of words, whose positions leave
+    few bits to it) the windows of that text are sorted by their words instead.
     """
     d = docs.withColumn("_text", F.coalesce(F.col("text").cast("string"), F.lit("")))
     d = d.withColumn("_words", F.expr(rf"array_remove(split(_text, '[{SPACES}]+'), '')".replace("\\", "\\\\")))
@@ -72,14 +74,16 @@ def metrics(docs: DataFrame) -> DataFrame:
     here, before = "int(get(_at, i) & _mask)", "int(get(_at, i - 1) & _mask)"
     equal = " and ".join(f"get(_words, {here} + {k}) = get(_words, {before} + {k})" for k in range(3))
     starts = f"array_sort(array_union(transform(_same, i -> {here}), transform(_same, i -> {before})))"
-    window = "concat_ws(' ', get(_words, {0}), get(_words, {0} + 1), get(_words, {0} + 2))"
-    every = "sequence(0, int(n_words) - 3)"
-    slow = f"filter({every}, p -> exists({every}, q -> p <> q and {window.format('p')} = {window.format('q')}))"
-    d = d.withColumn("_starts", F.expr(f"case when size(_same) = 0 then cast(array() as array<int>) when forall(_same, i -> {equal}) then {starts} else {slow} end"))
+    d = d.withColumn("_exact", F.expr(f"""
+        case when not forall(_same, i -> {equal}) then sort_array(transform(sequence(0, int(n_words) - 3),
+            p -> struct(get(_words, p) as a, get(_words, p + 1) as b, get(_words, p + 2) as c, p as p))) end"""))
+    d = d.withColumn("_equal", F.expr("filter(sequence(1, size(_exact) - 1), i -> get(_exact, i).a = get(_exact, i - 1).a and get(_exact, i).b = get(_exact, i - 1).b and get(_exact, i).c = get(_exact, i - 1).c)"))
+    slow = "array_sort(array_union(transform(_equal, i -> get(_exact, i).p), transform(_equal, i -> get(_exact, i - 1).p)))"
+    d = d.withColumn("_starts", F.expr(f"case when size(_same) = 0 then cast(array() as array<int>) when _exact is null then {starts} else {slow} end"))
     d = d.withColumn("n_repeat_words", F.expr("""
         aggregate(_starts, struct(cast(0 as bigint) as n, -3 as last),
             (a, p) -> struct(a.n + least(3, p - a.last) as n, p as last), a -> a.n) + """ + _FENCE_SQL))
-    return d.drop("_lines", "_bits", "_at", "_mask", "_same", "_starts")
+    return d.drop("_lines", "_bits", "_at", "_mask", "_same", "_exact", "_equal", "_starts")
 
 
 BASE_FAILED = "n_words < 50 or 100 * n_repeat_words > 50 * n_words"
@@ -93,7 +97,8 @@ def order_rules(docs: DataFrame, rules=RULES) -> list[Rule]:
     """The rules by rejections per second on a bounded sample, best first.
 
     The sample is drawn by Spark's seeded sampling and taken from as few partitions as give
-    SAMPLE_ROWS rows.  An empty sample leaves the given order.
+    SAMPLE_ROWS rows (of tables too small for that, from the first rows).  An empty sample
+    leaves the given order.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col("text").cast("string").alias("text")).where(f"char_length(text) <= {SAMPLE_CHARS}")

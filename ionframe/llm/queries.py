@@ -92,8 +92,9 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's tensors are made; they stay in the workers, as no column holds them."""
-    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    """Of every document's tensors the digest is returned (features gives them as clips), beside
+    the spans of activity."""
+    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "clips_sha256", "spans"]
     stored = audio_features.store(_table(spark, sf_dir, "documents"))
     return audio_features.features(stored, keep_tensors=False).select(*names)
 

@@ -5,14 +5,17 @@ most 3 bits differ in at most 3 bytes, so they share at least 8 - 3 = 5 position
 The index posts every *distinct* fingerprint under quadruples of positional bytes.  The 14
 quadruples are the blocks of the Steiner system S(3, 4, 8): whichever three positions
 differ, one block avoids them, hence a qualifying pair meets in a posting list.  In a
-posting list each pair's shared positional bytes are tallied, pairs with at least 5 go on,
-and their bits are compared.
+posting list each pair's shared positional bytes are tallied; only pairs that reach the
+guaranteed minimum of 5 go on, and their bits are compared.  (Lists of single bytes would hold
+1/256 of all documents each, so that tallying over them is quadratic.)
 
 A long posting list is never compared as a whole.  It is dealt out again by one more piece
 of the fingerprint, of which a qualifying pair must share one out of four (the remaining
 four bytes; then quarters of the remaining 24 bits): at the last level at most 18 bits are
-free, so that a list has at most 2**18 members however many documents there are.  Only a
-spanning forest of a list's links leaves a task, at most one edge for each member.
+free, so that a list has at most 2**18 members however many documents there are.  A last
+list of many members is not compared pair by pair: all its pairs share 5 bytes, and each
+member's at most 988 neighbours within 3 of the 18 bits are looked up.  Only a spanning forest
+of a list's links leaves a task, at most one edge for each member.
 
 Equal fingerprints are one node, so a group of exact copies costs one index entry.
 """
@@ -34,6 +37,9 @@ MAX_BITS = 3
 SEED = 42
 #: Members from which a posting list is dealt out by a further piece.
 LONG_LIST = 512
+#: Members from which a last list's neighbours are looked up.
+CUBE_LIST = 4096
+CUBE_BITS = 18
 _M = np.uint64(0x0101010101010101)
 
 
@@ -62,13 +68,23 @@ def fingerprint(text: bytes | None, shingle: int = 3) -> int:
 
 def _fingerprints(batches):
     for b in batches:
-        f = np.array([fingerprint(t) for t in b.column(1).to_pylist()], np.uint64)
-        yield pa.record_batch([b.column(0), pa.array(f.view(np.int64))], names=["doc_id", "fp"])
+        f = np.array([fingerprint(t) for t in b.column(2).to_pylist()], np.uint64)
+        yield pa.record_batch([b.column(0), b.column(1), pa.array(f.view(np.int64))], names=["doc_id", "text_hash", "fp"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): fp holds the 64 bits as a long."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(_fingerprints, "doc_id long, fp long")
+    """(doc_id, text_hash, fp): fp holds the 64 bits as a long."""
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"), F.col("text").cast("string").cast("binary").alias("text"))
+    return d.mapInArrow(_fingerprints, "doc_id long, text_hash long, fp long")
+
+
+def _linked(x: np.ndarray) -> np.ndarray:
+    """Which differences x of two fingerprints are links: the shared positional bytes are
+    tallied, and the bits of the pairs with enough of them are counted."""
+    tally = (x.view(np.uint8).reshape(*x.shape, POSITIONS) == 0).sum(-1)
+    out = tally >= POSITIONS - MAX_BITS
+    out[out] = np.bitwise_count(x[out]) <= MAX_BITS
+    return out
 
 
 def _roots(f: np.ndarray) -> np.ndarray:
@@ -86,14 +102,35 @@ def _roots(f: np.ndarray) -> np.ndarray:
                 break
             found = np.zeros(len(rest), bool)
             for lo in range(0, len(front), 64):
-                x = f[front[lo : lo + 64], None] ^ f[None, rest]
-                tally = (x.view(np.uint8).reshape(*x.shape, POSITIONS) == 0).sum(-1)
-                found |= ((tally >= POSITIONS - MAX_BITS) & (np.bitwise_count(x) <= MAX_BITS)).any(0)
+                found |= _linked(f[front[lo : lo + 64], None] ^ f[None, rest]).any(0)
             front = rest[found].tolist()
             root[front] = i
     return root
 
 
+def _cube_roots(f: np.ndarray) -> np.ndarray:
+    """The same for distinct members that differ in at most CUBE_BITS places."""
+    free = int(np.bitwise_or.reduce(f ^ f[0]))
+    places = [b for b in range(64) if free >> b & 1]
+    if len(places) > CUBE_BITS:
+        return _roots(f)
+    at = np.zeros(len(f), np.int64)
+    for i, b in enumerate(places):
+        at |= ((f >> np.uint64(b)) & np.uint64(1)).astype(np.int64) << i
+    member = np.full(1 << len(places), -1)
+    member[at] = np.arange(len(f))
+    steps = [sum(1 << i for i in c) for n in range(1, MAX_BITS + 1) for c in itertools.combinations(range(len(places)), n)]
+    root, before = np.arange(len(f)), None
+    while before is None or (root != before).any():
+        before = root.copy()
+        for s in steps:
+            near = member[at ^ s]
+            has = near >= 0
+            root[has] = np.minimum(root[has], root[near[has]])
+        root = root[root]
+    return root
+
+
 def _links(last: bool):
     """Rows sorted by (key, sub) to edges; members of a long list come back with long_list set."""
 
@@ -102,17 +139,16 @@ def _links(last: bool):
         size, key, is_long = 0, None, False
 
         def edges(runs):
-            a, b = [], []
+            two = np.array([f for f in runs if len(f) == 2], np.uint64).reshape(-1, 2)
+            two = two[_linked(two[:, 0] ^ two[:, 1])]
+            a, b = [two[:, 0]], [two[:, 1]]
             for f in runs:
                 if len(f) == 2:
-                    x = f[0] ^ f[1]
-                    if np.bitwise_count(x) <= MAX_BITS:
-                        a.append(f[:1]), b.append(f[1:])
                     continue
-                r = _roots(f)
+                r = _cube_roots(f) if last and len(f) >= CUBE_LIST else _roots(f)
                 own = np.flatnonzero(r != np.arange(len(f)))
                 a.append(f[r[own]]), b.append(f[own])
-            return (np.concatenate(a), np.concatenate(b)) if a else (np.empty(0, np.uint64),) * 2
+            return np.concatenate(a), np.concatenate(b)
 
         def batch(a, b, key=0, is_long=False):
             n = len(a)
@@ -213,6 +249,19 @@ def fingerprint_groups(fps: DataFrame) -> DataFrame:
     return connected_components(edges).select(F.col("node").alias("fp"), F.col("component").alias("root"))
 
 
+def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The fingerprints, and for each that occurs the component_id and the head of its group:
+    the doc_id, text_hash and number of copies of the row that stays."""
+    fps = materialize(fingerprints(docs), "simhash-fp")
+    groups = fingerprint_groups(fps)
+    rows = fps.groupBy("fp", "doc_id", "text_hash").agg(F.count("*").alias("n"))
+    head = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "n")).alias("head")
+    rooted = rows.groupBy("fp").agg(head).join(groups, "fp", "left").select("fp", "head", F.coalesce("root", "fp").alias("root"))
+    rooted = materialize(rooted, "simhash-roots")
+    names = rooted.groupBy("root").agg(F.min("head").alias("head"))
+    return fps, materialize(rooted.join(names.withColumnRenamed("head", "first"), "root").select("fp", "root", F.col("first").alias("head")), "simhash-labels")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of docs (doc_id, text, ...).
 
@@ -221,20 +270,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     null doc_id are members of their group but never name it (null if all ids are null);
     repeated rows come back as often as they are there.  Other columns are ignored.
     """
-    fps = materialize(fingerprints(docs), "simhash-fp")
-    groups = fingerprint_groups(fps)
-    least = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    rooted = least.join(groups, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    rooted = materialize(rooted, "simhash-roots")
-    names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = materialize(rooted.join(names, "root").select("fp", "component_id"), "simhash-labels")
+    fps, labels = _grouped(docs)
+    labels = labels.select("fp", F.col("head.doc_id").alias("component_id"))
     return fps.join(labels, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id names its group: one document of each group stays, with
-    all its columns (rows that repeat its doc_id stay too); of rows without an id, those in a
-    group without any id stay."""
-    groups = near_duplicates(docs)
-    stay = groups.where("doc_id = component_id or (doc_id is null and component_id is null)").select(F.col("doc_id").alias("_stay")).distinct()
-    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_stay")), "left_semi")
+    """One row of each group, with all its columns: that with the smallest doc_id (a null one
+    only where no row has an id); of rows that repeat that id, the text with the least hash; of
+    rows that repeat both, any one."""
+    _, labels = _grouped(docs)
+    heads = labels.select("root", "head").distinct().select(F.col("head.doc_id").alias("_id"), F.col("head.text_hash").alias("_hash"), F.col("head.n").alias("_n"))
+    heads = materialize(heads, "simhash-heads")
+    names = docs.columns
+    d = docs.select(F.struct(*names).alias("_all"), F.col("doc_id").cast("long").alias("_doc"), F.xxhash64(F.col("text").cast("string")).alias("_text_hash"))
+    same = F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash"))
+    stay = d.join(heads.where("_n = 1"), same, "left_semi")
+    again = heads.where("_n > 1")
+    if not again.isEmpty():
+        stay = stay.unionByName(d.join(again, same, "left_semi").dropDuplicates(["_doc", "_text_hash"]))
+    return stay.select(*(F.col("_all")[n].alias(n) for n in names))
