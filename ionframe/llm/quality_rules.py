@@ -143,3 +143,10 @@ def apply_rules(docs: DataFrame, rules=RULES, ordered: bool = False) -> DataFram
         verdict = verdict.when(F.expr(_named(r)), F.lit(r.name))
     out = metrics(d).withColumn("base_failed", F.expr(BASE_FAILED)).withColumn("rejected_by", verdict)
     return out.withColumn("kept", F.col("rejected_by").isNull() & F.expr(f"{_FENCE_SQL} = 0")).drop("_text", "_words")
+
+
+def keep_clean(docs: DataFrame, rules=RULES) -> DataFrame:
+    """The rows of docs that the cascade keeps, with all their columns, whatever their names."""
+    names = docs.columns
+    judged = apply_rules(docs.select(F.struct(*names).alias("_all"), F.col("text").alias("text")), rules)
+    return judged.where("kept").select(*(F.col("_all")[n].alias(n) for n in names))
