@@ -5,6 +5,14 @@ DataFrame.  :func:`run` applies them to the documents of sf_dir; every stage's r
 written as Parquet and read again as the next one's docs.  The stages are: quality rules
 (rejected documents go), quality classifier (rejected documents go), line dedup (repeated
 lines go), SimHash near-dedup (one document of each group stays) and packing.
+
+Any column may be null.  Null, empty and blank texts have no words, so the rules reject them;
+later stages leave such texts, which a line stage can make, as they are (equal ones are one
+group of near duplicates).  Texts of any length are taken whole.  Rows that repeat an id, or all
+of a row, are documents of their own: of their equal lines one occurrence is kept, of their
+near copies one row.  Ties go to the least doc_id, a null one last.  An empty table gives an
+empty table.  Extra columns of any name are handed on unchanged, but for the last stage, which
+returns pieces.
 """
 
 from __future__ import annotations
@@ -18,17 +26,19 @@ from ionframe.llm.queries import tokenizer_path
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the cascade keeps."""
-    return quality_rules.apply_rules(docs).where("kept").select(*docs.columns)
+    """Documents that the cascade keeps; a null or empty text fails the base rule."""
+    return quality_rules.keep_clean(docs)
 
 
 def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose quality score is 0.5 or more, by a model trained on those left that have a label."""
+    """Documents whose quality score is 0.5 or more, by a model trained on those left that have
+    a label; without labels, or with one only, the bias decides on all (0.5 without any)."""
     return quality_classifier.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without their repeated lines; n_chars follows the text."""
+    """Documents without their repeated lines; n_chars follows the text (null for a null one).
+    Every row stays, also one whose text becomes empty."""
     out = line_dedup.dedup_lines(docs)
     if "n_chars" in out.columns:
         out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
@@ -36,7 +46,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group."""
+    """One document of each group: one row, the rows that repeat its id and text included."""
     return simhash_dedup.keep_one(docs)
 
 
@@ -47,7 +57,9 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality_rules", rules), ("quality_classifier", classifier), ("line_dedup", lines), ("simhash_near_dedup", near_duplicates), ("harmonic_packing", pack)]
 
-#: SQL has no SimHash groups and no trained model: tests hold run() against a brute-force version.
+#: SQL has no SimHash groups and no trained model: test_pipeline_by_brute_force holds run() against
+#: plain Python over a table with copies, changed lines and rejected texts (the model is trained by
+#: the operator's own trainer there).
 ORACLE_SQL = None
 
 
