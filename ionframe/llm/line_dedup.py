@@ -38,7 +38,7 @@ import itertools
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize
+from .common import connected_components, discard, materialize
 
 MAX_BITS = 3
 SIMILARITY = 0.8
@@ -98,6 +98,10 @@ def lines(docs: DataFrame) -> DataFrame:
     long, so a row of eight sums counts all 64 bits.  The sums are made where the words are
     (before the shuffle), in parts of _PART words.
     """
+    return _whole_lines(_line_parts(docs))
+
+
+def _line_parts(docs: DataFrame) -> DataFrame:
     # rows are numbered below the generator, which would number the lines
     d = _documents(docs).withColumn("row", F.monotonically_increasing_id())
     e = d.select("row", "doc_id", "text_hash", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
@@ -112,7 +116,11 @@ def lines(docs: DataFrame) -> DataFrame:
     # one pass: the counters stay only where a line has several parts
     is_short = F.col("n") <= _PART
     parts = parts.select(*_LINE, F.when(is_short, F.expr(_majority_short())).alias("fp"), *(F.when(~is_short, F.col(f"a{k}")).alias(f"a{k}") for k in range(8)), *_packed())
-    parts = materialize(parts, "line-parts")
+    return materialize(parts, "line-parts")
+
+
+def _whole_lines(parts: DataFrame) -> DataFrame:
+    is_short = F.col("n") <= _PART
     short = parts.where(is_short).select(*_LINE, "fp", "s0", "s1", "s2")
     wide = [F.sum(F.expr(f"shiftrightunsigned(a{k}, {8 * j}) & 255L")).alias(f"b{8 * j + k}") for k in range(8) for j in range(8)]
     long = parts.where(~is_short).groupBy(*_LINE).agg(*wide, *(F.min(_unpacked(k)).alias(f"q{k}") for k in range(9)))
@@ -186,27 +194,35 @@ def _texts(wanted: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     t = t.select(F.split("text", "\n").alias("l"), F.explode("at").alias("p"))
     t = t.select("p.node", "p.k1", "p.k2", F.expr(_words("get(l, p.pos)")).alias("words")).where("xxhash64(words) = k1 and xxhash64(1L, words) = k2")
     # rows that are repeated give a text as often
-    return materialize(t.select("node", "words").dropDuplicates(["node"]), "line-texts")
+    texts = materialize(t.select("node", "words").dropDuplicates(["node"]), "line-texts")
+    discard(places)
+    return texts
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes whose lines are similar enough.
+    """The written pairs (a, b) of nodes whose lines are similar enough; pairs are used up.
 
     Words that both lines begin and end with are taken off before the edit distance is
     computed, which does not change it; if one line has no other words, the distance is the
-    length of what the other has more, with its blank.  The distance is asked for with a
-    sixteenth and a quarter of the bound first: most copies are much nearer than that.
+    length of what the other has more, with its blank.
     """
     texts = _texts(pairs.select(F.explode(F.array("a", "b")).alias("node")), nodes, docs)
     j = pairs.join(texts.select(F.col("node").alias("a"), F.col("words").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("words").alias("y")), "b")
     length = "aggregate({0}, -1, (t, w) -> t + 1 + char_length(w))"
-    j = j.withColumn("most", F.expr(f"cast(floor({1 - SIMILARITY:.6f} * greatest({length.format('x')}, {length.format('y')}) + 1e-9) as int)"))
+    # each step is fenced (the fence is 0): merged into the filter, it would be computed at every mention
+    fence = "cast(rand(0) as int)"
     same = "array_position(zip_with({0}, {1}, (v, w) -> v <=> w), false) - 1"
-    j = j.withColumn("p", F.expr(f"int({same.format('x', 'y')})"))
-    j = j.withColumn("s", F.expr(f"least(int({same.format('reverse(x)', 'reverse(y)')}), least(size(x), size(y)) - p)"))
-    j = j.select("a", "b", "most", *(F.expr(f"array_join(slice({c}, p + 1, size({c}) - p - s), ' ')").alias(c) for c in "xy"))
-    near = "if(x = '' or y = '', greatest(char_length(x), char_length(y)) + 1 <= most, levenshtein(x, y, most div 16) >= 0 or levenshtein(x, y, most div 4) >= 0 or levenshtein(x, y, most) >= 0)"
-    return j.where(F.expr(near)).select("a", "b")
+    j = j.withColumns({
+        "most": F.expr(f"cast(floor({1 - SIMILARITY:.6f} * greatest({length.format('x')}, {length.format('y')}) + 1e-9) as int) + {fence}"),
+        "p": F.expr(f"int({same.format('x', 'y')}) + {fence}"),
+        "r": F.expr(f"int({same.format('reverse(x)', 'reverse(y)')}) + {fence}"),
+    })
+    j = j.withColumn("s", F.expr(f"least(r, least(size(x), size(y)) - p) + {fence}"))
+    j = j.select("a", "b", "most", F.expr(fence).alias("fence"), *(F.expr(f"array_join(slice({c}, p + 1, size({c}) - p - s), ' ')").alias(c) for c in "xy"))
+    near = "if(x = '' or y = '', greatest(char_length(x), char_length(y)) + 1 <= most, levenshtein(x, y, most) >= 0)"
+    edges = materialize(j.where(F.expr(near)).select("a", "b"), "line-edges")
+    discard(texts, pairs)
+    return edges
 
 
 def _first_pairs(met: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -225,7 +241,7 @@ def _late_pairs(met: DataFrame, groups: DataFrame, nodes: DataFrame) -> DataFram
     mixed = m.groupBy("key").agg(F.count("*").alias("size"), F.min("g").alias("lo"), F.max("g").alias("hi")).where("size > 2 and lo <> hi")
     mixed = mixed.select("key", F.ceil(F.col("size") / LONG_BUCKET).cast("int").alias("chunks"))
     m = m.join(mixed, "key").join(nodes.select("node", "fp"), "node").withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
-    m = materialize(m.withColumn("other", F.expr("sequence(0, chunks - 1)")), "line-mixed")
+    m = m.withColumn("other", F.expr("sequence(0, chunks - 1)"))
     x = m.select("key", F.col("own").alias("i"), F.explode("other").alias("j"), F.col("node").alias("a"), F.col("g").alias("ga"), F.col("fp").alias("fa"))
     y = m.select("key", F.explode("other").alias("i"), F.col("own").alias("j"), F.col("node").alias("b"), F.col("g").alias("gb"), F.col("fp").alias("fb"))
     near = F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= _bits("key")
@@ -234,7 +250,9 @@ def _late_pairs(met: DataFrame, groups: DataFrame, nodes: DataFrame) -> DataFram
 
 def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The lines, and (k1, k2, head) of those whose class has more than one occurrence."""
-    found = materialize(lines(docs), "lines")
+    parts = _line_parts(docs)
+    found = materialize(_whole_lines(parts), "lines")
+    discard(parts)
     nodes = found.groupBy("k1", "k2", "short").agg(
         F.min(F.struct("doc_id", "pos", "row", "text_hash")).alias("first"), F.count("*").alias("n"), F.min("fp").alias("fp"), *(F.min(f"s{i}").alias(f"s{i}") for i in range(3)))
     nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "line-nodes")
@@ -243,16 +261,20 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     index = _index(nodes, blocks(nodes.count())).unionByName(_short_index(nodes))
     met = index.select("key", "node", F.first("node").over(ordered).alias("hub"), F.lag("node").over(ordered).alias("prev"), F.lead("node").over(ordered).alias("next"))
     met = materialize(met.where("prev is not null or next is not null").drop("next"), "line-index")
-    edges = materialize(_verified(materialize(_first_pairs(met, nodes), "line-pairs"), nodes, docs), "line-edges")
+    edges = _verified(materialize(_first_pairs(met, nodes), "line-pairs"), nodes, docs)
     groups = connected_components(edges)
     late = materialize(_late_pairs(met, groups, nodes), "line-late")
     if not late.isEmpty():
-        edges = materialize(edges.unionByName(_verified(late, nodes, docs)), "line-edges")
-        groups = connected_components(edges)
+        more = _verified(late, nodes, docs)
+        groups = connected_components(edges.unionByName(more))
+        discard(more)
+    discard(met, edges)
     named = nodes.join(groups, "node", "left").select("k1", "k2", "first", "n", F.coalesce("component", "node").alias("g"))
     named = materialize(named, "line-groups")
     total = named.groupBy("g").agg(F.min("first").alias("head"), F.sum("n").alias("total")).where("total > 1").select("g", "head")
-    return found, materialize(named.join(total, "g").select("k1", "k2", "head"), "line-heads")
+    heads = materialize(named.join(total, "g").select("k1", "k2", "head"), "line-heads")
+    discard(nodes, named, groups)
+    return found, heads
 
 
 def _occurrences(found: DataFrame, heads: DataFrame) -> DataFrame:
