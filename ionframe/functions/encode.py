@@ -1,10 +1,12 @@
 """Fragment encoders: one-hot (and count) feature vectors as arrays of set indices.
 
 A block of a model is an expression that gives the index it sets, or null where it sets
-none; a model is a list of blocks in a fixed order with their widths.  Rows carry
-n, c (residue classes), series (0 b, 1 y, 2 stub, 3 unassigned), charge (1..5), glyc (size),
-and, for the larger models, fuc, labile, loss, comp (array of class counts), near_n, near_c
-(classes at 1..depth) and dist.
+none; a model is a list of blocks in a fixed order with their widths.  A count of c is the
+index c times: whatever adds up the coefficients of the indices then multiplies by it.  Rows
+carry n, c (residue classes), series (0 b, 1 y, 2 stub, 3 unassigned), charge (1..5), glyc
+(size), and, for the larger models, fuc, labile, loss (sugars lost of the whole glycan),
+loss_internal (of its internal part, see scalar.internal_size), comp (array of class counts),
+near_n, near_c (classes at 1..depth) and dist.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ class Block:
     name: str
     width: int
     indices: tuple  # Columns relative to the block
+    counts: tuple = ()  # how often each is set, once by default
 
 
 def _assigned() -> Column:
@@ -62,10 +65,10 @@ def proline() -> list[Block]:
 
 
 def composition() -> list[Block]:
-    """The class counts are set as present here; their values are in comp."""
+    """The classes of the stub's sequence are set as often as comp counts them."""
     return [
         Block("stub:is_glycosylated", STUB_MAX + 1, (F.when(_stub(), F.least(F.col("glyc"), F.lit(STUB_MAX))),)),
-        Block("stub:composition", CLASSES, tuple(F.when(_stub() & (F.get("comp", F.lit(k)) > 0), k) for k in range(CLASSES))),
+        Block("stub:composition", CLASSES, tuple(F.when(_stub(), k) for k in range(CLASSES)), tuple(F.get("comp", F.lit(k)) for k in range(CLASSES))),
     ]
 
 
@@ -81,8 +84,8 @@ def distance(cap: int = 10) -> list[Block]:
     return [Block("series:distance", 2 * (cap + 1), (F.when(_backbone(), F.col("series") * (cap + 1) + F.least(F.col("dist"), F.lit(cap))),))]
 
 
-def loss() -> list[Block]:
-    return [Block("stub:charge:loss", CHARGES * LOSSES, (F.when(_stub(), _z() * LOSSES + F.least(F.col("loss"), F.lit(LOSSES - 1))),))]
+def loss(size: str = "loss") -> list[Block]:
+    return [Block("stub:charge:loss", CHARGES * LOSSES, (F.when(_stub(), _z() * LOSSES + F.least(F.col(size), F.lit(LOSSES - 1))),))]
 
 
 def labile() -> list[Block]:
@@ -109,9 +112,9 @@ MODELS = {
     "NeighboringAminoAcidsModelDepth4": _near(4),
     "CleavageSiteCenterDistanceModel": lambda: [*_near(2)(), *distance()],
     "StubChargeModel": lambda: [*_near(2)(), *loss()],
-    "StubChargeModelApproximate": lambda: [*_near(2)(), *loss()],
+    "StubChargeModelApproximate": lambda: [*_near(2)(), *loss("loss_internal")],
     "LabileMonosaccharideAwareModel": lambda: [*_near(2)(), *loss(), *labile()],
-    "LabileMonosaccharideAwareModelApproximate": lambda: [*_near(2)(), *loss(), *labile()],
+    "LabileMonosaccharideAwareModelApproximate": lambda: [*_near(2)(), *loss("loss_internal"), *labile()],
     "AmideBondCrossproductModel": lambda: [*base(), *proline(), *composition(), *cross()],
 }
 
@@ -130,12 +133,16 @@ def feature_names(model: str) -> list[str]:
 
 
 def encode(blocks: list[Block]) -> Column:
-    """The sorted indices that a row sets."""
-    out, offset = [], 0
+    """The sorted indices that a row sets, those with a count as often as that."""
+    out, many, offset = [], [], 0
     for b in blocks:
-        out += [(F.lit(offset) + i).cast("int") for i in b.indices]
+        own = [(F.lit(offset) + i).cast("int") for i in b.indices]
+        if b.counts:
+            many += [F.array_repeat(i, F.coalesce(c, F.lit(0)).cast("int")) for i, c in zip(own, b.counts)]
+        else:
+            out += own
         offset += b.width
-    return F.array_sort(F.array_compact(F.array(*out)))
+    return F.array_sort(F.array_compact(F.concat(F.array(*out), *many)))
 
 
 def encode_model(model: str) -> Column:

@@ -195,3 +195,23 @@ def reverse_keeping_ends(residues) -> Column:
     r = _c(residues)
     n = F.size(r)
     return F.when(n <= 3, r).otherwise(F.concat(F.slice(r, 1, 1), F.reverse(F.slice(r, F.lit(2), n - 2)), F.slice(r, n, F.lit(1))))
+
+
+def labile_count(glycan: Column) -> Column:
+    """Sialic acids of a composition (map of sugar to count)."""
+    return sum((F.coalesce(F.try_element_at(glycan, F.lit(x)), F.lit(0)) for x in ("NeuAc", "NeuGc")), F.lit(0))
+
+
+def fucose_count(glycan: Column) -> Column:
+    """Deoxyhexoses of a composition."""
+    return sum((F.coalesce(F.try_element_at(glycan, F.lit(x)), F.lit(0)) for x in ("Fuc", "dHex")), F.lit(0))
+
+
+def glycan_size(glycan: Column) -> Column:
+    """All sugars of a composition."""
+    return F.aggregate(F.map_values(glycan), F.lit(0), lambda t, v: t + v)
+
+
+def internal_size(glycan: Column) -> Column:
+    """The sugars of a composition without its labile ones: the approximate size of its inside."""
+    return glycan_size(glycan) - labile_count(glycan)

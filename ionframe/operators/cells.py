@@ -77,8 +77,17 @@ def route(psms: DataFrame, cells: DataFrame) -> DataFrame:
     that exist: greedy by level, length, size, charge, mobility, then type and count.
 
     At each level the first interval or the equal key wins, else the nearest of the branches
-    left.  Unknown charge takes the middle key.  A type that no branch has costs 1 more.
+    left.  Unknown charge takes the middle key.  A type that no branch has costs 1 more.  Only
+    the different combinations of the six values are routed (few, whatever the number of PSMs);
+    the PSMs take their cell from those.
     """
+    values = ["length", "size", "charge", "mobility", "glycan_type", "glycan_count"]
+    different = psms.select(*values).distinct()
+    to = _route(different, cells).select(*(F.col(v).alias(f"_to_{v}") for v in values), "cell")
+    return psms.join(to, [F.col(v).eqNullSafe(F.col(f"_to_{v}")) for v in values], "left").drop(*(f"_to_{v}" for v in values))
+
+
+def _route(psms: DataFrame, cells: DataFrame) -> DataFrame:
     mid = lambda k, v: F.abs(v - (k["lo"] + k["hi"]) / 2)
     iv = cells.select(F.struct(F.col("length_lo").alias("lo"), F.col("length_hi").alias("hi")).alias("length_iv"), F.struct(F.col("size_lo").alias("lo"), F.col("size_hi").alias("hi")).alias("size_iv"), "charge", "mobility", F.struct(F.col("glycan_type").alias("t"), F.col("glycan_count").alias("c")).alias("tc"))
     hit = lambda k, v: F.when(v.between(k["lo"], k["hi"]), -1.0).otherwise(mid(k, v))

@@ -134,14 +134,16 @@ def newton(sums, steps: int = MOST_STEPS, epsilon: float = EPSILON) -> dict:
     """sums(beta) gives z, H and the deviance at beta (None: at the start).
 
     Without a finite deviance or with a singular system the result has no coefficients.
+    converged tells whether the deviance settled within the steps.
     """
-    beta, last, h, i = None, None, None, 0
+    beta, last, h, i, done = None, None, None, 0, False
     dev = np.nan
     for i in range(steps + 1):
         z, s, dev = sums(beta)
         if not np.isfinite(dev):
             return {"coef": None, "covariance": None, "deviance": float(dev), "iterations": i}
-        if last is not None and abs((dev - last) / (last or 1.0)) < epsilon or i == steps:
+        done = last is not None and abs((dev - last) / (last or 1.0)) < epsilon
+        if done or i == steps:
             break
         last = dev
         h = s + np.eye(len(z))
@@ -150,7 +152,7 @@ def newton(sums, steps: int = MOST_STEPS, epsilon: float = EPSILON) -> dict:
         except np.linalg.LinAlgError:
             return {"coef": None, "covariance": None, "deviance": float(dev), "iterations": i}
         beta = np.linalg.solve(lower.T, np.linalg.solve(lower, z))
-    return {"coef": beta, "covariance": np.linalg.inv(h) if h is not None else None, "deviance": float(dev), "iterations": i}
+    return {"coef": beta, "covariance": np.linalg.inv(h) if h is not None else None, "deviance": float(dev), "iterations": i, "converged": done}
 
 
 def _spectra(frame: pd.DataFrame, scan: list[str]) -> Spectra:
@@ -184,7 +186,7 @@ def fit_cells(rows: DataFrame, cell: list[str], scan: list[str], width: int, cel
         ok = got["coef"] is not None
         row = {c: frame[c].iloc[0] for c in cell} | {
             "n_spectra": len(spectra), "n_rows": len(frame), "coef": got["coef"].tolist() if ok else None, "covariance": got["covariance"].ravel().tolist() if ok else None,
-            "deviance": got["deviance"], "dispersion": got["deviance"] / max(1, len(frame)), "iterations": got["iterations"], "converged": ok,
+            "deviance": got["deviance"], "dispersion": got["deviance"] / max(1, len(frame)), "iterations": got["iterations"], "converged": bool(got.get("converged")),
         }
         return pd.DataFrame([row])
 

@@ -48,9 +48,11 @@ def rates(pairs: DataFrame, peaks: DataFrame, by: list[str], feature: str, on_pa
 
 def specialise(pairs: DataFrame, totals: DataFrame, by: list[str], on_pair: Column, least: int = LEAST_COUNT) -> DataFrame:
     """Rates for each combination of charges and ratio bucket with at least least relations;
-    totals (one row) has n_on and n_off."""
+    totals has n_on and n_off in one row; more rows are an error, as pairs have no key to them."""
+    if len(totals.limit(2).take(2)) > 1:
+        raise ValueError("totals must have one row")
     h = pairs.groupBy(*by).agg(F.count("*").alias("n"), F.count_if(on_pair).alias("on_count"), F.count_if(~on_pair).alias("off_count")).where(F.col("n") >= least)
-    h = h.crossJoin(F.broadcast(totals.limit(1)))
+    h = h.crossJoin(F.broadcast(totals))
     return h.withColumns({"mu": F.col("on_count") / F.greatest("n_on", F.lit(1)), "nu": F.col("off_count") / F.greatest("n_off", F.lit(1))})
 
 
@@ -75,10 +77,11 @@ def posterior(edges: DataFrame, peak: list[str], other: str, own: str, mu: str,
     return agg.select(*peak, F.try_divide(F.col("g") * F.col("a"), F.col("g") * F.col("a") + (1 - F.col("g")) * F.col("b")).alias("probability"))
 
 
-def with_reliability(matches: DataFrame, scores: DataFrame, keys: list[str], base: float, unassigned: Column, missing: float) -> DataFrame:
-    """matches with reliability: their score from base to 1, and missing for the unassigned."""
+def with_reliability(matches: DataFrame, scores: DataFrame, keys: list[str], base: float, unassigned: Column, missing: float, gamma: float = 0.5) -> DataFrame:
+    """matches with reliability: their score from base to 1, and missing for the unassigned.  A
+    peak without edges has the prior probability gamma."""
     j = matches.join(scores.select(*keys, "probability"), keys, "left")
-    rel = F.coalesce("probability", F.lit(0.0)) * (1 - base) + base
+    rel = F.coalesce("probability", F.lit(gamma)) * (1 - base) + base
     return j.withColumn("reliability", F.when(unassigned, F.lit(missing)).otherwise(rel)).drop("probability")
 
 

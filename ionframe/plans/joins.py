@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar, stats
-from ..operators import bandjoin, cells, peaks
+from ..operators import bandjoin, cells, peaks, search
 from . import views
 from .registry import query
 from .views import PEAKS, PSMS, RANKED, table
@@ -103,6 +103,50 @@ def j_link_semi(spark, d):
     return pairs.groupBy("scan", "name").agg(F.count("*").alias("n"), F.count_if((F.col("a_series") == "A") & F.col("expected")).alias("expected"))
 
 
+_AA = "'G', 'A', 'S', 'P', 'V', 'T', 'C', 'L', 'N', 'D'"
+_LINK_SQL = "link(name, kind, off, residue) as (values " + ", ".join(f"('{n}', '{k}', {m!r}::double, {'null' if r is None else repr(r)})" for n, k, m, r in [
+    ("HexNAc", "offset", 203.07937252, None), *((b, "link", search.residue_mass(b), b.partition("(")[0]) for b in search.LINKS)]) + ")"
+_FLANKED = f"m as (select scan, ok, ln, mass, series, [{_AA}][1 + ok % 10] as flank_n, [{_AA}][1 + ln] as flank_c from ranked where rank >= 1 and series <> 'R')"
+_LINKED = f"""with {RANKED}, {_LINK_SQL}, {_FLANKED},
+p as (select a.scan, a.ok as a_ok, a.ln as a_ln, a.mass as am, b.ok as b_ok, b.ln as b_ln, b.mass as bm, f.name, f.kind, f.residue from ranked a cross join link f join ranked b on a.scan = b.scan and a.rank >= 1 and b.rank >= 1
+ and abs((a.mass + f.off - b.mass) / b.mass) <= 2e-5 and {_PAIR}),
+v as (select * from p where kind = 'link' and exists (select 1 from m where m.scan = p.scan and m.ok = a_ok and m.ln = a_ln and m.mass = am and series = 'A' and (flank_n = residue or flank_c = residue))
+ and exists (select 1 from m where m.scan = p.scan and m.ok = b_ok and m.ln = b_ln and m.mass = bm and series = 'A'))"""
+
+
+def _linked(spark, d):
+    p = views.ranked(spark, d).where("rank >= 1").select("scan", "ok", "ln", "mass", "series")
+    aa = F.array(*(F.lit(x) for x in "GASPVTCLND"))
+    m = p.where("series <> 'R'").withColumns({"flank_n": F.get(aa, (F.col("ok") % 10).cast("int")), "flank_c": F.get(aa, F.col("ln").cast("int"))})
+    features = search.catalogue(spark, "b").where("kind = 'link' or name = 'HexNAc'")
+    return p.drop("series"), m, features
+
+
+@query("j_link_flank", f"{_LINKED} select scan, a_ok, a_ln, b_ok, b_ln, name from v")
+def j_link_flank(spark, d):
+    p, m, features = _linked(spark, d)
+    ident = ["ok", "ln", "mass"]
+    pairs = bandjoin.feature_pairs(p, features.where("kind = 'link'"), ["scan"], "mass", ident)
+    on = m.where("series = 'A'")
+    out = search.link_pairs(pairs, on, {"scan": "scan"} | {f"a_{c}": c for c in ident}, {"scan": "scan"} | {f"b_{c}": c for c in ident})
+    return out.select("scan", "a_ok", "a_ln", "b_ok", "b_ln", "name")
+
+
+@query("j_series_search", f"""{_LINKED}, e as (select * from v union all select p.* from p where kind = 'offset' and exists (select 1 from m where m.scan = p.scan and m.ok = a_ok and m.ln = a_ln and m.mass = am and series = 'A')),
+t as (select scan, name, a_ok as ok, a_ln as ln from e union all select scan, name, b_ok, b_ln from e)
+select scan, ok, ln, name, count(*) as n from t group by all""")
+def j_series_search(spark, d):
+    p, m, features = _linked(spark, d)
+    edges = search.series_edges(p, m, features, ["scan"], "mass", ["ok", "ln", "mass"], "A")
+    return edges.groupBy("scan", "ok", "ln", "name").agg(F.count("*").alias("n"))
+
+
+@query("x_catalogue", "select * from (values ('b', cast(33 as bigint), cast(28 as bigint)), ('stub_glycopeptide', cast(4 as bigint), cast(0 as bigint))) as t(series, n, links)")
+def x_catalogue(spark, d):
+    per = lambda s: search.catalogue(spark, s).agg(F.lit(s).alias("series"), F.count("*").alias("n"), F.count_if(F.col("kind") == "link").alias("links"))
+    return per("b").unionByName(per("stub_glycopeptide"))
+
+
 @query("j_fit_lookup", """with f as (select l_linenumber as fc, cast(l_quantity as int) % 7 + 1 as tc, count(*) as n, round(avg(l_discount), 6) as mu from lineitem group by all having count(*) >= 10)
 select l_orderkey % 100 as grp, count(*) as n, round(sum(mu), 4) as mu from lineitem join f on l_linenumber = fc and cast(l_partkey % 11 as int) + 1 = tc group by 1""")
 def j_fit_lookup(spark, d):
@@ -160,7 +204,7 @@ def j_adjacent_cells(spark, d):
     return near.join(other, ["mobility", "neighbour_charge"]).groupBy("mobility", "charge").agg(F.sum("n").alias("n"))
 
 
-@query("j_all_products", """with f as (select p_partkey, p_size from part where p_size <= 10), o as (select l_partkey, l_linenumber, max(l_extendedprice) as i from lineitem group by all)
+@query("j_all_products", """with f as (select p_partkey from part), o as (select l_partkey, l_linenumber, max(l_extendedprice) as i from lineitem group by all)
 select p_partkey, charge, coalesce(i, 1.0) as intensity from f cross join (select unnest(range(1, 6)) as charge) left join o on l_partkey = p_partkey and l_linenumber = charge""")
 def j_all_products(spark, d):
     from ..functions.chem import all_products

@@ -27,7 +27,7 @@ def _fragments(spark, d):
     return li.select(
         F.col("l_orderkey").alias("ok"), F.col("l_linenumber").alias("ln"), F.col("l_partkey").alias("pk"), F.col("l_extendedprice").alias("intensity"), series.alias("series"),
         F.when(backbone, (F.col("l_partkey") % 8).cast("int")).alias("n"), F.when(backbone, (F.col("l_orderkey") % 8).cast("int")).alias("c"), F.col("l_linenumber").cast("int").alias("charge"),
-        (F.col("l_quantity").cast("int") % 17).alias("glyc"), (F.col("l_quantity").cast("int") % 9).alias("fuc"), (F.col("l_partkey") % 8).cast("int").alias("labile"), (F.col("l_partkey") % 40).cast("int").alias("loss"),
+        (F.col("l_quantity").cast("int") % 17).alias("glyc"), (F.col("l_quantity").cast("int") % 9).alias("fuc"), (F.col("l_partkey") % 8).cast("int").alias("labile"), (F.col("l_partkey") % 40).cast("int").alias("loss"), F.greatest((F.col("l_partkey") % 40 - F.col("l_partkey") % 8).cast("int"), F.lit(0)).alias("loss_internal"),
         comp.alias("comp"), F.array((F.col("l_suppkey") % 8).cast("int"), (F.col("l_suppkey") % 7).cast("int")).alias("near_n"), F.array((F.col("l_orderkey") % 7).cast("int"), (F.col("l_orderkey") % 5).cast("int")).alias("near_c"),
         (F.col("l_partkey") % 13).cast("int").alias("dist"),
     )
@@ -41,11 +41,12 @@ _FRAGMENTS = """f as (select l_orderkey as ok, l_linenumber as ln, l_partkey as
 _BLOCK_SQL = {
     "base": (43, ["case when series < 2 then n end", "case when series < 2 then 8 + c end", "case when series < 3 then 16 + series end", "case when series = 3 then 19 end", "case when series < 2 then 20 + z end", "case when series < 3 then 25 + series * 5 + z end", "case when series < 2 then 40 + least(glyc, 2) end"]),
     "proline": (10, ["case when series < 2 and c = 0 then z end", "case when series < 2 and c = 0 then 5 + series end", "case when series < 2 and c = 0 then 7 + least(glyc, 2) end"]),
-    "composition": (23, ["case when series = 2 then least(glyc, 14) end", *(f"case when series = 2 and (pc = {k} or {k % 2} = 1) then {15 + k} end" for k in range(8))]),
+    "composition": (23, ["case when series = 2 then least(glyc, 14) end", *(f"case when series = 2 and {n} <= case when pc = {k} then {k + 1} else {k % 2} end then {15 + k} end" for k in range(8) for n in range(1, k + 2))]),
     "fucose": (35, ["case when series = 2 then z * 7 + least(fuc, 6) end"]),
     "neighbours": (32, ["case when series < 2 then n1 end", "case when series < 2 then 8 + n2 end", "case when series < 2 then 16 + c1 end", "case when series < 2 then 24 + c2 end"]),
     "distance": (22, ["case when series < 2 then series * 11 + least(dist, 10) end"]),
     "loss": (145, ["case when series = 2 then z * 29 + least(loss, 28) end"]),
+    "loss_internal": (145, ["case when series = 2 then z * 29 + least(greatest(loss - labile, 0), 28) end"]),
     "labile": (35, ["case when series = 2 then z * 7 + least(labile, 6) end"]),
     "cross": (128, ["case when series < 2 then c + 8 * n + 64 * series end"]),
 }
@@ -72,6 +73,7 @@ _NEAR = [*_COMP, "fucose", "neighbours"]
 for _name, _model, _parts in (
     ("e_encode_base", "FragmentType", ["base"]), ("e_encode_proline", "ProlineSpecializingModel", ["base", "proline"]), ("e_encode_stub", "StubGlycopeptideCompositionModel", _COMP),
     ("e_encode_fucose", "StubGlycopeptideFucosylationModel", [*_COMP, "fucose"]), ("e_encode_neighbors", "NeighboringAminoAcidsModelDepth2", _NEAR), ("e_encode_distance", "CleavageSiteCenterDistanceModel", [*_NEAR, "distance"]),
+    ("e_encode_charge_approximate", "StubChargeModelApproximate", [*_NEAR, "loss_internal"]), ("e_encode_labile_approximate", "LabileMonosaccharideAwareModelApproximate", [*_NEAR, "loss_internal", "labile"]),
     ("e_encode_charge", "StubChargeModel", [*_NEAR, "loss"]), ("e_encode_labile", "LabileMonosaccharideAwareModel", [*_NEAR, "loss", "labile"]), ("e_encode_cross", "AmideBondCrossproductModel", [*_COMP, "cross"]),
 ):
     _encode_query(_name, _model, _parts)

@@ -98,7 +98,7 @@ def a_fit_pivot(spark, d):
 
 
 _EDGES = """e as (select l_suppkey as scan, l_partkey % 50 as own, l_orderkey % 60 as other, l_orderkey as ok, l_linenumber as ln, l_extendedprice as x,
- case when l_tax = 0.08 then 0 else 0.2 + l_tax end as mu, 0.1 + l_discount as nu from lineitem where l_linenumber <= 3)"""
+ case when l_tax = 0.08 then 0 else 0.2 + l_tax end as mu, 0.1 + l_discount as nu from lineitem)"""
 
 
 @query("a_posterior", f"""with {_EDGES}, b as (select *, row_number() over (partition by scan, own, least(own, other), greatest(own, other) order by -(0.3 * mu / (0.3 * mu + 0.7 * nu)), ok, ln, x) as r from e),
@@ -114,7 +114,7 @@ def a_posterior(spark, d):
 
 
 @query("a_reliability", f"""with {_EDGES}, s as (select scan, own, avg(mu) as p from e group by all)
-select l_orderkey, l_linenumber, l_partkey, round(case when l_returnflag = 'R' then 0.5 else coalesce(p, 0) * 0.5 + 0.5 end, 6) as reliability
+select l_orderkey, l_linenumber, l_partkey, round(case when l_returnflag = 'R' then 0.5 else coalesce(p, 0.5) * 0.5 + 0.5 end, 6) as reliability
 from lineitem left join s on scan = l_suppkey and own = l_partkey % 50""")
 def a_reliability(spark, d):
     li = table(spark, d, "lineitem")
@@ -253,12 +253,12 @@ def s_ls_scale(spark, d):
     return table(spark, d, "lineitem").groupBy("l_suppkey").agg(_r(stats.least_squares_scale("l_quantity", "l_extendedprice"), 4).alias("scale"))
 
 
-@query("s_distcorr", """with x as (select l_suppkey as g, l_quantity as x, l_discount as y, row_number() over (partition by l_suppkey order by l_orderkey, l_linenumber, l_extendedprice) as i from lineitem where l_suppkey < 20),
-p as (select a.g, a.i, b.i as j, abs(a.x - b.x) as dx, abs(a.y - b.y) as dy from x a join x b on a.g = b.g),
-c as (select g, dx - avg(dx) over (partition by g, i) - avg(dx) over (partition by g, j) + avg(dx) over (partition by g) as a, dy - avg(dy) over (partition by g, i) - avg(dy) over (partition by g, j) + avg(dy) over (partition by g) as b from p)
-select g, round(sqrt(greatest(avg(a * b), 0) / sqrt(avg(a * a) * avg(b * b))), 5) as dcor from c group by 1""")
+# the squared distance covariance is mean(dx dy) - 2 mean(row means' product) + product of means
+@query("s_distcorr", """with x as (select l_suppkey as g, l_quantity as x, l_discount as y, row_number() over (partition by l_suppkey order by l_orderkey, l_linenumber, l_extendedprice) as i from lineitem),
+p as (select a.g, a.i, avg(abs(a.x - b.x)) as rx, avg(abs(a.y - b.y)) as ry, avg(abs(a.x - b.x) * abs(a.y - b.y)) as xy, avg((a.x - b.x) * (a.x - b.x)) as xx, avg((a.y - b.y) * (a.y - b.y)) as yy from x a join x b on a.g = b.g group by all),
+c as (select g, avg(xy) - 2 * avg(rx * ry) + avg(rx) * avg(ry) as xy, avg(xx) - 2 * avg(rx * rx) + avg(rx) * avg(rx) as xx, avg(yy) - 2 * avg(ry * ry) + avg(ry) * avg(ry) as yy from p group by 1)
+select g, round(sqrt(greatest(xy, 0) / sqrt(xx * yy)), 5) as dcor from c""")
 def s_distcorr(spark, d):
-    """Of every supplier; the SQL, a self-join of whole groups, has only the first twenty."""
     x = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("g"), "l_quantity", "l_discount")
     return select.distance_correlation(x, ["g"], "l_quantity", "l_discount", "g long").select("g", _r("dcor", 5).alias("dcor"))
 

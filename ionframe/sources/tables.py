@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a temporary folder where it is unset (a local session)."""
+    """spark.checkpoint.dir; a temporary folder where a local session doesn't set it, an error on
+    a cluster, whose executors would each write to their own disk."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="ionframe-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")

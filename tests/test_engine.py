@@ -288,3 +288,43 @@ def test_too_many_cells_or_models_are_an_error(spark, monkeypatch):
     with pytest.raises(ValueError):
         codecs.model_document(df, {})
     assert sorted(r.partition_key for r in cells.partition_key(df.where("a < 2"), ["a"]).collect()) == [0, 1]
+
+
+def test_counts_of_a_composition(spark):
+    from pyspark.sql import functions as F
+
+    from ionframe.functions import scalar
+
+    rows = [({"Hex": 5, "HexNAc": 4, "NeuAc": 2, "NeuGc": 1, "Fuc": 1, "dHex": 2},), ({"Hex": 3},), ({},)]
+    g = F.col("g")
+    got = spark.createDataFrame(rows, "g map<string,int>").select(scalar.labile_count(g), scalar.fucose_count(g), scalar.glycan_size(g), scalar.internal_size(g)).collect()
+    assert [tuple(r) for r in got] == [(3, 3, 15, 12), (0, 0, 3, 3), (0, 0, 0, 0)]
+
+
+def test_newton_tells_convergence():
+    import numpy as np
+
+    from ionframe.operators.glm import newton
+
+    settle = lambda b: (np.zeros(2), np.eye(2), 5.0)
+    assert newton(settle)["converged"]
+    values = iter(range(1, 99))
+    assert not newton(lambda b: (np.zeros(2), np.eye(2), float(next(values))), steps=3)["converged"]
+
+
+def test_one_row_of_totals(spark):
+    from pyspark.sql import functions as F
+
+    from ionframe.operators import relations
+
+    pairs = spark.createDataFrame([(1,)] * 12, "fc int")
+    totals = spark.createDataFrame([(1, 2), (3, 4)], "n_on int, n_off int")
+    with pytest.raises(ValueError):
+        relations.specialise(pairs, totals, ["fc"], F.lit(True))
+
+
+def test_specs_are_unique(spark):
+    from ionframe.operators import search
+
+    cells = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b")], "charge int, mobility string")
+    assert [tuple(r) for r in search.unique_specs(cells, ["charge", "mobility"]).collect()] == [(1, "a", 2)]
