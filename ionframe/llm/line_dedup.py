@@ -22,10 +22,11 @@ one of them.  b is the least for which the keys have a few bits more than there
 tell apart, so that chance meetings stay in proportion to the input.
 
 No bucket is expanded into all its pairs.  First each member is compared with the bucket's
-first and with its predecessor; after the groups of those links are known, only members of
-one bucket that are still in different groups are compared, in chunks of LONG_BUCKET members
-by LONG_BUCKET, each pair of chunks on its own.  A pair that was skipped is in one group
-already, so no link between groups is lost.
+first and with its neighbours in two orders; in buckets that hold several groups still, with
+its neighbours of other groups in four more orders; then only members of one bucket that are
+still in different groups are compared, in chunks of LONG_BUCKET members by LONG_BUCKET, each
+pair of chunks on its own.  A pair that was skipped is in one group already, so no link
+between groups is lost.
 
 A line is known by its row (numbered where the lines are written, so equal rows differ) and
 its place in the row's text.
@@ -85,14 +86,14 @@ def _documents(docs: DataFrame) -> DataFrame:
     return d.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
 
 
-_LINE = ["row", "doc_id", "text_hash", "pos", "k1", "k2", "short", "n"]
+_LINE = ["row", "doc_id", "text_hash", "pos", "k1", "k2", "short", "len", "n"]
 
 
 def lines(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, text_hash, pos, k1, k2, short, n, fp, s0, s1, s2) for every line that has a
+    """(row, doc_id, text_hash, pos, k1, k2, short, len, n, fp, s0, s1, s2) for every line that has a
     letter, digit or non-ASCII character; k1, k2 identify the normalised line, short is the line
-    itself where it has at most SHORT_WORDS words, n is its number of words, s0..s2 hold its
-    sketch.  Lines are split at \\n, pos is from 0.
+    itself where it has at most SHORT_WORDS words, len and n are its numbers of characters and
+    words, s0..s2 hold its sketch.  Lines are split at \\n, pos is from 0.
 
     The hash of a word pair adds one to the counters of its bits; eight counters lie in the bytes of a
     long, so a row of eight sums counts all 64 bits.  The sums are made where the words are
@@ -107,7 +108,7 @@ def _line_parts(docs: DataFrame) -> DataFrame:
     e = d.select("row", "doc_id", "text_hash", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     w = e.select("row", "doc_id", "text_hash", "pos", F.expr(_words("line")).alias("w")).where("size(w) > 0")
     # keys and size before the words are exploded: beside the generator they'd be computed for each word
-    w = w.select("row", "doc_id", "text_hash", "pos", "w", *_keys("w"), F.when(F.size("w") <= SHORT_WORDS, F.array_join("w", " ")).alias("short"), F.size("w").alias("n"))
+    w = w.select("row", "doc_id", "text_hash", "pos", "w", *_keys("w"), F.when(F.size("w") <= SHORT_WORDS, F.array_join("w", " ")).alias("short"), F.char_length(F.array_join("w", " ")).alias("len"), F.size("w").alias("n"))
     x = w.select(*_LINE, "w", F.posexplode("w").alias("i", "word"))
     x = x.select(*_LINE, F.expr(f"i div {_PART}").alias("part"), F.xxhash64("word", F.get("w", F.col("i") + 1)).alias("h"))
     sums = [F.sum(F.shiftrightunsigned("h", k).bitwiseAND(F.lit(_ONES))).alias(f"a{k}") for k in range(8)]
@@ -236,27 +237,40 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     return edges
 
 
-def _first_pairs(met: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs of each member with its bucket's first and with its predecessor whose
-    fingerprints are near enough for the key."""
-    pairs = met.select("key", "node", F.explode(F.array("hub", "prev")).alias("b")).where("b is not null and b <> node")
-    pairs = pairs.groupBy(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).agg(F.max(_bits("key")).alias("bits"))
-    fps = nodes.select("node", "fp")
-    pairs = pairs.join(fps.select(F.col("node").alias("a"), F.col("fp").alias("fa")), "a").join(fps.select(F.col("node").alias("b"), F.col("fp").alias("fb")), "b")
-    return pairs.where(F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= F.col("bits")).select("a", "b")
+def _may_link():
+    """Whether fingerprints are near enough for the key, and lengths for the similarity."""
+    longer = F.greatest("na", "nb")
+    near = F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= _bits("key")
+    return near & (longer - F.least("na", "nb") <= F.floor(F.lit(round(1 - SIMILARITY, 6)) * longer + 1e-9))
+
+
+def _neighbours(members: DataFrame, orders: list, hub: bool) -> DataFrame:
+    """The pairs of members (key, node, g, fp, ...) of different groups g that are neighbours
+    in one of the bucket's orders (or, with hub, one of which is first in the first order) and
+    whose fingerprints and lengths are near enough: a few pairs for each member."""
+    me = F.struct("node", "g", "fp", "len")
+    others = []
+    for o in orders:
+        w = Window.partitionBy("key").orderBy(*o, "node")
+        others += [F.lag(me).over(w), *([F.first(me).over(w)] if hub and not others else [])]
+    p = members.select("key", F.col("node").alias("a"), F.col("g").alias("ga"), F.col("fp").alias("fa"), F.col("len").alias("na"), F.array(*others).alias("o")).select("key", "a", "ga", "fa", "na", F.explode("o").alias("o"))
+    p = p.select("key", "a", "ga", "fa", "na", F.col("o.node").alias("b"), F.col("o.g").alias("gb"), F.col("o.fp").alias("fb"), F.col("o.len").alias("nb")).where(F.col("b").isNotNull() & (F.col("ga") != F.col("gb")) & _may_link())
+    return p.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _mixed(met: DataFrame, groups: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The members of buckets that hold several groups still, with the chunks to compare them in."""
+    m = met.join(groups, "node", "left").select("key", "node", F.coalesce("component", "node").alias("g"))
+    mixed = m.groupBy("key").agg(F.count("*").alias("size"), F.min("g").alias("lo"), F.max("g").alias("hi")).where("size > 2 and lo <> hi")
+    return m.join(mixed.select("key", F.ceil(F.col("size") / LONG_BUCKET).cast("int").alias("chunks")), "key").join(nodes.select("node", "fp", "len", "s0", "s1", "s2"), "node")
 
 
-def _late_pairs(met: DataFrame, groups: DataFrame, nodes: DataFrame) -> DataFrame:
+def _late_pairs(mixed: DataFrame) -> DataFrame:
     """The near pairs of one bucket that lie in different groups, chunk by chunk."""
-    m = met.select("key", "node").join(groups, "node", "left").select("key", "node", F.coalesce("component", "node").alias("g"))
-    mixed = m.groupBy("key").agg(F.count("*").alias("size"), F.min("g").alias("lo"), F.max("g").alias("hi")).where("size > 2 and lo <> hi")
-    mixed = mixed.select("key", F.ceil(F.col("size") / LONG_BUCKET).cast("int").alias("chunks"))
-    m = m.join(mixed, "key").join(nodes.select("node", "fp"), "node").withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
-    m = m.withColumn("other", F.expr("sequence(0, chunks - 1)"))
-    x = m.select("key", F.col("own").alias("i"), F.explode("other").alias("j"), F.col("node").alias("a"), F.col("g").alias("ga"), F.col("fp").alias("fa"))
-    y = m.select("key", F.explode("other").alias("i"), F.col("own").alias("j"), F.col("node").alias("b"), F.col("g").alias("gb"), F.col("fp").alias("fb"))
-    near = F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= _bits("key")
-    return x.join(y, ["key", "i", "j"]).where((F.col("a") < F.col("b")) & (F.col("ga") != F.col("gb")) & near).select("a", "b").distinct()
+    m = mixed.withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")).withColumn("other", F.expr("sequence(0, chunks - 1)"))
+    x = m.select("key", F.col("own").alias("i"), F.explode("other").alias("j"), F.col("node").alias("a"), F.col("g").alias("ga"), F.col("fp").alias("fa"), F.col("len").alias("na"))
+    y = m.select("key", F.explode("other").alias("i"), F.col("own").alias("j"), F.col("node").alias("b"), F.col("g").alias("gb"), F.col("fp").alias("fb"), F.col("len").alias("nb"))
+    return x.join(y, ["key", "i", "j"]).where((F.col("a") < F.col("b")) & (F.col("ga") != F.col("gb")) & _may_link()).select("a", "b").distinct()
 
 
 def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -264,21 +278,27 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     parts = _line_parts(docs)
     found = materialize(_whole_lines(parts), "lines")
     discard(parts)
-    nodes = found.groupBy("k1", "k2", "short").agg(
+    nodes = found.groupBy("k1", "k2", "short", "len").agg(
         F.min(F.struct("doc_id", "pos", "row", "text_hash")).alias("first"), F.count("*").alias("n"), F.min("fp").alias("fp"), *(F.min(f"s{i}").alias(f"s{i}") for i in range(3)))
     nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "line-nodes")
     # streaming functions of the sorted bucket; a bucket of one is dropped
     ordered = Window.partitionBy("key").orderBy("node")
     index = _index(nodes, blocks(nodes.count())).unionByName(_short_index(nodes))
-    met = index.select("key", "node", F.first("node").over(ordered).alias("hub"), F.lag("node").over(ordered).alias("prev"), F.lead("node").over(ordered).alias("next"))
-    met = materialize(met.where("prev is not null or next is not null").drop("next"), "line-index")
-    edges = _verified(materialize(_first_pairs(met, nodes), "line-pairs"), nodes, docs)
+    met = index.select("key", "node", F.lag("node").over(ordered).alias("prev"), F.lead("node").over(ordered).alias("next"))
+    met = materialize(met.where("prev is not null or next is not null").select("key", "node"), "line-index")
+    members = met.join(nodes.select("node", "fp", "len", F.col("node").alias("g")), "node")
+    edges = _verified(materialize(_neighbours(members, [["fp"], []], hub=True), "line-pairs"), nodes, docs)
     groups = connected_components(edges)
-    late = materialize(_late_pairs(met, groups, nodes), "line-late")
-    if not late.isEmpty():
-        more = _verified(late, nodes, docs)
-        groups = connected_components(edges.unionByName(more))
-        discard(more)
+    turned = F.expr("shiftleft(fp, 32) | shiftrightunsigned(fp, 32)")
+    # once by neighbours in other orders, then whatever is in different groups still
+    for orders in ([[turned], ["s0"], ["s1"], ["s2"]], None):
+        mixed = _mixed(met, groups, nodes)
+        late = materialize(_neighbours(mixed, orders, hub=False) if orders else _late_pairs(mixed), "line-late")
+        if not late.isEmpty():
+            more = _verified(late, nodes, docs)
+            both = materialize(edges.unionByName(more), "line-edges")
+            discard(edges, more, groups)
+            edges, groups = both, connected_components(both)
     discard(met, edges)
     named = nodes.join(groups, "node", "left").select("k1", "k2", "first", "n", F.coalesce("component", "node").alias("g"))
     named = materialize(named, "line-groups")
