@@ -66,12 +66,34 @@ def all_products(fragments: DataFrame, matches: DataFrame, keys: list[str], char
     return full.dropDuplicates([*keys, "charge"]).join(seen, [*keys, "charge"], "left").withColumn("intensity", F.coalesce("intensity", F.lit(dummy)))
 
 
-def decoys(structures: DataFrame) -> DataFrame:
-    """Structures whose inner residues are in reverse order, marked as decoys, beside the targets."""
+def with_unassigned(products: DataFrame, structure: list[str], series: str = "series") -> DataFrame:
+    """Products and one unassigned row (charge 0, no fragment) for each structure."""
+    rest = products.select(*structure).distinct().withColumns({series: F.lit("unassigned"), "charge": F.lit(0)})
+    return products.unionByName(rest, allowMissingColumns=True)
+
+
+def delta_series(fragments: DataFrame, series_shift: str, delta: float) -> DataFrame:
+    """A pseudo series of b-like fragments: their bare masses moved by delta, named by it.
+    series_shift is the mass that the fragments' own series adds."""
+    return fragments.withColumns({"mass": F.col("mass") - F.col(series_shift) + delta, "series": F.lit(str(delta)), "name": F.concat(F.lit(f"{delta}:"), F.col("position").cast("string"))})
+
+
+#: Most that a decoy glycan's mass is moved by, either way.
+DECOY_SHIFT = 30.0
+
+
+def decoys(structures: DataFrame, peptide: bool = True, glycan: bool = False) -> DataFrame:
+    """Decoys beside the targets: with peptide, the inner residues in reverse order; with glycan,
+    the glycan's mass (glycan_shift) moved by an amount up to DECOY_SHIFT that depends on the
+    structure alone, so that it is drawn alike wherever it is computed."""
     from .scalar import reverse_keeping_ends
 
-    d = structures.withColumn("residues", reverse_keeping_ends("residues")).withColumn("structure", F.concat(F.lit("decoy:"), "structure"))
-    return structures.withColumn("decoy", F.lit(False)).unionByName(d.withColumn("decoy", F.lit(True)))
+    d = structures.withColumn("residues", reverse_keeping_ends("residues")) if peptide else structures
+    out = structures.withColumn("decoy", F.lit(False)).unionByName(d.withColumn("structure", F.concat(F.lit("decoy:"), "structure")).withColumn("decoy", F.lit(True)))
+    if not glycan:
+        return out
+    share = F.crc32(F.col("structure").cast("binary")) % 6001 / 3000 - 1
+    return out.withColumn("glycan_shift", F.when(F.col("decoy"), share * DECOY_SHIFT).otherwise(0.0))
 
 
 def mass_shift(name: Column) -> Column:

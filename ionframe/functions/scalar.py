@@ -1,4 +1,4 @@
-"""Scalar functions of the engine as Column expressions; all of them compile into codegen.
+"""Scalar functions of the engine as Column expressions; all but erf compile into codegen.
 
 Arguments are Columns (or names); null in gives null out unless said otherwise.  Ratios use
 try_divide, so a zero denominator gives null and not an error.
@@ -6,6 +6,9 @@ try_divide, so a zero denominator gives null and not an error.
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -215,3 +218,24 @@ def glycan_size(glycan: Column) -> Column:
 def internal_size(glycan: Column) -> Column:
     """The sugars of a composition without its labile ones: the approximate size of its inside."""
     return glycan_size(glycan) - labile_count(glycan)
+
+
+def erf(x) -> Column:
+    """The error function, by batches in Python as Spark has none; null stays null."""
+
+    @F.pandas_udf("double")
+    def batch(v: pd.Series) -> pd.Series:
+        return v.map(math.erf, na_action="ignore")
+
+    return batch(_c(x).cast("double"))
+
+
+def shifted_erf(x, shift: float = 0.0) -> Column:
+    """A sigmoid from 0 to 1 about shift / 6."""
+    return (erf(_c(x) * 6 - shift) + 1) / 2
+
+
+def fit_slots(from_charge, to_charge, ratio, rate, max_charge: int) -> Column:
+    """Aggregate: a map from a fit's offset to its rate; read it by partition_offset."""
+    key = partition_offset(from_charge, to_charge, ratio, max_charge).cast("int")
+    return F.map_from_entries(F.array_sort(F.collect_set(F.struct(key.alias("k"), _c(rate).alias("v")))))

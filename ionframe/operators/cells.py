@@ -114,6 +114,39 @@ def assign(psms: DataFrame, nearest: bool = False, sizes=SIZES) -> DataFrame:
     return first_interval(out, "size", sizes, "size_lo", "size_hi", nearest)
 
 
+def holds(size: str = "size", labile: str | None = None) -> Column:
+    """Whether a row's cell (length_lo .. glycan_count, prefixed cell_ where a PSM has the name)
+    holds its PSM: both intervals with their ends, equal mobility, charge, type and count.  With
+    labile, the size is that without labile sugars."""
+    own = F.col(size) - (F.coalesce(F.col(labile), F.lit(0)) if labile else F.lit(0))
+    ok = F.col("length").between(F.col("length_lo"), F.col("length_hi")) & own.between(F.col("size_lo"), F.col("size_hi"))
+    for c in ("mobility", "charge", "glycan_type", "glycan_count"):
+        ok = ok & (F.col(c) == F.col(f"cell_{c}"))
+    return F.coalesce(ok, F.lit(False))
+
+
+def level_values(size: str, labile: str) -> dict[str, Column]:
+    """What a routing level over length, glycan size or sialylation looks at."""
+    return {"length": F.col("length"), "size": F.col(size), "sialylated": F.coalesce(F.col(labile), F.lit(0))}
+
+
+def partition(psms: DataFrame, cells: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(assigned, rejected): PSMs with the bounds of the cell that holds them, and those that no
+    cell holds.  A PSM on the edge of two intervals goes to the lower one.  Cells are a grid
+    (bounded by MOST_CELLS), so they are broadcast."""
+    exact = ["mobility", "charge", "glycan_type", "glycan_count"]
+    a = assign(psms)
+    bounds = ["length_lo", "length_hi", "size_lo", "size_hi"]
+    known = F.broadcast(cells.select(*bounds, *exact).distinct())
+    return a.join(known, [*bounds, *exact], "left_semi"), a.join(known, [*bounds, *exact], "left_anti").drop(*bounds)
+
+
+def members(assigned: DataFrame, spec: list[str]) -> DataFrame:
+    """Each specification with the number of its members, in the order of the specification;
+    the reverse map (a member's specification) is assigned itself."""
+    return assigned.groupBy(*spec).agg(F.count("*").alias("members")).orderBy(*spec)
+
+
 def adjacent(cells: DataFrame, width: int = 10, charge: str = "charge") -> DataFrame:
     """(cell's columns, neighbour_charge): a cell's own charge and those within width of it that
     lie strictly inside the grid's charges."""

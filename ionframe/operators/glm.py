@@ -220,3 +220,51 @@ def intervals(fits: DataFrame, width: int) -> DataFrame:
     e = fits.where("coef is not null").select("*", F.posexplode("coef").alias("position", "beta"))
     se = F.sqrt(F.get("covariance", F.col("position") * (width + 1)))
     return e.withColumn("se", se).withColumn("z", F.try_divide(F.col("beta"), F.col("se"))).drop("coef", "covariance")
+
+
+#: Spectra whose observed and predicted shares correlate less are fitted again as mismatches.
+MISMATCH = 0.5
+
+
+def named_intervals(fits: DataFrame, names: list[str]) -> DataFrame:
+    """The Wald table with each coefficient's name and its two-sided p-value."""
+    from ..functions.scalar import erf
+
+    label = F.get(F.array(*map(F.lit, names)), F.col("position"))
+    return intervals(fits, len(names)).withColumns({"name": label, "p_value": 1 - erf(F.abs(F.col("z")) / 2**0.5)})
+
+
+def correlations(rows: DataFrame, fits: DataFrame, cell: list[str], scan: list[str]) -> DataFrame:
+    """(cell, scan, r) of observed and predicted shares under the cell's fit.  Cells of a grid are
+    few, so their fits are small; whether they are broadcast is left to Spark's own size check."""
+    from ..functions import stats
+
+    known = fits.where("coef is not null").select(*cell, "coef")
+    p = predict(rows.join(known, cell), [*cell, *scan], "idx", "coef").withColumn("share", F.try_divide("intensity", "total"))
+    return p.groupBy(*cell, *scan).agg(stats.correlation("share", "yhat").alias("r"))
+
+
+def fit_with_mismatch(rows: DataFrame, cell: list[str], scan: list[str], width: int, cell_ddl: str) -> DataFrame:
+    """Two fits for each cell: of all its spectra (mismatch false), and of those that the first
+    does not describe (mismatch true), where there are any.  Fits that fail are left out."""
+    from ..sources.tables import materialize
+
+    first = materialize(fit_cells(rows, cell, scan, width, cell_ddl), "glm-first")
+    r = correlations(rows, first, cell, scan)
+    bad = r.where((F.col("r") < MISMATCH) & ~F.isnan("r")).select(*cell, *scan)
+    second = fit_cells(rows.join(bad, [*cell, *scan], "left_semi"), cell, scan, width, cell_ddl)
+    both = first.withColumn("mismatch", F.lit(False)).unionByName(second.withColumn("mismatch", F.lit(True)))
+    return both.where("coef is not null")
+
+
+def fit_parts(rows: DataFrame, cell: list[str], scan: list[str], width: int, cell_ddl: str, part: str = "part") -> DataFrame:
+    """One fit for each cell and part (peptide, or glycan by cluster); rows name their part and
+    have the part's own totals."""
+    return fit_cells(rows, [*cell, part], scan, width, f"{cell_ddl}, {part} string").where("coef is not null")
+
+
+def scored_by_models(rows: DataFrame, models: DataFrame, cell: list[str], scan: list[str]) -> DataFrame:
+    """Rows with their routed cell's prediction (yhat) and share of the total; rows of cells
+    without a model are left out, as nothing scores them."""
+    known = models.select(*cell, "coef", "partition_key")
+    return predict(rows.join(known, cell), scan, "idx", "coef").withColumn("share", F.try_divide("intensity", "total"))

@@ -91,3 +91,23 @@ def divergence(models: DataFrame, by: list[str], observed: str, theoretical: str
     term = lambda o, t: floor(o) * (F.ln(floor(o)) - F.ln(floor(t)))
     noise = (1 - F.sum(observed), 1 - F.sum(theoretical))
     return models.groupBy(*by).agg((F.sum(term(F.col(observed), F.col(theoretical))) + term(*noise)).alias("divergence"))
+
+
+def cell_rates(pairs: DataFrame, peaks: DataFrame, cell: list[str], by: list[str], feature: str, on_pair: Column, on_peak: Column, width: int = 10) -> DataFrame:
+    """Rates of every feature for each cell over its own and its neighbouring charges.
+
+    pairs and peaks carry their cell's columns and charge (precursor_charge).  They are counted
+    by charge first; the few counts, not the rows, are then dealt to the neighbours."""
+    from .cells import adjacent
+
+    z = "precursor_charge"
+    own = [*cell, z, *by]
+    n = peaks.groupBy(*own).agg(F.count_if(on_peak).alias("n_on"), F.count_if(~on_peak).alias("n_off"))
+    s = pairs.groupBy(*own, feature).agg(F.count_if(on_pair).alias("on_count"), F.count_if(~on_pair).alias("off_count"))
+    near = adjacent(n.select(*cell, z).distinct(), width, z).withColumnsRenamed({z: "cell_charge", "neighbour_charge": z})
+
+    def summed(t: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+        return near.join(t, [*cell, z]).groupBy(*cell, "cell_charge", *keys).agg(*(F.sum(v).alias(v) for v in values))
+
+    out = summed(s, [*by, feature], ["on_count", "off_count"]).join(summed(n, by, ["n_on", "n_off"]), [*cell, "cell_charge", *by])
+    return out.withColumns({"mu": F.col("on_count") / F.greatest("n_on", F.lit(1)), "nu": F.col("off_count") / F.greatest("n_off", F.lit(1))})

@@ -122,3 +122,103 @@ def oxonium_one_hot(bounds: dict[str, int], ions: list[str], ion: str) -> Column
         offset += bounds[k] + 1
     at = F.array_position(F.array(*map(F.lit, sorted(ions))), F.col(ion))
     return F.array_sort(F.array_compact(F.array(*out, F.when(at > 0, F.lit(offset) + at - 1).cast("int"))))
+
+
+def of_series(ions: DataFrame, *series: str) -> DataFrame:
+    """The predicted ions of some series; shares and predictions stay those of the spectrum."""
+    return ions.where(F.col("series").isin(*series))
+
+
+def predicted_points(ions: DataFrame, spectrum: list[str], mz: str, scaled: bool = True) -> DataFrame:
+    """(spectrum, mz, predicted): predictions of the assigned ions, scaled to the observed
+    intensities by least squares."""
+    out = ions.where(F.col("series") != "unassigned")
+    if not scaled:
+        return out.select(*spectrum, mz, F.col("yhat").alias("predicted"))
+    w = Window.partitionBy(*spectrum)
+    scale = F.try_divide(F.sum(F.col("yhat") * F.col("intensity")).over(w), F.sum(F.col("yhat") * F.col("yhat")).over(w))
+    return out.select(*spectrum, mz, (F.col("yhat") * scale).alias("predicted"))
+
+
+def _residual_terms() -> Column:
+    """Sum over ions of -log10(cdf + 1e-6), where NaN counts 0; cdf is a column of the ions."""
+    return F.sum(_known(-F.log10(F.col("cdf") + 1e-6), 0.0))
+
+
+def model_peptide_score(ions: DataFrame, spectrum: list[str], coverage: str) -> DataFrame:
+    """The regression scorer's peptide part: (log intensities weighted by reliability + residuals
+    + correlation) * coverage.  The correlation counts by the number of ions and from 3/4 up, as
+    it is weak for backbones."""
+    n = F.count("*")
+    corr = (3 + _known(stats.correlation("share", "yhat", RIDGE), -0.5)) / 4 * 10 * F.ln(n.cast("double"))
+    sums = F.sum(F.log10("intensity") * (F.col("reliability") + 1))
+    return of_series(ions, "b", "y").groupBy(*spectrum).agg(((sums + _residual_terms() + corr) * F.max(coverage)).alias("peptide_score"))
+
+
+def model_glycan_score(ions: DataFrame, spectrum: list[str], coverage: str, signature: str | None = None) -> DataFrame:
+    """The regression scorer's glycan part: (log intensities + correlation of standardised shares +
+    residuals) * coverage + signature ions, 0 at least.  ions also has total."""
+    scale = lambda p: F.col("total") * F.col(p) / F.sqrt(F.col("total") * F.col("reliability") * F.col(p) * (1 - F.col(p)))
+    stubs = of_series(ions, "stub_glycopeptide").withColumns({"_x": scale("share"), "_y": scale("yhat")})
+    corr = (1 + _known(stats.correlation("_x", "_y", RIDGE), -0.5)) / 2 * 10
+    sums = F.sum(F.log10("intensity") * (F.col("reliability") + 1))
+    more = F.coalesce(F.max(signature), F.lit(0.0)) if signature else F.lit(0.0)
+    return stubs.groupBy(*spectrum).agg(F.greatest((sums + corr + _residual_terms()) * F.max(coverage) + more, F.lit(0.0)).alias("glycan_score"))
+
+
+WEIGHTINGS = ("correlation", "normalized_correlation", "correlation_distance", "normalized_correlation_distance")
+
+
+def model_score(spectra: DataFrame, intensity: str, residual: str, coverage: str, accuracy: str, signature: str, weighting: str | None = None) -> Column:
+    """The whole match: (-log10 of the intensities' binomial p + residual score + a weighting,
+    if any, of 10 at most) * coverage + mass accuracy + signature ions.  A weighting names a
+    column of spectra with that correlation."""
+    if weighting is not None and weighting not in WEIGHTINGS:
+        raise ValueError(f"unknown weighting {weighting}")
+    own = -F.log10(F.col(intensity)) + F.col(residual)
+    if weighting:
+        own = own + weighted_correlation_score(spectra[weighting])
+    return own * F.col(coverage) + F.coalesce(F.col(accuracy), F.lit(0.0)) + F.coalesce(F.col(signature), F.lit(0.0))
+
+
+def mixture_score(scores: DataFrame, spectrum: list[str], residual: str, values: list[str], power: int = 4) -> DataFrame:
+    """Scores of each fit (a row for spectrum and fit) as one row for each spectrum, by the fits'
+    mixture weights."""
+    w = mixture_weights(scores, spectrum, residual, power)
+    return w.groupBy(*spectrum).agg(*(F.sum(F.col("weight") * F.col(v)).alias(v) for v in values))
+
+
+#: Strategies by name: which parts a scorer adds.  Those of partitioned models choose the peptide's
+#: and the glycan's model apart; no_glycosylated leaves glycosylated backbone ions out of sums.
+STRATEGIES = {
+    "regression": {"family": "model", "mixture": False, "partitioned": False, "glycosylated": True},
+    "mixture": {"family": "model", "mixture": True, "partitioned": False, "glycosylated": True},
+    "split": {"family": "split", "mixture": False, "partitioned": False, "glycosylated": True},
+    "mixture_split": {"family": "split", "mixture": True, "partitioned": False, "glycosylated": True},
+    "partial_split": {"family": "partial", "mixture": True, "partitioned": False, "glycosylated": True},
+    "partitioned_partial_split": {"family": "partial", "mixture": False, "partitioned": True, "glycosylated": True},
+    "no_glycosylated_partitioned_partial_split": {"family": "partial", "mixture": False, "partitioned": True, "glycosylated": False},
+}
+#: Longest peptide (its interval's upper end) that counts as short.
+SHORT_PEPTIDE = 10
+
+
+def strategy(length_hi: str, default: str, short: str | None = None) -> Column:
+    """The strategy of a cell: short peptides may have one of their own; an unknown name is an error."""
+    for name in (default, short or default):
+        if name not in STRATEGIES:
+            raise ValueError(f"unknown strategy {name}")
+    return F.when(F.col(length_hi) <= SHORT_PEPTIDE, F.lit(short or default)).otherwise(F.lit(default))
+
+
+def partial_split(ions: DataFrame, spectrum: list[str], coverage: str, glycan_coverage: str, glycosylated: bool = True, prior: str | None = None) -> DataFrame:
+    """Peptide and glycan parts and their sum.  Without glycosylated: such ions are left out, the
+    coverage counts to the power 0.7, a weak glycan correlation counts 0.25, and a spectrum
+    without a stub of two sugars has no glycan score; localisation is 0."""
+    p = peptide_score(ions, spectrum, coverage, weight=1.0 if glycosylated else 0.7, glycosylated=glycosylated)
+    with_pep = ions.withColumn("_pc", F.col(coverage))
+    g = glycan_score(with_pep, spectrum, glycan_coverage, "_pc", prior, None if glycosylated else 0.25)
+    if not glycosylated:
+        big = of_series(ions, "stub_glycopeptide").where(F.col("size") > 1).select(*spectrum).distinct().withColumn("_big", F.lit(True))
+        g = g.join(big, spectrum, "left").withColumn("glycan_score", F.when(F.col("_big"), F.col("glycan_score")).otherwise(0.0)).drop("_big")
+    return p.join(g, spectrum, "full_outer").withColumn("score", split_score("peptide_score", "glycan_score"))

@@ -16,6 +16,25 @@ def dominant_ratio(stubs: DataFrame, spectrum: list[str], size: str, intensity:
     return stubs.groupBy(*spectrum).agg(F.try_divide(best.cast("double"), F.max(total).cast("double")).alias("ratio"))
 
 
+def peptide_y(matches: DataFrame, spectrum: list[str], size: str, charge: str, intensity: str, total: str) -> DataFrame:
+    """Sizes, charges and intensities of a spectrum's peptide-Y ions as arrays (by size, then
+    charge; a spectrum has few), and the size of the most intense over the glycan's (0 without
+    ions, null for a glycan of size 0).  Equal intensities: the smaller size."""
+    stub = F.col("series") == "stub_glycopeptide"
+    rows = F.array_sort(F.collect_list(F.when(stub, F.struct(F.col(size).alias("size"), F.col(charge).alias("charge"), F.col(intensity).alias("intensity")))))
+    best = F.max(F.when(stub, F.struct(F.col(intensity).alias("i"), (-F.col(size)).alias("s"))))
+    out = matches.groupBy(*spectrum).agg(rows.alias("_r"), best.alias("_b"), F.max(total).alias("_t"))
+    ratio = F.when(F.col("_b").isNull(), 0.0).otherwise(F.try_divide(-F.col("_b.s"), F.col("_t")))
+    return out.select(*spectrum, F.col("_r.size").alias("sizes"), F.col("_r.charge").alias("charges"), F.col("_r.intensity").alias("intensities"), ratio.alias("ratio"))
+
+
+def structure_groups(psms: DataFrame, structure: str, ident: str) -> DataFrame:
+    """PSMs with their structure's number of PSMs and their place in it: a group of any size is
+    rows, not an array."""
+    w = Window.partitionBy(structure)
+    return psms.withColumns({"group_size": F.count("*").over(w), "place": F.row_number().over(w.orderBy(ident))})
+
+
 def kmeans_1d(df: DataFrame, value: str, seeds=SEEDS, rounds: int = 50) -> list[float]:
     """Centres of a one-dimensional k-means from given seeds, ascending.  Each round is one
     aggregate of k sums; k is fixed."""

@@ -76,3 +76,25 @@ def write_metrics(metrics: DataFrame, path: str) -> None:
     """The thirteen aligned columns of a correlation run as one table."""
     names = ["scan_id", "correlation", "peptide_correlation", "glycan_correlation", "glycan_reliabilities", "peptide_reliabilities", "peptide_fragment_count", "glycan_fragment_count", "data_file", "glycopeptide", "partition_keys", "peptide_spectral_angle", "glycan_spectral_angle"]
     metrics.select(*names).write.parquet(path)
+
+
+# The kinds of relation features that a document can name.
+FEATURE_TYPES = ("offset", "link", "complement")
+FEATURE = "name string, feature_type string, offset double, amino_acid string, tolerance double, intensity_ratio int, from_charge int, to_charge int, terminal string"
+
+
+def features_to_json(features: DataFrame, out: str = "document") -> DataFrame:
+    """A relation feature a row as a JSON document; nulls (wildcards) are left out."""
+    names = [f.partition(" ")[0] for f in FEATURE.split(", ")]
+    return features.select(F.to_json(F.struct(*(c for c in names if c in features.columns))).alias(out))
+
+
+def features_from_json(documents: DataFrame, column: str = "document") -> DataFrame:
+    """The features of documents by their type: a link needs its residue, the others an offset;
+    an unknown type, or a document without what its type needs, is an error."""
+    f = documents.select(F.from_json(column, FEATURE).alias("f")).select("f.*")
+    known = F.col("feature_type").isin(*FEATURE_TYPES)
+    whole = F.when(F.col("feature_type") == "link", F.col("amino_acid").isNotNull()).otherwise(F.col("offset").isNotNull())
+    fine = F.coalesce(known & whole, F.lit(False))
+    kind = F.when(fine, F.col("feature_type")).otherwise(F.raise_error(F.concat(F.lit("no relation feature of type "), F.coalesce("feature_type", F.lit("null")))))
+    return f.withColumn("feature_type", kind)

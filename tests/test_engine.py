@@ -328,3 +328,58 @@ def test_specs_are_unique(spark):
 
     cells = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b")], "charge int, mobility string")
     assert [tuple(r) for r in search.unique_specs(cells, ["charge", "mobility"]).collect()] == [(1, "a", 2)]
+
+
+def test_erf_and_p_values(spark):
+    x = [-1.5, 0.0, 0.3, 2.0]
+    df = spark.createDataFrame([(v,) for v in [*x, None]], "x double")
+    got = [r.v for r in df.select(scalar.erf("x").alias("v")).collect()]
+    assert got == [math.erf(v) for v in x] + [None]
+    fit = spark.createDataFrame([([1.0, 0.0], [0.25, 0.0, 0.0, 4.0])], "coef array<double>, covariance array<double>")
+    rows = {r["name"]: r for r in glm.named_intervals(fit, ["a", "b"]).collect()}
+    assert rows["a"].p_value == pytest.approx(math.erfc(2 / 2**0.5)) and rows["b"].p_value == 1.0
+
+
+def test_feature_documents(spark):
+    rows = [("x", "offset", 1.5, None, 2, None), ("y", "link", None, "K", None, 3)]
+    f = spark.createDataFrame(rows, "name string, feature_type string, offset double, amino_acid string, from_charge int, to_charge int")
+    back = codecs.features_from_json(codecs.features_to_json(f)).select(*f.columns)
+    assert sorted(back.collect(), key=str) == sorted(f.collect(), key=str)
+    for bad in ('{"feature_type": "other", "offset": 1}', '{"feature_type": "link"}', '{"offset": 1}'):
+        with pytest.raises(Exception, match="no relation feature"):
+            codecs.features_from_json(spark.createDataFrame([(bad,)], "document string")).collect()
+
+
+def test_scan_index_of_repeated_titles(spark):
+    scans = spark.createDataFrame([("f", "a", 4), ("f", "a", 2), ("f", "b.", 7), ("g", "c", 1)], "source_file string, title string, scan_index int")
+    wanted = spark.createDataFrame([("f", "a"), ("f", "a"), ("f", "b"), ("f", "c"), ("f", None)], "source_file string, title string")
+    assert sorted((str(r.title), r.scan_index) for r in mgf.scan_index(wanted, scans).collect()) == [("None", -1), ("a", 2), ("a", 2), ("b", 7), ("c", -1)]
+
+
+def test_unknown_series_has_no_code(spark):
+    df = spark.createDataFrame([("b", 2, "P", "K", 0), (None, 1, None, None, 0)], "s string, z int, l string, r string, k int")
+    got = df.select(*(c.alias(n) for n, c in encode.classify("s", "z", "l", "r", "k").items())).collect()
+    assert [(r.series, r.charge) for r in got] == [(0, 2), (3, 0)]
+    with pytest.raises(Exception, match="no code for series"):
+        spark.createDataFrame([("z", 2, "P", "K", 0)], "s string, z int, l string, r string, k int").select(*(c.alias(n) for n, c in encode.classify("s", "z", "l", "r", "k").items())).collect()
+
+
+def test_partial_split_needs_a_big_stub(spark):
+    rows = [(1, "stub_glycopeptide", 1, 50.0, 0.2, 0.2, 0.0, 1.0), (1, "b", 0, 80.0, 0.3, 0.2, 0.0, 0.5), (2, "stub_glycopeptide", 3, 50.0, 0.2, 0.2, 0.0, 1.0)]
+    df = spark.createDataFrame(rows, "scan int, series string, size int, intensity double, share double, yhat double, mass_error double, reliability double").withColumn("cov", F.lit(0.5))
+    got = {r.scan: r.glycan_score for r in score.partial_split(df, ["scan"], "cov", "cov", glycosylated=False).collect()}
+    assert got[1] == 0.0 and got[2] > 0
+
+
+def test_mismatches_are_fitted_again(spark):
+    """Most spectra peak at the first feature and a few at the second: these are the mismatches."""
+    rng = random.Random(5)
+    rows = []
+    for s in range(40):
+        strong = 0 if s < 34 else 1
+        for k in range(3):
+            rows.append(("c", s, [k], (60.0 if k == strong else 10.0) + rng.random(), 100.0, 1.0))
+    df = spark.createDataFrame(rows, "cell string, scan int, idx array<int>, intensity double, total double, reliability double")
+    got = {r.mismatch: r for r in glm.fit_with_mismatch(df, ["cell"], ["scan"], 3, "cell string").collect()}
+    assert got[False].n_spectra == 40 and got[True].n_spectra == 6
+    assert np.argmax(got[False].coef) == 0 and np.argmax(got[True].coef) == 1
