@@ -159,15 +159,16 @@ def as_dict(model: str, indices: str = "idx") -> Column:
 def classify(series: str, charge: str, flank_n: str, flank_c: str, size: str) -> dict[str, Column]:
     """The encoders' columns n, c, series, charge and glyc of a peak and the fragment that explains
     it.  A null series is unassigned; one that has no code is an error."""
-    from .scalar import residue_class
+    from .scalar import amide_bond
 
     s = F.col(series)
     backbone = s.isin("b", "y")
     code = F.when(s == "b", 0).when(s == "y", 1).when(s == "stub_glycopeptide", 2).when(s.isNull() | (s == "unassigned"), 3)
     # cast to the type of the code: an error has none
     code = F.coalesce(code, F.raise_error(F.concat(F.lit("no code for series "), s)).cast("int"))
+    bond = amide_bond(flank_n, flank_c)
     return {
-        "n": F.when(backbone, residue_class(flank_n)), "c": F.when(backbone, residue_class(flank_c)), "series": code,
+        "n": F.when(backbone, bond["n"]), "c": F.when(backbone, bond["c"]), "series": code,
         "charge": F.when(code == 3, 0).otherwise(F.least(F.col(charge), F.lit(CHARGES))),
         "glyc": F.when(code == 3, 0).when(code == 2, F.least(F.col(size), F.lit(STUB_MAX))).otherwise(F.col(size)),
     }

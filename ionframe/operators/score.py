@@ -222,3 +222,19 @@ def partial_split(ions: DataFrame, spectrum: list[str], coverage: str, glycan_co
         big = of_series(ions, "stub_glycopeptide").where(F.col("size") > 1).select(*spectrum).distinct().withColumn("_big", F.lit(True))
         g = g.join(big, spectrum, "left").withColumn("glycan_score", F.when(F.col("_big"), F.col("glycan_score")).otherwise(0.0)).drop("_big")
     return p.join(g, spectrum, "full_outer").withColumn("score", split_score("peptide_score", "glycan_score"))
+
+
+def full_score_set(ions: DataFrame, spectrum: list[str], coverage: str, glycan_coverage: str, label: str, glycosylated: bool = True) -> DataFrame:
+    """The fifteen fields of every spectrum as doubles (score_set casts them): scores, coverages,
+    shares of the signal that stubs, oxonium ions and all matched ions have, counts,
+    correlations, sums of reliabilities and the partition's label.  A spectrum without ions of a
+    kind has score, count and reliability 0 for it, and its correlation is null."""
+    parts = partial_split(ions.where("series <> 'oxonium_ion'"), spectrum, coverage, glycan_coverage, glycosylated)
+    used = lambda c: F.coalesce(F.sum(F.when(c, F.col("intensity"))), F.lit(0.0)) / F.max("total")
+    rel = lambda *s: F.coalesce(F.sum(F.when(F.col("series").isin(*s), F.col("reliability"))), F.lit(0.0))
+    sums = ions.groupBy(*spectrum).agg(
+        used(F.col("series") == "stub_glycopeptide").alias("stub_util"), used(F.col("series") == "oxonium_ion").alias("oxonium_util"), used(F.col("series") != "unassigned").alias("total_util"),
+        F.max(coverage).alias("peptide_coverage"), F.max(glycan_coverage).alias("glycan_coverage"), rel("b", "y").alias("peptide_rel"), rel("stub_glycopeptide").alias("glycan_rel"), F.max(label).alias("partition_label"),
+    )
+    out = sums.join(parts.withColumnRenamed("score", "glycopeptide_score"), spectrum, "left")
+    return out.fillna(0, ["glycopeptide_score", "peptide_score", "glycan_score", "n_stub", "backbone_count"]).select(*spectrum, *SCORE_SET)

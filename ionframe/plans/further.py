@@ -9,7 +9,7 @@ from ..functions import chem, encode, scalar
 from ..operators import cells, estimators, glm, relations, score, select
 from ..sources import codecs, mgf
 from . import views
-from .models import model_rows
+from .models import _SCORED, model_rows
 from .registry import query
 from .statistics import _PAIRS, _SCANS, _pairs, _scan_rows
 from .joins import _BUCKET, _case
@@ -329,3 +329,28 @@ def m_routed_scores(spark, d):
     models = cells.partition_key(fits, ["cell"])
     s = glm.scored_by_models(rows, models, ["cell"], ["scan"])
     return s.groupBy("scan", "partition_key").agg(F.count("*").alias("n"), _r(F.sum("yhat"), 4).alias("yhat"))
+
+
+@query("s_score_set_full", f"""with {_SCORED}, u as (select scan, sum(case when series = 'stub_glycopeptide' then intensity else 0 end) / max(total) as stub_util, sum(intensity) / max(total) as total_util, max(cov) as cover,
+ sum(case when series in ('b', 'y') then reliability else 0 end) as prel, sum(case when series = 'stub_glycopeptide' then reliability else 0 end) as grel from b group by 1)
+select scan, round(coalesce(peptide_score, 0) * 0.65 + coalesce(glycan_score, 0) * 0.35, 2) as glycopeptide_score, round(coalesce(peptide_score, 0), 2) as peptide_score, round(coalesce(glycan_score, 0), 2) as glycan_score,
+ round(cover, 6) as glycan_coverage, round(stub_util, 6) as stub_util, 0.0::double as oxonium_util, coalesce(gs.n, 0) as n_stub, round(cover, 6) as peptide_coverage, round(total_util, 6) as total_util,
+ round(pep.corr, 3) as peptide_corr, coalesce(ps.n, 0) as backbone_count, round(gly.corr, 3) as glycan_corr, round(prel, 6) as peptide_rel, round(grel, 6) as glycan_rel, scan % 7 as partition_label
+from u left join ps using (scan) left join gs using (scan) left join pep using (scan) left join gly using (scan)""")
+def s_score_set_full(spark, d):
+    i = views.ions(spark, d).withColumn("cov", F.max(0.2 + 0.1 * F.col("ln")).over(Window.partitionBy("scan"))).withColumn("label", F.col("scan") % 7)
+    s = score.full_score_set(i, ["scan"], "cov", "cov", "label")
+    digits = {"glycopeptide_score": 2, "peptide_score": 2, "glycan_score": 2, "peptide_corr": 3, "glycan_corr": 3, "n_stub": None, "backbone_count": None, "partition_label": None}
+    return s.select("scan", *(F.col(c) if digits.get(c, 6) is None else _r(c, digits.get(c, 6)).alias(c) for c in score.SCORE_SET))
+
+
+@query("m_routed_evaluate", f"""with {PSMS}, m(mobility, k, c) as (values ('mobile', 0, [0.1, -0.2, 0.3, 0.4, 0.5]), ('partial', 1, [0.5, 0.4, -0.3, 0.2, 0.1])),
+r as (select ok, ln, sk, k, mass, exp(c[ln % 3 + 1] + c[3 + size % 2 + 1]) as e from psms join m using (mobility))
+select ok, ln, sk, k as partition_key, round(e / (1 + sum(e) over (partition by ok, k)), 6) as yhat from r""")
+def m_routed_evaluate(spark, d):
+    """PSMs scored by the model of their mobility; a cell without a model scores nothing."""
+    models = spark.createDataFrame([("mobile", [0.1, -0.2, 0.3, 0.4, 0.5]), ("partial", [0.5, 0.4, -0.3, 0.2, 0.1])], "mobility string, coef array<double>")
+    models = cells.partition_key(models, ["mobility"])
+    rows = views.psms(spark, d).select("ok", "ln", "sk", "mobility", F.array((F.col("ln") % 3).cast("int"), (3 + F.col("size") % 2).cast("int")).alias("idx"), F.col("mass").alias("intensity"), F.lit(1e6).alias("total"))
+    s = glm.scored_by_models(rows, models, ["mobility"], ["ok", "mobility"])
+    return s.select("ok", "ln", "sk", F.col("partition_key").cast("int").alias("partition_key"), _r("yhat").alias("yhat"))

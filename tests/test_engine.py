@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ionframe.functions import chem, encode, scalar, stats
-from ionframe.operators import bandjoin, cells, glm, peaks, score, select
+from ionframe.operators import bandjoin, cells, glm, peaks, score, select, training
 from ionframe.sources import codecs, mgf
 
 
@@ -383,3 +383,28 @@ def test_mismatches_are_fitted_again(spark):
     got = {r.mismatch: r for r in glm.fit_with_mismatch(df, ["cell"], ["scan"], 3, "cell string").collect()}
     assert got[False].n_spectra == 40 and got[True].n_spectra == 6
     assert np.argmax(got[False].coef) == 0 and np.argmax(got[True].coef) == 1
+
+
+def test_train_and_evaluate(spark, tmp_path):
+    """Spectra of one structure, made from its own fragments, are fitted and scored from MGF text;
+    a spectrum of noise scores less, and one of another cell is routed to the only model."""
+    structure = "AN(N-Glycosylation)STLKEGFR{Hex:3; HexNAc:2}"
+    frame = spark.createDataFrame([("x", structure)], "title string, structure string")
+    ions = sorted((f.mass, f.series, f.glycosylation_size) for f in training.fragments(mgf.structures(frame)).collect())
+    rng, text = random.Random(3), []
+    for k in range(30):
+        peaks = [(m + scalar.PROTON, (900.0 if s == "y" else 300.0) * (1 + 0.1 * rng.random())) for m, s, _ in ions]
+        if k == 29:
+            peaks = [(m + 0.31, i) for m, i in peaks[:-2]] + peaks[-2:]
+        lines = "\n".join(f"{m:.6f} {i:.3f} 1" for m, i in peaks)
+        text.append(f"BEGIN IONS\nTITLE=s{k}\nPEPMASS=900.5 1000.0\nCHARGE={6 if k == 28 else 3}+\nSTRUCTURE={structure}\nMASS_SHIFT=Unmodified\nMS2_SCORE=9\nQ_VALUE=0.001\n{lines}\nEND IONS\n")
+    (tmp_path / "t.mgf").write_text("\n".join(text))
+    scans = mgf.training_data(spark, str(tmp_path), 5.0, 0.05)
+    fits = training.train(spark, scans.where("precursor_charge = 3"))
+    assert fits.where("not mismatch").count() == 1 and fits.first().charge == 3
+    got = {r.title: r for r in training.evaluate(scans, fits).collect()}
+    assert len(got) == 30
+    clean, noise, other = got["t.s0"], got["t.s29"], got["t.s28"]
+    assert clean.peptide_coverage == 1.0 and clean.glycan_coverage == 1.0 and clean.total_util == pytest.approx(1.0)
+    assert noise.glycopeptide_score < clean.glycopeptide_score and noise.peptide_coverage < 1
+    assert other.partition_label == clean.partition_label and other.peptide_coverage == 1.0
