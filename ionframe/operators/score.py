@@ -160,7 +160,9 @@ def model_glycan_score(ions: DataFrame, spectrum: list[str], coverage: str, sign
     residuals) * coverage + signature ions, 0 at least.  ions also has total."""
     scale = lambda p: F.col("total") * F.col(p) / F.sqrt(F.col("total") * F.col("reliability") * F.col(p) * (1 - F.col(p)))
     stubs = of_series(ions, "stub_glycopeptide").withColumns({"_x": scale("share"), "_y": scale("yhat")})
-    corr = (1 + _known(stats.correlation("_x", "_y", RIDGE), -0.5)) / 2 * 10
+    # one ion has no correlation
+    r = F.when(F.count("*") > 1, _known(stats.correlation("_x", "_y", RIDGE), -0.5)).otherwise(-0.5)
+    corr = (1 + r) / 2 * 10
     sums = F.sum(F.log10("intensity") * (F.col("reliability") + 1))
     more = F.coalesce(F.max(signature), F.lit(0.0)) if signature else F.lit(0.0)
     return stubs.groupBy(*spectrum).agg(F.greatest((sums + corr + _residual_terms()) * F.max(coverage) + more, F.lit(0.0)).alias("glycan_score"))

@@ -182,12 +182,10 @@ def s_model_peptide(spark, d):
 
 
 @query("s_model_glycan", f"""with {IONS}, z as (select *, total * share / sqrt(total * reliability * share * (1 - share)) as x, total * yhat / sqrt(total * reliability * yhat * (1 - yhat)) as y from ions where series = 'stub_glycopeptide'),
-g as (select scan, count(*) as n, sum(log10(intensity) * (reliability + 1)) + sum(-log10(yhat + 1e-6)) as s, {_corr_sql('x', 'y')} as r, max(0.2 + 0.1 * size) as cov from z group by 1)
-select scan, round(greatest((s + (1 + r) / 2 * 10) * cov, 0), 1) as glycan_score from g where n > 2""")
+g as (select scan, count(*) as n, sum(log10(intensity) * (reliability + 1)) + sum(-log10(yhat + 1e-6)) as s, case when count(*) > 1 then {_corr_sql('x', 'y')} else -0.5 end as r, max(0.2 + 0.1 * size) as cov from z group by 1)
+select scan, round(greatest((s + (1 + r) / 2 * 10) * cov, 0), 1) as glycan_score from g""")
 def s_model_glycan(spark, d):
-    i = _cdf_ions(spark, d)
-    many = i.where("series = 'stub_glycopeptide'").groupBy("scan").agg(F.count("*").alias("n")).where("n > 2").select("scan")
-    return score.model_glycan_score(i, ["scan"], "cov").join(many, "scan").select("scan", _r("glycan_score", 1).alias("glycan_score"))
+    return score.model_glycan_score(_cdf_ions(spark, d), ["scan"], "cov").select("scan", _r("glycan_score", 1).alias("glycan_score"))
 
 
 @query("s_model_score", f"""with {IONS}, s as (select scan, sum(-log10(yhat + 1e-6)) as residual, sum(share * yhat) as r, max(0.2 + 0.1 * size) as cov from ions group by 1)
