@@ -246,12 +246,12 @@ def x_erf(spark, d):
     return li.select("l_discount", _r(scalar.erf("l_discount"), 9).alias("erf"), _r(scalar.shifted_erf("l_discount", 0.5), 9).alias("shifted"))
 
 
-@query("x_fit_slots", """with f as (select distinct l_linenumber as fc, cast(l_quantity as int) % 5 + 1 as tc, cast(l_quantity as int) % 10 - 4 as ratio from lineitem where l_linenumber <= 5)
-select fc, count(*) as n, sum(((fc - 1) * 5 + tc - 1) * 10 + ratio + 4) as slots from f group by 1""")
+@query("x_fit_slots", """with f as (select distinct l_linenumber as fc, cast(l_quantity as int) % 5 + 1 as tc, cast(l_quantity as int) % 10 - 4 as ratio from lineitem)
+select fc, count(*) as n, sum(((fc - 1) * 7 + tc - 1) * 10 + ratio + 4) as slots from f group by 1""")
 def x_fit_slots(spark, d):
     q = F.col("l_quantity").cast("int")
-    f = table(spark, d, "lineitem").where("l_linenumber <= 5").select(F.col("l_linenumber").alias("fc"), (q % 5 + 1).alias("tc"), (q % 10 - 4).alias("ratio"), F.lit(0.5).alias("mu"))
-    m = f.groupBy("fc").agg(scalar.fit_slots("fc", "tc", "ratio", "mu", 5).alias("slots"))
+    f = table(spark, d, "lineitem").select(F.col("l_linenumber").alias("fc"), (q % 5 + 1).alias("tc"), (q % 10 - 4).alias("ratio"), F.lit(0.5).alias("mu"))
+    m = f.groupBy("fc").agg(scalar.fit_slots("fc", "tc", "ratio", "mu", 7).alias("slots"))
     keys = F.map_keys("slots")
     return m.select("fc", F.size("slots").cast(L).alias("n"), F.aggregate(keys, F.lit(0).cast(L), lambda s, k: s + k).alias("slots"))
 
