@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio_features, bpe, language_id, license_scan, line_dedup, packing, quality_classifier, quality_rules, simhash_dedup, warc
+from . import audio_features, bpe, divergence, language_id, license_scan, line_dedup, packing, periodic_runs, pieces, quality_classifier, quality_rules, simhash_dedup, warc
 from .common import shared_dir
 
 
@@ -108,6 +108,56 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def piece_model_path() -> str:
+    """The public SentencePiece model that the query uses; operators take any BPE model's path."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op11_piece_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trip_digests(_table(spark, sf_dir, "documents"), piece_model_path())
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
+#: DuckDB SQL of op12's rows: counts of all terms, without prefixes.
+OP12_SQL = r"""
+with d as (
+  select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as text
+  from documents),
+w as (select r, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term from d),
+kept as (select lang, term from w group by lang, term having count(distinct r) >= 30),
+v as (select lang, count(*) as v from kept group by lang),
+c as (select lang, source, term, count(*) as n from w join kept using (lang, term) group by all),
+g as (
+  select lang, source, coalesce(sum(n), 0)::hugeint as total
+  from (select distinct lang, source from d) left join c using (lang, source) group by all),
+p as (
+  select g.lang, g.source, k.term, coalesce(n, 0) as n, (1 + 1000000000::hugeint * (coalesce(n, 0) + 5) // (total + 5 * v))::bigint as p
+  from g join kept k on k.lang = g.lang join v on v.lang = g.lang left join c on c.lang = g.lang and c.source = g.source and c.term = k.term),
+q as (
+  select lang, term, (1 + 1000000000::hugeint * (sum(n) + 5) // (any_value(total) + 5 * any_value(v)))::bigint as q
+  from p join (select lang, sum(total) as total from g group by lang) using (lang) join v using (lang) group by lang, term),
+f as (select a.lang, a.source, b.source as item, sum(abs(a.p - b.p))::bigint as value from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+pairs as (
+  select a.lang, a.source, 'pair' as part, b.source as item, coalesce(value, 0) as value
+  from g a join g b on a.lang = b.lang and a.source <> b.source left join f on f.lang = a.lang and f.source = a.source and f.item = b.source),
+terms as (select lang, source, 'term' as part, term as item, p - q as value from p join q using (lang, term) where n > 0 and p > q),
+u as (select * from pairs union all select * from terms)
+select lang, source, part, item, value, rank from (
+  select *, cast(row_number() over (partition by lang, source, part order by value desc, item) as integer) as rank from u)
+where part = 'pair' or rank <= 50
+"""
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.run_digests(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_warc_round_trip": op2_warc_round_trip,
@@ -119,6 +169,9 @@ QUERIES = {
     "op8_harmonic_packing": op8_harmonic_packing,
     "op9_bpe_round_trip": op9_bpe_round_trip,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_piece_round_trip": op11_piece_round_trip,
+    "op12_source_divergence": op12_source_divergence,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
-ORACLES = {"op4_quality_rules": OP4_SQL}
+ORACLES = {"op4_quality_rules": OP4_SQL, "op12_source_divergence": OP12_SQL}
