@@ -35,6 +35,13 @@ _BLANK = BLANK.encode()
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Characters that end a chunk where no piece of the vocabulary holds them.
 _BREAKS = "\n\t\r"
+#: Words that each of the two generations of a worker's cache holds (some 350 bytes each).
+CACHE = 300_000
+#: Characters of a text that is joined without a heap, at most.
+_SHORT = 40
+_NEVER = float("inf")
+#: Letters, and marks that mostly follow them.
+_LETTERS, _MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", ".,;:!?)\"'"
 
 
 def fields(data: bytes):
@@ -173,8 +180,13 @@ class Pieces:
         plain = not self.normalise.map.units and self.normalise.dummy_prefix and not self.normalise.squeeze and self.normalise.escape
         #: whether words can be encoded one by one
         self.by_word = plain and not any(split.search(s) for s in self.ids)
-        self.words = re.compile(f"[{self.breaks}]| +(?:[^ {self.breaks}]+)?|[^ {self.breaks}]+" if self.breaks else " +[^ ]*|[^ ]+")
-        self.chunks = ChunkCache(self._chunk)
+        # characters that no piece has behind a letter: words are cut before them
+        behind = set(re.findall(f"[{_LETTERS}](.)", "".join(s + "\n" for s in self.ids)))
+        self.cuts = "".join(c for c in _MARKS if c not in behind)
+        other = f"[^ {re.escape(self.breaks)}]"
+        self.words = re.compile((f"[{re.escape(self.breaks)}]|" if self.breaks else "") + (f" *[{_LETTERS}]+(?=[{re.escape(self.cuts)}])|" if self.cuts else "") + f" +{other}*|{other}+")
+        self.chunks = ChunkCache(self._chunk, CACHE)
+        self.coded = ChunkCache(self._code)
 
     def _surface(self, i: int) -> bytes:
         kind, name = self.kinds[i], self.names[i]
@@ -186,6 +198,8 @@ class Pieces:
 
     def join(self, text: str) -> list[str]:
         """The symbols that are left of a normalised text when no two neighbours make a piece."""
+        if len(text) <= _SHORT:
+            return self._join_short(text)
         symbols, n, cost = list(text), len(text), self.cost
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         heap = []
@@ -213,6 +227,23 @@ class Pieces:
                     heapq.heappush(heap, (cost[new], h, new))
         return [s for s in symbols if s is not None]
 
+    def _join_short(self, text: str) -> list[str]:
+        """The same without a heap, which a word is too short for."""
+        symbols, get = list(text), self.cost.get
+        costs = [get(text[i : i + 2], _NEVER) for i in range(len(text) - 1)]
+        while costs:
+            best = min(costs)
+            if best == _NEVER:
+                break
+            i = costs.index(best)
+            symbols[i : i + 2] = [symbols[i] + symbols[i + 1]]
+            del costs[i]
+            if i < len(costs):
+                costs[i] = get(symbols[i] + symbols[i + 1], _NEVER)
+            if i:
+                costs[i - 1] = get(symbols[i - 1] + symbols[i], _NEVER)
+        return symbols
+
     def _ids(self, symbols: list[str]) -> tuple[list[int], list[int]]:
         """Ids, and the bytes of the normalised text that each is given (those of a character
         without a piece go to the last of its bytes)."""
@@ -230,13 +261,13 @@ class Pieces:
 
     def _chunk(self, chunk: str) -> tuple[bytes, bytes]:
         """Ids and widths in the original text of a word and the blanks before it."""
-        symbols = self.join(chunk.replace(" ", BLANK))
-        ids, widths = [], []
-        for s in symbols:
-            i, w = self._ids([s])
-            ids += i
-            # every U+2581 here was a blank of one byte
-            widths += w[:-1] + [w[-1] - 2 * s.count(BLANK)]
+        found = [self.coded[s] for s in self.join(chunk.replace(" ", BLANK))]
+        return b"".join([i for i, _ in found]), b"".join([w for _, w in found])
+
+    def _code(self, symbol: str) -> tuple[bytes, bytes]:
+        """The same of a symbol; every U+2581 in it was a blank of one byte."""
+        ids, widths = self._ids([symbol])
+        widths[-1] -= 2 * symbol.count(BLANK)
         return np.array(ids, "<u4").tobytes(), np.array(widths, "<u4").tobytes()
 
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
