@@ -12,6 +12,7 @@ RESIDUES = {
 }
 MODIFICATIONS = {"Carbamidomethyl": 57.02146372, "Oxidation": 15.99491462, "Deamidated": 0.98401559, "Gln->pyro-Glu": -17.02654910, "Phospho": 79.96633041, "Acetyl": 42.01056469}
 SUGARS = {"Hex": 162.05282342, "HexNAc": 203.07937252, "Fuc": 146.05790880, "dHex": 146.05790880, "NeuAc": 291.09541652, "NeuGc": 307.09033114}
+FUCOSES = ("Fuc", "dHex")
 WATER, HYDROGEN = 18.01056469, 1.00782503
 SHIFTS = {"Unmodified": 0.0, "Ammonium": 17.02654910, "Sodium": 21.98194425, "Potassium": 37.95588165}
 
@@ -49,14 +50,14 @@ def backbone_fragments(structures: DataFrame) -> DataFrame:
 
 def stub_fragments(structures: DataFrame) -> DataFrame:
     """Peptide + partial glycan ions: every sub-composition of the structure's glycan, by sugar
-    an explode over 0..count; name is the composition's text."""
+    an explode over 0..count; name is the composition's text, fucose its number of deoxyhexoses."""
     s = structures.withColumn("_pep", F.aggregate(F.transform("residues", residue_mass), F.lit(WATER), lambda t, v: t + v))
-    out = s.select("structure", "glycan", "_pep", F.lit(0.0).alias("_g"), F.lit(0).alias("glycosylation_size"), F.lit("peptide").alias("name"))
+    out = s.select("structure", "glycan", "_pep", F.lit(0.0).alias("_g"), F.lit(0).alias("glycosylation_size"), F.lit(0).alias("fucose"), F.lit("peptide").alias("name"))
     for sugar, mass in SUGARS.items():
         count = F.coalesce(F.try_element_at("glycan", F.lit(sugar)), F.lit(0))
         out = out.withColumn("_k", F.explode(F.sequence(F.lit(0), count)))
-        out = out.withColumns({"_g": F.col("_g") + F.col("_k") * mass, "glycosylation_size": F.col("glycosylation_size") + F.col("_k"), "name": F.when(F.col("_k") > 0, F.concat("name", F.lit(f"+{sugar}"), F.col("_k").cast("string"))).otherwise(F.col("name"))}).drop("_k")
-    return out.select("structure", F.lit("stub_glycopeptide").alias("series"), F.lit(None).cast("int").alias("position"), (F.col("_pep") + F.col("_g")).alias("mass"), F.lit(None).cast("string").alias("flank_n"), F.lit(None).cast("string").alias("flank_c"), "name", "glycosylation_size")
+        out = out.withColumns({"_g": F.col("_g") + F.col("_k") * mass, "glycosylation_size": F.col("glycosylation_size") + F.col("_k"), "fucose": F.col("fucose") + (F.col("_k") if sugar in FUCOSES else F.lit(0)), "name": F.when(F.col("_k") > 0, F.concat("name", F.lit(f"+{sugar}"), F.col("_k").cast("string"))).otherwise(F.col("name"))}).drop("_k")
+    return out.select("structure", F.lit("stub_glycopeptide").alias("series"), F.lit(None).cast("int").alias("position"), (F.col("_pep") + F.col("_g")).alias("mass"), F.lit(None).cast("string").alias("flank_n"), F.lit(None).cast("string").alias("flank_c"), "name", "glycosylation_size", "fucose")
 
 
 def all_products(fragments: DataFrame, matches: DataFrame, keys: list[str], charges: int = 5, dummy: float = 1.0) -> DataFrame:

@@ -6,6 +6,9 @@ divides without a guard, as ANSI mode raises on zero denominators.
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,6 +70,52 @@ def deviance_term(y, mu, n, reliability=None) -> Column:
     return F.when(_c(y) > 0, 2 * _c(n) * r * _c(y) * (F.ln(_c(y)) - F.ln(_c(mu)))).otherwise(0.0)
 
 
+def binomial_tail(k, n, p) -> Column:
+    """-log10 of the probability of k or more successes in n trials of chance p each.
+
+    The tail is a regularised incomplete beta function, from its continued fraction in Arrow batches:
+    exact for any n in a bounded number of steps, and in logarithms, so that small tails don't
+    vanish.  k of 0 or less gives 0, k over n infinity; null in gives null out.
+    """
+
+    @F.pandas_udf("double")
+    def batch(k: pd.Series, n: pd.Series, p: pd.Series) -> pd.Series:
+        return pd.Series([_tail(*v) if all(x == x and x is not None for x in v) else None for v in zip(k, n, p)], dtype="float64")
+
+    return batch(_c(k).cast("double"), _c(n).cast("double"), _c(p).cast("double"))
+
+
+def _tail(k: float, n: float, p: float) -> float:
+    if k <= 0 or p >= 1:
+        return 0.0
+    if k > n or p <= 0:
+        return math.inf
+    a, b = k, n - k + 1
+    front = math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(p) + b * math.log1p(-p)
+    if p < (a + 1) / (a + b + 2):
+        return max(0.0, -(front + math.log(_beta_fraction(a, b, p) / a)) / math.log(10))
+    other = math.exp(front) * _beta_fraction(b, a, 1 - p) / b
+    return max(0.0, -math.log1p(-min(other, 1 - 1e-16)) / math.log(10))
+
+
+def _beta_fraction(a: float, b: float, x: float) -> float:
+    """The continued fraction of the incomplete beta function, by forward recurrence."""
+    tiny = 1e-300
+    c, d = 1.0, 1 - (a + b) * x / (a + 1)
+    d = 1 / (d if abs(d) > tiny else tiny)
+    value, m = d, 0
+    while True:
+        m += 1
+        last = value
+        for step in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d, c = 1 + step * d, 1 + step / c
+            d = 1 / (d if abs(d) > tiny else tiny)
+            c = c if abs(c) > tiny else tiny
+            value *= c * d
+        if abs(value - last) <= 1e-15 * abs(value) or m > 100_000:
+            return value
+
+
 def ecdf(df: DataFrame, value: str, by: list[str] | None = None, out: str = "ecdf") -> DataFrame:
     """df with the right-continuous empirical distribution at value, within groups by.
 

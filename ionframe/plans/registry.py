@@ -23,7 +23,7 @@ def query(name: str, oracle: str | None = None):
 
 
 def _load() -> None:
-    from . import further, joins, models, statistics  # noqa: F401  they register their queries
+    from . import further, joins, models, statistics, structures  # noqa: F401  they register their queries
 
 
 def queries() -> dict[str, Callable]:
