@@ -2,17 +2,17 @@
 
 Terms are counted for each language that are in at least MIN_DOCS of its documents.  Most of the
 different terms of a large corpus are rare, so they are never counted whole: all terms are first cut
-to a prefix of two bytes, documents are counted by prefix, and prefixes in too few documents are
+to a prefix of FIRST bytes, documents are counted by prefix, and prefixes in too few documents are
 discarded with everything that begins with them.  What is left is extended to twice the length and
 counted again, until only whole terms are left (a term's end counts as a byte of its own, so a term
 and the longer ones that begin with it are told apart).  The length doubles, so the longest kept
 term of b bytes takes about log2(b) rounds.
 
 Each document is one row with its different terms, so the prefixes that one document has are made
-different inside the row, and documents are counted with partial sums before the shuffle.  The
-filter that is broadcast to each round holds hash slots of the live prefixes, SLOTS numbers at most
-whatever the data; a slot that two prefixes share lets a prefix through that the count then
-discards, so the result doesn't depend on it.
+different inside the row, and a task counts the documents of all its rows before anything is shuffled
+(HELD prefixes at most at a time, then it passes its counts on).  Which prefixes are live is told to
+the next round by a bitmap of SLOTS hash slots, whatever the data; a slot that two prefixes share lets
+a prefix through that the count then discards, so the result doesn't depend on it.
 
 Null text, language and source are ''.  Every row is a document of its own, repeated ones too.
 Empty tables give empty results; ties of ranks go by the item's bytes; other columns are ignored.
@@ -20,6 +20,7 @@ Empty tables give empty results; ties of ranks go by the item's bytes; other col
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -30,77 +31,181 @@ from pyspark.sql import functions as F
 from .common import discard, materialize
 
 MIN_DOCS = 30
-#: Rows at most of a broadcast filter.
-SLOTS = 1 << 20
+#: Bytes of the first prefixes.
+FIRST = 4
+#: Hash slots of a broadcast filter (bits, and numbers at most that the driver collects for it).
+SLOTS = 1 << 22
+#: Counts that a task holds before it passes them on.
+HELD = 400_000
+#: Languages of which a task keeps look-ups.
+LANGUAGES = 8
 #: Ranks of the terms that set a source apart.
 TOP_TERMS = 50
 #: Sources of a language up to which a task keeps one matrix of sums; beyond it a task passes on
 #: the sums of every batch, BLOCK sources at a time.
 MATRIX_SOURCES = 1024
 BLOCK = 64
-_END = b"\0"
+#: The end of a term, a byte that no term has.
+_END = b"\n"
 #: Letters in lower case, bytes of other characters as they are, the rest blank.
 _LETTERS = bytes(b if b >= 128 else ord(chr(b).lower()) if chr(b).isalpha() else 32 for b in range(256))
-_TERMS = pa.list_(pa.struct([("t", pa.binary()), ("n", pa.int64())]))
 
 
 def document_terms(docs: DataFrame) -> DataFrame:
-    """(lang, source, terms): one row for each document with its different terms and how often
-    each occurs."""
+    """(lang, source, terms, counts): one row for each document with its different terms, each with
+    its end, in one binary value, and how often each occurs (little-endian unsigned 32-bit integers)."""
 
     def run(batches):
         for b in batches:
-            offsets, terms, counts = [0], [], []
+            terms, counts = [], []
             for text in b.column(2).to_pylist():
                 found = Counter(text.encode("utf-8", "replace").translate(_LETTERS).split())
-                terms += found.keys()
-                counts += found.values()
-                offsets.append(len(terms))
-            pairs = pa.StructArray.from_arrays([pa.array(terms, pa.binary()), pa.array(counts, pa.int64())], fields=list(_TERMS.value_type))
-            yield pa.record_batch([b.column(0), b.column(1), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pairs, type=_TERMS)], names=["lang", "source", "terms"])
+                terms.append(_END.join([*found, b""]))
+                counts.append(np.fromiter(found.values(), "<u4", len(found)).tobytes())
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(terms, pa.binary()), pa.array(counts, pa.binary())], names=["lang", "source", "terms", "counts"])
 
     text = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")]
-    return docs.select(*text).mapInArrow(run, "lang string, source string, terms array<struct<t binary, n long>>")
-
-
-def _slot(*columns: str | Column) -> Column:
-    return F.pmod(F.xxhash64(*columns), F.lit(SLOTS)).alias("slot")
-
-
-def _cut(term: Column, length: int) -> Column:
-    """The first bytes of a term and its end."""
-    return F.substring(F.concat(term, F.lit(_END)), 1, length)
-
-
-def _whole(prefix: str) -> Column:
-    return F.substring(prefix, -1, 1) == F.lit(_END)
+    return docs.select(*text).mapInArrow(run, "lang string, source string, terms binary, counts binary")
+
+
+class _Alive(dict):
+    """Whether a language's prefixes are in a filter, as looked up so far."""
+
+    def __init__(self, bits: bytes, lang: str):
+        super().__init__()
+        self.bits, self.start = bits, zlib.crc32(lang.encode() + b"\0")
+
+    def __missing__(self, prefix: bytes) -> bool:
+        slot = zlib.crc32(prefix, self.start) % SLOTS
+        if len(self) >= HELD:
+            self.clear()
+        self[prefix] = known = bool(self.bits[slot >> 3] >> (slot & 7) & 1)
+        return known
+
+
+def _known(alive: dict[str, _Alive], filters, lang: str) -> _Alive:
+    """The look-ups of a language; a task keeps those of some languages."""
+    if lang not in alive:
+        if len(alive) >= LANGUAGES:
+            alive.clear()
+        alive[lang] = _Alive(filters.value, lang)
+    return alive[lang]
+
+
+def _filter(live: DataFrame, column: str) -> bytes:
+    """The bitmap of the slots of live (lang, column)."""
+    slot = F.crc32(F.concat(F.col("lang").cast("binary"), F.lit(b"\0"), F.col(column).cast("binary"))) % SLOTS
+    slots = np.array([r[0] for r in live.select(slot.cast("int")).distinct().collect()], np.int64)
+    bits = np.zeros(SLOTS, bool)
+    bits[slots] = True
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def _rows(held: dict, names: list[str]) -> pa.RecordBatch:
+    """(key's columns, term or prefix, n) of counters by key."""
+    at = np.repeat(np.arange(len(held)), [len(c) for c in held.values()])
+    columns = [pa.array([k[i] for k in held], pa.string()).take(pa.array(at)) for i in range(len(names) - 2)]
+    columns += [pa.array([t for c in held.values() for t in c], pa.binary()), pa.array([n for c in held.values() for n in c.values()], pa.int64())]
+    return pa.record_batch(columns, names=names)
+
+
+def clustered_terms(docs: DataFrame) -> DataFrame:
+    """document_terms as a written table in which the documents of a source lie together, so that a
+    task meets few sources and adds up most of a term's occurrences itself.  A source that has more than
+    a task's share of the documents is dealt over as many tasks as it has shares; there are fewer
+    such sources than tasks, so that their table is broadcast."""
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    group = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source")]
+    sizes = docs.select(*group).groupBy("lang", "source").agg(F.count("*").alias("_size"))
+    share = max(1.0, docs.count() / n)
+    large = sizes.where(F.col("_size") > share).select("lang", "source", F.ceil(F.col("_size") / F.lit(share)).alias("_pieces"))
+    # by the row's number, as a source may hold a great many copies of one text
+    terms = document_terms(docs).withColumn("_row", F.monotonically_increasing_id()).join(F.broadcast(large), ["lang", "source"], "left")
+    terms = terms.withColumn("_piece", F.pmod(F.xxhash64("_row"), F.coalesce("_pieces", F.lit(1))))
+    return materialize(terms.repartition(n, "lang", "source", "_piece").select("lang", "source", "terms", "counts"), "terms-docs")
 
 
 def kept_terms(terms: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """(lang, term): the terms that are in at least min_docs documents of their language."""
-    length, live, found, used = 2, None, [], []
+    spark = terms.sparkSession
+    length, bits, found, used = FIRST, None, [], []
     while True:
-        rows = terms.select("lang", F.explode(F.array_distinct(F.transform("terms", lambda x: _cut(x["t"], length)))).alias("prefix"))
-        if live is not None:
-            slots = live.select(_slot("lang", "prefix")).distinct()
-            parent = F.substring("prefix", 1, length // 2)
-            rows = rows.where(F.octet_length("prefix") > length // 2).withColumn("slot", _slot("lang", parent)).join(F.broadcast(slots), "slot", "left_semi")
-        counted = rows.groupBy("lang", "prefix").agg(F.count("*").alias("docs")).where(F.col("docs") >= min_docs).select("lang", "prefix")
+        counted = _documents(terms, length, None if bits is None else spark.sparkContext.broadcast(bits))
+        counted = counted.groupBy("lang", "prefix").agg(F.sum("n").alias("docs")).where(F.col("docs") >= min_docs).select("lang", "prefix")
         counted = materialize(counted, "terms-level")
         used.append(counted)
-        found.append(counted.where(_whole("prefix")))
-        live = counted.where(~_whole("prefix"))
+        whole = F.substring("prefix", -1, 1) == F.lit(_END)
+        found.append(counted.where(whole))
+        live = counted.where(~whole)
         if live.isEmpty():
             break
+        bits = _filter(live, "prefix")
         length *= 2
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
-    out = materialize(out.select("lang", F.expr("substring(prefix, 1, octet_length(prefix) - 1)").alias("term")), "terms-kept")
+    # a term that is over may come again, where its slot is that of a live prefix
+    out = materialize(out.select("lang", F.expr("substring(prefix, 1, octet_length(prefix) - 1)").alias("term")).distinct(), "terms-kept")
     discard(*used)
     return out
 
 
+def _documents(terms: DataFrame, length: int, filters) -> DataFrame:
+    """(lang, prefix, n): partial counts of the documents that have a prefix of the length, or a whole
+    shorter term, under a live prefix of half the length."""
+    half = length // 2
+
+    def run(batches):
+        held: dict[tuple, Counter] = {}
+        alive: dict[str, _Alive] = {}
+        size = 0
+        for b in batches:
+            for lang, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                own = blob.splitlines(True)
+                if filters is None:
+                    prefixes = {t[:length] for t in own}
+                else:
+                    known = _known(alive, filters, lang)
+                    prefixes = {t[:length] for t in own if known[t[:half]]}
+                counter = held.setdefault((lang,), Counter())
+                size -= len(counter)
+                counter.update(prefixes)
+                size += len(counter)
+                if size >= HELD:
+                    yield _rows(held, ["lang", "prefix", "n"])
+                    held, size = {}, 0
+        if held:
+            yield _rows(held, ["lang", "prefix", "n"])
+
+    return terms.select("lang", "terms").mapInArrow(run, "lang string, prefix binary, n long")
+
+
+def _occurrences(terms: DataFrame, kept: DataFrame) -> DataFrame:
+    """(lang, source, term, n): partial counts of the terms that a filter of the kept ones lets through."""
+    filters = terms.sparkSession.sparkContext.broadcast(_filter(kept, "term"))
+
+    def run(batches):
+        held: dict[tuple, Counter] = {}
+        alive: dict[str, _Alive] = {}
+        size = 0
+        for b in batches:
+            for lang, source, blob, counts in zip(*(b.column(i).to_pylist() for i in range(4))):
+                known = _known(alive, filters, lang)
+                counter = held.setdefault((lang, source), Counter())
+                size -= len(counter)
+                for t, n in zip(blob.split(), np.frombuffer(counts, "<u4").tolist()):
+                    if known[t]:
+                        counter[t] += n
+                size += len(counter)
+                if size >= HELD:
+                    yield _rows(held, ["lang", "source", "term", "n"])
+                    held, size = {}, 0
+        if held:
+            yield _rows(held, ["lang", "source", "term", "n"])
+
+    return terms.mapInArrow(run, "lang string, source string, term binary, n long")
+
+
 def _share(count: Column, total: Column, kept: Column) -> Column:
     """1 + floor(10^9 (count + 5) / (total + 5 kept)) in exact arithmetic, for any counts."""
     up = F.lit(1_000_000_000).cast("decimal(10,0)") * (count + 5).cast("decimal(20,0)")
@@ -114,12 +219,9 @@ def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP_TERMS) -> Da
     terms' smoothed shares; part `term` the terms (to rank top) whose share in the source is above
     that in the language.
     """
-    terms = materialize(document_terms(docs), "terms-docs")
+    terms = clustered_terms(docs)
     kept = kept_terms(terms, min_docs)
-    slots = kept.select(_slot("lang", "term")).distinct()
-    flat = terms.select("lang", "source", F.explode("terms").alias("x")).select("lang", "source", F.col("x.t").alias("term"), F.col("x.n").alias("n"))
-    flat = flat.withColumn("slot", _slot("lang", "term")).join(F.broadcast(slots), "slot", "left_semi")
-    counts = flat.groupBy("lang", "source", "term").agg(F.sum("n").alias("n")).join(kept, ["lang", "term"])
+    counts = _occurrences(terms, kept).groupBy("lang", "source", "term").agg(F.sum("n").alias("n")).join(kept, ["lang", "term"])
     counts = materialize(counts.select("lang", "source", "term", "n"), "terms-counts")
 
     sizes = kept.groupBy("lang").agg(F.count("*").alias("v"))
