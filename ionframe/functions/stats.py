@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .prefix import _with, carried, running
 from .scalar import _c
 
 
@@ -119,11 +120,15 @@ def _beta_fraction(a: float, b: float, x: float) -> float:
 def ecdf(df: DataFrame, value: str, by: list[str] | None = None, out: str = "ecdf") -> DataFrame:
     """df with the right-continuous empirical distribution at value, within groups by.
 
-    Values are counted first, so ties cost one row; without groups the counts of distinct
-    values are ranged over and the running sum joins back, range by range.
+    Values are counted first, so ties cost one row; the counts of distinct values are ranged over,
+    within each group too, and the running sum joins back, range by range.
     """
     if by:
-        return df.withColumn(out, F.cume_dist().over(Window.partitionBy(*by).orderBy(value)))
+        counts = df.groupBy(*by, value).agg(F.count("*").alias("_n"))
+        upto = running(counts, by, value, {"_upto": ("sum", F.col("_n"))})
+        sizes = counts.groupBy(*by).agg(F.sum("_n").alias("_all"))
+        table = _with(upto, sizes, by).select(*by, value, (F.col("_upto") / F.col("_all")).alias(out))
+        return _with(df, table, [*by, value])
     return df.join(ecdf_table(df, value, out), value)
 
 
@@ -147,12 +152,12 @@ def ecdf_table(df: DataFrame, value: str, out: str = "ecdf", parts: int | None =
 def step_lookup(points: DataFrame, x: str, y: str, at: DataFrame, q: str, by: list[str], default: float = 0.0, out: str = "value") -> DataFrame:
     """As-of lookup: for each row of at the y of the last point with x <= q in its group.
 
-    Points and queries are ordered together and the last point is carried forward; groups
-    are needed so that no task sees all rows.
+    Points and queries are ordered together and the last point is carried forward, range by
+    range of a group.
     """
     cols = at.columns
     p = points.select(*by, F.col(x).alias("_at"), F.col(y).alias("_y"), F.lit(0).alias("_k"))
     a = at.withColumn("_at", F.col(q)).withColumn("_k", F.lit(1)).withColumn("_y", F.lit(None).cast("double"))
     both = a.unionByName(p, allowMissingColumns=True)
-    w = Window.partitionBy(*by).orderBy("_at", "_k").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn(out, F.coalesce(F.last("_y", ignorenulls=True).over(w), F.lit(default))).where("_k = 1").select(*cols, out)
+    out_rows = carried(both, by, "_at", "_k", "_y", "_last").where("_k = 1")
+    return out_rows.withColumn(out, F.coalesce("_last", F.lit(default))).select(*cols, out)

@@ -244,25 +244,19 @@ def correlations(rows: DataFrame, fits: DataFrame, cell: list[str], scan: list[s
     return p.groupBy(*cell, *scan).agg(stats.correlation("share", "yhat").alias("r"))
 
 
-def fit_with_mismatch(rows: DataFrame, cell: list[str], scan: list[str], width: int, cell_ddl: str) -> DataFrame:
+def fit_with_mismatch(rows: DataFrame, cell: list[str], scan: list[str], width: int) -> DataFrame:
     """Two fits for each cell: of all its spectra (mismatch false), and of those that the first
     does not describe (mismatch true), where there are any.  Fits that fail are left out."""
-    from ..sources.tables import materialize
+    from .partitioned import fit_grouped
 
-    first = materialize(fit_cells(rows, cell, scan, width, cell_ddl), "glm-first")
+    first = fit_grouped(rows, cell, scan, width)
     r = correlations(rows, first, cell, scan)
     bad = r.where((F.col("r") < MISMATCH) & ~F.isnan("r")).select(*cell, *scan)
-    second = fit_cells(rows.join(bad, [*cell, *scan], "left_semi"), cell, scan, width, cell_ddl)
+    second = fit_grouped(rows.join(bad, [*cell, *scan], "left_semi"), cell, scan, width)
     both = first.withColumn("mismatch", F.lit(False)).unionByName(second.withColumn("mismatch", F.lit(True)))
     return both.where("coef is not null")
 
 
-def fit_parts(rows: DataFrame, cell: list[str], scan: list[str], width: int, cell_ddl: str, part: str = "part") -> DataFrame:
-    """One fit for each cell and part (peptide, or glycan by cluster); rows name their part and
-    have the part's own totals."""
-    return fit_cells(rows, [*cell, part], scan, width, f"{cell_ddl}, {part} string").where("coef is not null")
-
-
 def scored_by_models(rows: DataFrame, models: DataFrame, cell: list[str], scan: list[str]) -> DataFrame:
     """Rows with their routed cell's prediction (yhat) and share of the total; rows of cells
     without a model are left out, as nothing scores them."""

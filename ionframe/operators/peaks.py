@@ -56,3 +56,10 @@ def require_rows(df: DataFrame, what: str) -> DataFrame:
 def base_peak(df: DataFrame, scan: list[str], intensity: str, out: str = "relative") -> DataFrame:
     """Intensities relative to the scan's largest."""
     return df.withColumn(out, F.try_divide(F.col(intensity), F.max(intensity).over(Window.partitionBy(*scan))))
+
+
+def best_of_each(df: DataFrame, by: list[str], value: str, key: str) -> DataFrame:
+    """The key and value of the row with the largest value of each group; of equal ones that with the
+    least key."""
+    best = F.max(F.struct(F.col(value).alias("v"), (-F.col(key)).alias("k")))
+    return df.groupBy(*by).agg(best.alias("_b")).select(*by, (-F.col("_b.k")).alias(key), F.col("_b.v").alias(value))

@@ -111,3 +111,8 @@ def cell_rates(pairs: DataFrame, peaks: DataFrame, cell: list[str], by: list[str
 
     out = summed(s, [*by, feature], ["on_count", "off_count"]).join(summed(n, by, ["n_on", "n_off"]), [*cell, "cell_charge", *by])
     return out.withColumns({"mu": F.col("on_count") / F.greatest("n_on", F.lit(1)), "nu": F.col("off_count") / F.greatest("n_off", F.lit(1))})
+
+
+def looked_up(relations: DataFrame, fits: DataFrame, slot: list[str]) -> DataFrame:
+    """Relations with the rates of their slot; those without a fit are left out."""
+    return relations.join(fits, slot)

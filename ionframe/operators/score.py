@@ -213,16 +213,22 @@ def strategy(length_hi: str, default: str, short: str | None = None) -> Column:
     return F.when(F.col(length_hi) <= SHORT_PEPTIDE, F.lit(short or default)).otherwise(F.lit(default))
 
 
-def partial_split(ions: DataFrame, spectrum: list[str], coverage: str, glycan_coverage: str, glycosylated: bool = True, prior: str | None = None) -> DataFrame:
-    """Peptide and glycan parts and their sum.  Without glycosylated: such ions are left out, the
+def partial_parts(ions: DataFrame, spectrum: list[str], coverage: str, glycan_coverage: str, glycosylated: bool = True, prior: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """The peptide and the glycan part.  Without glycosylated: such ions are left out, the
     coverage counts to the power 0.7, a weak glycan correlation counts 0.25, and a spectrum
     without a stub of two sugars has no glycan score; localisation is 0."""
     p = peptide_score(ions, spectrum, coverage, weight=1.0 if glycosylated else 0.7, glycosylated=glycosylated)
     with_pep = ions.withColumn("_pc", F.col(coverage))
     g = glycan_score(with_pep, spectrum, glycan_coverage, "_pc", prior, None if glycosylated else 0.25)
     if not glycosylated:
-        big = of_series(ions, "stub_glycopeptide").where(F.col("size") > 1).select(*spectrum).distinct().withColumn("_big", F.lit(True))
+        big = of_series(ions, "stub_glycopeptide").groupBy(*spectrum).agg(F.max(F.col("size") > 1).alias("_big"))
         g = g.join(big, spectrum, "left").withColumn("glycan_score", F.when(F.col("_big"), F.col("glycan_score")).otherwise(0.0)).drop("_big")
+    return p, g
+
+
+def partial_split(ions: DataFrame, spectrum: list[str], coverage: str, glycan_coverage: str, glycosylated: bool = True, prior: str | None = None) -> DataFrame:
+    """Peptide and glycan parts (see partial_parts) and their sum."""
+    p, g = partial_parts(ions, spectrum, coverage, glycan_coverage, glycosylated, prior)
     return p.join(g, spectrum, "full_outer").withColumn("score", split_score("peptide_score", "glycan_score"))
 
 

@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.prefix import running
+
 SEEDS = (0.1, 0.9)
 
 
@@ -103,22 +105,28 @@ def train_test(df: DataFrame, fold: int, column: str = "fold") -> tuple[DataFram
 
 def q_values(df: DataFrame, score: str, decoy: str, by: list[str]) -> DataFrame:
     """df with q: decoys over targets at or above a score, made monotone from below."""
-    above = Window.partitionBy(*by).orderBy(F.desc(score)).rangeBetween(Window.unboundedPreceding, 0)
-    fdr = F.try_divide(F.sum(F.when(F.col(decoy), 1).otherwise(0)).over(above).cast("double"), F.sum(F.when(F.col(decoy), 0).otherwise(1)).over(above).cast("double"))
-    out = df.withColumn("_fdr", F.least(F.coalesce(fdr, F.lit(1.0)), F.lit(1.0)))
-    below = Window.partitionBy(*by).orderBy(F.asc(score)).rangeBetween(Window.unboundedPreceding, 0)
-    return out.withColumn("q", F.min("_fdr").over(below)).drop("_fdr")
+    hit = F.coalesce(F.col(decoy), F.lit(False))
+    d = running(df, by, score, {"_decoys": ("sum", hit.cast("long")), "_targets": ("sum", (~hit).cast("long"))}, descending=True)
+    fdr = F.try_divide(F.col("_decoys").cast("double"), F.col("_targets").cast("double"))
+    d = d.withColumn("_fdr", F.least(F.coalesce(fdr, F.lit(1.0)), F.lit(1.0))).drop("_decoys", "_targets")
+    return running(d, by, score, {"q": ("min", F.col("_fdr"))}).drop("_fdr")
 
 
 def svm_scores(df: DataFrame, features: list[str], label: str, out: str = "svm") -> DataFrame:
-    """Scores of a linear support vector machine that tells targets (1) from decoys (0)."""
+    """Scores of a linear support vector machine that tells targets (1) from decoys (0).  Rows with
+    a feature or label that is null or NaN are not learned from; without all features their score is null."""
     from pyspark.ml.classification import LinearSVC
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
-    ready = VectorAssembler(inputCols=features, outputCol="_f", handleInvalid="skip").transform(df.withColumn("_label", F.col(label).cast("double")))
-    model = LinearSVC(featuresCol="_f", labelCol="_label", maxIter=50, regParam=0.01, standardization=True).fit(ready)
-    return model.transform(ready).withColumn(out, F.get(vector_to_array("rawPrediction"), F.lit(1))).drop("_f", "_label", "rawPrediction", "prediction")
+    known = F.lit(True)
+    for f in features:
+        known = known & F.col(f).isNotNull() & ~F.isnan(F.col(f).cast("double"))
+    rows = df.withColumns({"_label": F.col(label).cast("double"), "_known": known, **{f"_x_{f}": F.when(known, F.col(f).cast("double")).otherwise(0.0) for f in features}})
+    ready = VectorAssembler(inputCols=[f"_x_{f}" for f in features], outputCol="_f").transform(rows)
+    model = LinearSVC(featuresCol="_f", labelCol="_label", maxIter=50, regParam=0.01, standardization=True).fit(ready.where("_known and _label is not null"))
+    score = F.when(F.col("_known"), F.get(vector_to_array("rawPrediction"), F.lit(1)))
+    return model.transform(ready).withColumn(out, score).select(*df.columns, out)
 
 
 def _distance_sums(v: np.ndarray) -> np.ndarray:

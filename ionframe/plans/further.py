@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import chem, encode, scalar
-from ..operators import cells, estimators, glm, relations, score, select
+from ..functions import chem, encode, scalar, stats
+from ..operators import cells, estimators, glm, partitioned, relations, score, select
 from ..sources import codecs, mgf
 from . import views
 from .models import _SCORED, model_rows
@@ -106,7 +106,9 @@ def j_reindex(spark, d):
 
 def _celled(spark, d):
     p = views.psms(spark, d).withColumn("labile", F.col("sk") % 2)
-    named = {c: F.col(c) for c in ("mobility", "charge", "glycan_type")}
+    # a third of the PSMs each meet a cell of another mobility, charge or type
+    other = lambda k, own, value: F.when(F.col("ok") % 3 == k, value).otherwise(F.col(own))
+    named = {"mobility": other(0, "mobility", F.lit("partial")), "charge": other(1, "charge", F.lit(3)), "glycan_type": other(2, "glycan_type", F.lit(2))}
     p = cells.assign(p, nearest=True)
     return p.withColumns({f"cell_{k}": v for k, v in named.items()} | {"cell_glycan_count": F.lit(1)})
 
@@ -115,7 +117,8 @@ _NEAR = {v: [f"coalesce({_case(v, iv, i)}, (select e from (select {('lo', 'hi')[
 
 
 @query("x_cell_member", f"""with {PSMS}, c as (select *, {_NEAR['length'][0]} as a, {_NEAR['length'][1]} as b, {_NEAR['size'][0]} as e, {_NEAR['size'][1]} as f from psms)
-select ok, ln, sk, coalesce(length between a and b and size - sk % 2 between e and f and glycan_count = 1, false) as holds from c""")
+select ok, ln, sk, coalesce(length between a and b and size - sk % 2 between e and f and glycan_count = 1
+  and (ok % 3 <> 0 or mobility = 'partial') and (ok % 3 <> 1 or charge = 3) and (ok % 3 <> 2 or glycan_type = 2), false) as holds from c""")
 def x_cell_member(spark, d):
     return _celled(spark, d).select("ok", "ln", "sk", cells.holds("size", "labile").alias("holds"))
 
@@ -188,11 +191,17 @@ def s_model_glycan(spark, d):
     return score.model_glycan_score(_cdf_ions(spark, d), ["scan"], "cov").select("scan", _r("glycan_score", 1).alias("glycan_score"))
 
 
-@query("s_model_score", f"""with {IONS}, s as (select scan, sum(-log10(yhat + 1e-6)) as residual, sum(share * yhat) as r, max(0.2 + 0.1 * size) as cov from ions group by 1)
-select scan, round((3 + residual + (r + 1) / 2 * 10) * cov + 0.5, 4) as score from s""")
+@query("s_model_score", f"""with {IONS}, s as (select scan, sum(-log10(yhat + 1e-6)) as residual, sum(share * yhat) as r, max(0.2 + 0.1 * size) as cov, count(*) as n, count(*) filter (where size > 1) as k, avg(share) as p from ions group by 1),
+t as (select *, unnest(range(k, n + 1)) as j from s),
+b as (select scan, any_value(residual) as residual, any_value(r) as r, any_value(cov) as cov, -log10(least(1, sum(exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln(p) + (n - j) * ln(1 - p))))) as intensity from t group by 1)
+select scan, round((intensity + residual + (r + 1) / 2 * 10) * cov + 0.5, 4) as score from b""")
 def s_model_score(spark, d):
-    s = _cdf_ions(spark, d).groupBy("scan").agg(F.sum(-F.log10(F.col("cdf") + 1e-6)).alias("residual"), F.sum(F.col("share") * F.col("yhat")).alias("correlation"), F.max("cov").alias("cov"))
-    s = s.withColumns({"p": F.lit(1e-3), "accuracy": F.lit(0.5), "signature": F.lit(None).cast("double")})
+    """The whole match with its binomial term: ions of two sugars or more among all of the spectrum."""
+    s = _cdf_ions(spark, d).groupBy("scan").agg(
+        F.sum(-F.log10(F.col("cdf") + 1e-6)).alias("residual"), F.sum(F.col("share") * F.col("yhat")).alias("correlation"), F.max("cov").alias("cov"),
+        F.count_if(F.col("size") > 1).alias("k"), F.count("*").alias("n"), F.avg("share").alias("chance"),
+    )
+    s = s.withColumns({"p": F.pow(F.lit(10.0), -stats.binomial_tail("k", "n", "chance")), "accuracy": F.lit(0.5), "signature": F.lit(None).cast("double")})
     return s.select("scan", _r(score.model_score(s, "p", "residual", "cov", "accuracy", "signature", "correlation"), 4).alias("score"))
 
 
@@ -204,13 +213,18 @@ def s_mixture_score(spark, d):
     return score.mixture_score(f, ["scan"], "r", ["peptide_score"]).select("scan", _r("peptide_score", 4).alias("peptide_score"))
 
 
-@query("s_partial_split_plain", f"""with {IONS}, b as (select * from ions where series in ('b', 'y')),
+@query("s_partial_split_plain", f"""with {IONS}, b as (select *, 0.2 + 0.1 * size as cov from ions), a as (select scan, max(cov) as cov from b group by 1),
 p as (select scan, count(*) as n, (sum(case when size = 0 then log10(intensity) * (1 - power(abs(mass_error / 2e-5), 4)) * ((reliability - 0.5) / 0.5 + 1) end) + (1 + {_corr_sql('share', 'yhat')}) * log10(count(*))
- + sum(case when size = 0 then (reliability - 0.5) / 0.5 end)) * power(max(0.2 + 0.1 * size), 0.7) as s from b group by 1)
-select scan, n as backbone_count, round(s, 2) as peptide_score from p""")
+ + sum(case when size = 0 then (reliability - 0.5) / 0.5 end)) * power(max(cov), 0.7) as s from b where series in ('b', 'y') group by 1),
+g as (select scan, count(*) as n, case when count(*) > 1 then {_corr_sql('share', 'yhat')} else -0.5 end as corr, sum(log10(intensity) * (1 - power(abs(mass_error / 2e-5), 4))) as t, sum(reliability) as rel, count(*) filter (where size > 1) as big, max(cov) as cov
+  from b where series = 'stub_glycopeptide' group by 1)
+select scan, p.n as backbone_count, round(s, 2) as peptide_score, g.n as n_stub,
+  round(case when g.n is null then null when big > 0 then greatest((t + (greatest((1 + corr) / 2, 0.25) * big + rel * big) * least(exp(g.cov * 3) - 1, 1)) * g.cov, 0) else 0.0 end, 2) as glycan_score from a left join p using (scan) left join g using (scan)
+where p.n is not null or g.n is not null""")
 def s_partial_split_plain(spark, d):
     out = score.partial_split(_cdf_ions(spark, d), ["scan"], "cov", "cov", glycosylated=False)
-    return out.where("backbone_count is not null").select("scan", "backbone_count", _r("peptide_score", 2).alias("peptide_score"))
+    none = F.when(F.col("n_stub").isNotNull(), F.col("glycan_score"))
+    return out.select("scan", "backbone_count", _r("peptide_score", 2).alias("peptide_score"), "n_stub", _r(none, 2).alias("glycan_score"))
 
 
 @query("k_strategy", "select p_partkey, case when p_size <= 10 then 'partial_split' else 'no_glycosylated_partitioned_partial_split' end as strategy from part")
@@ -256,12 +270,15 @@ def x_fit_slots(spark, d):
     return m.select("fc", F.size("slots").cast(L).alias("n"), F.aggregate(keys, F.lit(0).cast(L), lambda s, k: s + k).alias("slots"))
 
 
-@query("e_feature_dict", "select l_orderkey, l_linenumber, l_partkey, 'series 2' as name from lineitem where l_returnflag = 'R'")
+@query("e_feature_dict", """with r as (select l_orderkey, l_linenumber, l_partkey, case l_returnflag when 'A' then 0 when 'N' then 1 else 2 end as s, least(l_linenumber, 5) - 1 as z, cast(l_quantity as int) % 20 as g from lineitem)
+select l_orderkey, l_linenumber, l_partkey, case when s = 2 then 'series 2,series:charge ' || (10 + z)
+  else 'n-term 0,c-term 7,series ' || s || ',charge ' || z || ',series:charge ' || (s * 5 + z) || ',is_glycosylated ' || least(g, 2) end as names from r""")
 def e_feature_dict(spark, d):
+    """The names of all features that each row sets."""
     li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.expr("case l_returnflag when 'A' then 'b' when 'N' then 'y' else 'stub_glycopeptide' end").alias("kind"), F.lit("P").alias("flank_n"), F.lit("K").alias("flank_c"), (F.col("l_quantity").cast("int") % 20).alias("fsize"))
     coded = li.withColumns(encode.classify("kind", "l_linenumber", "flank_n", "flank_c", "fsize"))
     e = coded.withColumn("idx", encode.encode_model("FragmentType")).withColumn("named", encode.as_dict("FragmentType"))
-    return e.where(F.map_contains_key("named", "series 2")).select("l_orderkey", "l_linenumber", "l_partkey", F.lit("series 2").alias("name"))
+    return e.select("l_orderkey", "l_linenumber", "l_partkey", F.array_join(F.map_keys("named"), ",").alias("names"))
 
 
 @query("w_sorted_cells", "select p_brand, p_size, p_type, row_number() over (order by p_brand, p_size, p_type) as place from (select distinct p_brand, p_size, p_type from part)")
@@ -309,13 +326,13 @@ def a_cell_rates(spark, d):
 @query("g_fit_with_mismatch")
 def g_fit_with_mismatch(spark, d):
     """Both fits of each cell; the rows are tested against the plain fit and its correlations."""
-    out = glm.fit_with_mismatch(model_rows(spark, d), ["cell"], ["scan"], encode.width("FragmentType"), "cell string")
+    out = glm.fit_with_mismatch(model_rows(spark, d), ["cell"], ["scan"], encode.width("FragmentType"))
     return out.select("cell", "mismatch", "n_spectra", "converged", _r("deviance", 2).alias("deviance"))
 
 
 @query("g_wald_named")
 def g_wald_named(spark, d):
-    fits = glm.fit_cells(model_rows(spark, d), ["cell"], ["scan"], encode.width("FragmentType"), "cell string")
+    fits = partitioned.fit_grouped(model_rows(spark, d), ["cell"], ["scan"], encode.width("FragmentType"))
     return glm.named_intervals(fits, encode.feature_names("FragmentType")).select("cell", "name", _r("z", 3).alias("z"), _r("p_value", 4).alias("p_value"))
 
 
@@ -323,7 +340,7 @@ def g_wald_named(spark, d):
 def m_routed_scores(spark, d):
     """Spectra scored by the model of their own cell: correlation of shares and predictions."""
     rows = model_rows(spark, d)
-    fits = glm.fit_cells(rows, ["cell"], ["scan"], encode.width("FragmentType"), "cell string").where("coef is not null")
+    fits = partitioned.fit_grouped(rows, ["cell"], ["scan"], encode.width("FragmentType")).where("coef is not null")
     models = cells.partition_key(fits, ["cell"])
     s = glm.scored_by_models(rows, models, ["cell"], ["scan"])
     return s.groupBy("scan", "partition_key").agg(F.count("*").alias("n"), _r(F.sum("yhat"), 4).alias("yhat"))

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar, stats
-from ..operators import bandjoin, cells, peaks, search
+from ..operators import bandjoin, cells, peaks, relations, search
 from . import views
 from .registry import query
 from .views import PEAKS, PSMS, RANKED, table
@@ -141,10 +141,16 @@ def j_series_search(spark, d):
     return edges.groupBy("scan", "ok", "ln", "name").agg(F.count("*").alias("n"))
 
 
-@query("x_catalogue", "select * from (values ('b', cast(33 as bigint), cast(28 as bigint)), ('stub_glycopeptide', cast(4 as bigint), cast(0 as bigint))) as t(series, n, links)")
+_LINK_SQL = ", ".join(f"('{b}', '{b.partition('(')[0]}', {search.residue_mass(b)!r}::double)" for b in search.LINKS)
+
+
+@query("x_catalogue", f"""with {views.RESIDUES}, k(name, residue, mass) as (values {_LINK_SQL})
+select p_partkey, name, round(mass, 6) as mass from residues join k on residue = seq[1]""")
 def x_catalogue(spark, d):
-    per = lambda s: search.catalogue(spark, s).agg(F.lit(s).alias("series"), F.count("*").alias("n"), F.count_if(F.col("kind") == "link").alias("links"))
-    return per("b").unionByName(per("stub_glycopeptide"))
+    """The links of the catalogue that each part's first residue can make."""
+    links = search.catalogue(spark, "b").where("kind = 'link'")
+    first = views.residues(spark, d).select("p_partkey", F.get("seq", F.lit(0)).alias("residue"))
+    return first.join(links, "residue").select("p_partkey", "name", F.round("offset", 6).alias("mass"))
 
 
 @query("j_fit_lookup", """with f as (select l_linenumber as fc, cast(l_quantity as int) % 7 + 1 as tc, count(*) as n, round(avg(l_discount), 6) as mu from lineitem group by all having count(*) >= 10)
@@ -153,7 +159,7 @@ def j_fit_lookup(spark, d):
     li = table(spark, d, "lineitem")
     f = li.groupBy(F.col("l_linenumber").alias("fc"), (F.col("l_quantity").cast("int") % 7 + 1).alias("tc")).agg(F.count("*").alias("n"), F.round(F.avg("l_discount"), 6).alias("mu")).where("n >= 10")
     x = li.select((F.col("l_orderkey") % 100).alias("grp"), F.col("l_linenumber").alias("fc"), ((F.col("l_partkey") % 11).cast("int") + 1).alias("tc"))
-    return x.join(f.select("fc", "tc", "mu"), ["fc", "tc"]).groupBy("grp").agg(F.count("*").alias("n"), F.round(F.sum("mu"), 4).alias("mu"))
+    return relations.looked_up(x, f.select("fc", "tc", "mu"), ["fc", "tc"]).groupBy("grp").agg(F.count("*").alias("n"), F.round(F.sum("mu"), 4).alias("mu"))
 
 
 def _case(value: str, intervals, i: int) -> str:
@@ -214,10 +220,10 @@ def j_all_products(spark, d):
     return all_products(f, m, ["p_partkey"]).select("p_partkey", F.col("charge").cast(L).alias("charge"), "intensity")
 
 
-@query("j_best_precursor", """select o_custkey, o_orderstatus, arg_max(o_orderkey, o_totalprice) as o_orderkey, max(o_totalprice) as best from orders group by all""")
+@query("j_best_precursor", """select o_custkey, o_orderstatus, o_orderkey, o_totalprice as best from (
+  select *, row_number() over (partition by o_custkey, o_orderstatus order by o_totalprice desc, o_orderkey) as r from orders) where r = 1""")
 def j_best_precursor(spark, d):
-    o = table(spark, d, "orders")
-    return o.groupBy("o_custkey", "o_orderstatus").agg(F.max_by("o_orderkey", "o_totalprice").alias("o_orderkey"), F.max("o_totalprice").alias("best"))
+    return peaks.best_of_each(table(spark, d, "orders"), ["o_custkey", "o_orderstatus"], "o_totalprice", "o_orderkey").select("o_custkey", "o_orderstatus", "o_orderkey", F.col("o_totalprice").alias("best"))
 
 
 @query("j_ecdf_asof", """with p as (select distinct event_type, value as x, cume_dist() over (partition by event_type order by value) as y from events)
@@ -240,9 +246,14 @@ def w_partition_key(spark, d):
     return cells.partition_key(p, ["charge", "mobility", "glycan_type"]).select("charge", "mobility", "glycan_type", F.col("partition_key").cast(L).alias("partition_key"))
 
 
-@query("x_grid", f"""select cast(4500 as bigint) as cells, cast({sum(a for a, _ in cells.LENGTHS) * 450} as bigint) as lo_sum""")
+@query("x_grid", f"""with c as (select distinct l_linenumber as charge from lineitem), s as (select distinct p_size // 10 as lo from part)
+select charge, lo as length_lo, {len(cells.SIZES) * 18}::bigint as cells, {sum(a for a, _ in cells.SIZES) * 18}::bigint as size_sum from c, s""")
 def x_grid(spark, d):
-    return cells.grid(spark).agg(F.count("*").alias("cells"), F.sum("length_lo").cast(L).alias("lo_sum"))
+    """A grid over the charges and lengths that the tables have."""
+    charges = tuple(sorted(r[0] for r in table(spark, d, "lineitem").select("l_linenumber").distinct().collect()))
+    lengths = [(r[0], r[0] + 1) for r in table(spark, d, "part").select(F.expr("p_size div 10").cast("int")).distinct().collect()]
+    g = cells.grid(spark, lengths=lengths, charges=charges)
+    return g.groupBy("charge", "length_lo").agg(F.count("*").alias("cells"), F.sum("size_lo").cast(L).alias("size_sum"))
 
 
 @query("w_neighbour_residues", """with {0}, e as (select p_partkey, unnest(seq) as aa, generate_subscripts(seq, 1) as i from residues)

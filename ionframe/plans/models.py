@@ -6,8 +6,8 @@ import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import encode, stats
-from ..operators import glm, score, select
+from ..functions import chem, encode, stats
+from ..operators import glm, partitioned, score, select
 from . import views
 from .registry import query
 from .views import IONS, table
@@ -112,14 +112,14 @@ def model_rows(spark, d, model: str = "FragmentType"):
 def g_multinomial_fit(spark, d):
     """A fit for each cell (order priority); the largest gradient of the penalised likelihood tells how exact it is."""
     width = encode.width("FragmentType")
-    fits = glm.fit_cells(model_rows(spark, d), ["cell"], ["scan"], width, "cell string")
+    fits = partitioned.fit_grouped(model_rows(spark, d), ["cell"], ["scan"], width)
     return fits.select("cell", "n_spectra", "n_rows", "converged", "iterations", _r("deviance", 2).alias("deviance"), _r(F.aggregate("coef", F.lit(0.0), lambda s, x: s + x), 4).alias("coef_sum"))
 
 
 @query("g_wald_intervals")
 def g_wald_intervals(spark, d):
     width = encode.width("FragmentType")
-    fits = glm.fit_cells(model_rows(spark, d), ["cell"], ["scan"], width, "cell string")
+    fits = partitioned.fit_grouped(model_rows(spark, d), ["cell"], ["scan"], width)
     return glm.intervals(fits, width).select("cell", "position", _r("beta", 4).alias("beta"), _r("se", 4).alias("se"), _r("z", 3).alias("z"))
 
 
@@ -183,11 +183,16 @@ def k_dominant_ratio(spark, d):
     return select.dominant_ratio(s, ["scan"], "size", "i", "size").select("scan", _r("ratio").alias("ratio"))
 
 
-@query("k_kmeans_selector")
+@query("k_kmeans_selector", """with recursive v as (select l_returnflag, l_quantity / 50 as v, count(*) as n from lineitem group by all),
+c(l_returnflag, step, lo, hi) as (select distinct l_returnflag, 0, 0.1::double, 0.9::double from v union all
+  select c.l_returnflag, step + 1, coalesce(sum(v * n) filter (where abs(v - lo) <= abs(v - hi)) / sum(n) filter (where abs(v - lo) <= abs(v - hi)), any_value(lo)),
+    coalesce(sum(v * n) filter (where abs(v - lo) > abs(v - hi)) / sum(n) filter (where abs(v - lo) > abs(v - hi)), any_value(hi))
+  from c join v on v.l_returnflag = c.l_returnflag where step < 50 group by c.l_returnflag, step)
+select l_returnflag, round(lo, 6) as low, round(hi, 6) as high from c where step = 50""")
 def k_kmeans_selector(spark, d):
     """Two centres for each cell from the seeds 0.1 and 0.9."""
     v = table(spark, d, "lineitem").select("l_returnflag", (F.col("l_quantity") / 50).alias("v"))
-    c = select.kmeans_cells(v, ["l_returnflag"], "v", "l_returnflag string")
+    c = partitioned.kmeans_by_histogram(v, ["l_returnflag"], "v")
     return c.select("l_returnflag", _r(F.col("centres")[0]).alias("low"), _r(F.col("centres")[1]).alias("high"))
 
 
@@ -206,12 +211,16 @@ def t_svm_scores(spark, d):
     return select.svm_scores(f, ["a", "b"], "target").groupBy("target").agg(F.count("*").alias("n"), F.count_if(F.col("svm") > 0).alias("above"))
 
 
-@query("x_mass_offsets", """select p_partkey, round(coalesce(map {'P': 97.05276385, 'G': 57.02146372, 'S': 87.03202841}[seq[1]], 0)::double, 5) as first_mass from (select p_partkey, string_split(upper(regexp_replace(p_name, '[^A-Za-z]', '', 'g')), '') as seq from part) where seq[1] in ('P', 'G', 'S')""")
-def x_mass_offsets(spark, d):
-    from ..functions.chem import residue_mass
+_MASSES = "map {" + ", ".join(f"'{a}': {m!r}" for a, m in chem.RESIDUES.items()) + "}"
+
 
-    r = views.residues(spark, d).select("p_partkey", F.struct(F.get("seq", F.lit(0)).alias("aa"), F.array().cast("array<string>").alias("mods")).alias("r")).where("r.aa in ('P', 'G', 'S')")
-    return r.select("p_partkey", _r(residue_mass(F.col("r")), 5).alias("first_mass"))
+@query("x_mass_offsets", f"""with {views.RESIDUES}, r as (select p_partkey, unnest(seq) as aa, generate_subscripts(seq, 1) as i from residues)
+select p_partkey, i, round(coalesce({_MASSES}[aa], 0)::double, 5) as mass from r""")
+def x_mass_offsets(spark, d):
+    """The mass of every residue of every part; letters that are no residue weigh nothing."""
+    e = views.residues(spark, d).select("p_partkey", F.posexplode("seq").alias("i", "aa"))
+    r = e.withColumn("r", F.struct("aa", F.array().cast("array<string>").alias("mods")))
+    return r.select("p_partkey", (F.col("i") + 1).cast(L).alias("i"), _r(chem.residue_mass(F.col("r")), 5).alias("mass"))
 
 
 @query("r_windowed_rates", """select time_bucket(interval '1 hour', ts) as window_start, event_type, count(*) filter (where value >= 100) as on_count, count(*) filter (where value < 100) as off_count from events group by all""")

@@ -242,10 +242,9 @@ def s_cosine(spark, d):
     return e.join(b, "vec_id").select("vec_id", "label", _r(stats.array_cosine("embedding", "other"), 5).alias("cosine"))
 
 
-@query("s_spectral_angle", f"with {IONS} select scan, round(acos(greatest(-1, least(1, sum(share * yhat) / (sqrt(sum(share * share)) * sqrt(sum(yhat * yhat)))))) * 2 / pi(), 4) as angle from ions group by 1 having count(*) > 1")
+@query("s_spectral_angle", f"with {IONS} select scan, round(acos(greatest(-1, least(1, sum(share * yhat) / (sqrt(sum(share * share)) * sqrt(sum(yhat * yhat)))))) * 2 / pi(), 4) as angle from ions group by 1")
 def s_spectral_angle(spark, d):
-    i = views.ions(spark, d).groupBy("scan").agg(F.count("*").alias("n"), _r(stats.angle(stats.cosine("share", "yhat")), 4).alias("angle"))
-    return i.where("n > 1").select("scan", "angle")
+    return views.ions(spark, d).groupBy("scan").agg(_r(stats.angle(stats.cosine("share", "yhat")), 4).alias("angle"))
 
 
 @query("s_ls_scale", "select l_suppkey, round(sum(l_quantity * l_extendedprice) / sum(l_quantity * l_quantity), 4) as scale from lineitem group by 1")
@@ -291,9 +290,11 @@ def o_oxonium_norm(spark, d):
     return score.oxonium_ratios(e, ["user_id", "s"], "event_type", "value", "click").select("user_id", "event_id", _r("ratio").alias("ratio"))
 
 
-@query("o_oxonium_onehot", """select event_id, list_sort([cast(least(user_id % 9, 5) as int), cast(6 + least(event_id % 4, 2) as int), 9 + list_position(['click', 'error', 'view'], event_type) - 1])::varchar as idx from events where event_type in ('click', 'error', 'view')""")
+@query("o_oxonium_onehot", """with k as (select event_id, event_type, list_sort([cast(least(user_id % 9, 5) as int), cast(6 + least(event_id % 4, 2) as int)]) as i from events)
+select event_id, '[' || array_to_string(case when event_type in ('click', 'error', 'view') then i || [cast(9 + list_position(['click', 'error', 'view'], event_type) - 1 as int)] else i end, ', ') || ']' as idx from k""")
 def o_oxonium_onehot(spark, d):
-    e = table(spark, d, "events").where(F.col("event_type").isin("click", "error", "view")).withColumns({"Hex": F.col("user_id") % 9, "HexNAc": F.col("event_id") % 4})
+    """Every event; one of a kind that is no ion sets the bounded columns only."""
+    e = table(spark, d, "events").withColumns({"Hex": F.col("user_id") % 9, "HexNAc": F.col("event_id") % 4})
     idx = score.oxonium_one_hot({"Hex": 5, "HexNAc": 2}, ["click", "error", "view"], "event_type")
     return e.select("event_id", F.concat(F.lit("["), F.array_join(idx.cast("array<string>"), ", "), F.lit("]")).alias("idx"))
 

@@ -176,14 +176,14 @@ END IONS
 def test_mgf_reader(spark, tmp_path):
     (tmp_path / "x.mgf").write_text(MGF)
     s = mgf.read_scans(spark, str(tmp_path)).orderBy("scan_index").collect()
-    assert len(s) == 2 and s[0].title == "x.a.1" and s[0].precursor_charge == 5 and s[0].activation == "hcd" and s[0].precursor_intensity == 792599.0
+    assert len(s) == 2 and s[0].title == "x.mgf.a.1" and s[0].precursor_charge == 5 and s[0].activation == "hcd" and s[0].precursor_intensity == 792599.0
     assert s[0].annotations == {"base peak m/z": "3.5"} and len(s[0].peaks) == 2 and s[1].precursor_charge is None
-    p = mgf.peaks(mgf.read_scans(spark, str(tmp_path))).where("title = 'x.a.1'").orderBy("peak_index").collect()
+    p = mgf.peaks(mgf.read_scans(spark, str(tmp_path))).where("title = 'x.mgf.a.1'").orderBy("peak_index").collect()
     assert math.isclose(p[1].neutral_mass, 204.5 * 2 - 2 * scalar.PROTON)
     st = mgf.structures(mgf.read_scans(spark, str(tmp_path))).first()
     assert [r.aa for r in st.residues] == list("NITMK") and st.residues[3].mods == ["Oxidation"] and st.glycan == {"Hex": 9, "HexNAc": 3} and st.glycan_size == 12 and [tuple(g) for g in st.glycosylation] == [(0, 1)]
     kept = mgf.training_data(spark, str(tmp_path), 5.0, 0.05)
-    assert [r.title for r in kept.collect()] == ["x.a.1"]
+    assert [r.title for r in kept.collect()] == ["x.mgf.a.1"]
     with pytest.raises(ValueError):
         mgf.training_data(spark, str(tmp_path), 50.0, 0.05)
     mgf.write_scans(kept, str(tmp_path / "out"), ["precursor_charge"])
@@ -380,7 +380,7 @@ def test_mismatches_are_fitted_again(spark):
         for k in range(3):
             rows.append(("c", s, [k], (60.0 if k == strong else 10.0) + rng.random(), 100.0, 1.0))
     df = spark.createDataFrame(rows, "cell string, scan int, idx array<int>, intensity double, total double, reliability double")
-    got = {r.mismatch: r for r in glm.fit_with_mismatch(df, ["cell"], ["scan"], 3, "cell string").collect()}
+    got = {r.mismatch: r for r in glm.fit_with_mismatch(df, ["cell"], ["scan"], 3).collect()}
     assert got[False].n_spectra == 40 and got[True].n_spectra == 6
     assert np.argmax(got[False].coef) == 0 and np.argmax(got[True].coef) == 1
 
@@ -404,7 +404,7 @@ def test_train_and_evaluate(spark, tmp_path):
     assert fits.where("not mismatch").count() == 1 and fits.first().charge == 3
     got = {r.title: r for r in training.evaluate(scans, fits).collect()}
     assert len(got) == 30
-    clean, noise, other = got["t.s0"], got["t.s29"], got["t.s28"]
+    clean, noise, other = got["t.mgf.s0"], got["t.mgf.s29"], got["t.mgf.s28"]
     assert clean.peptide_coverage == 1.0 and clean.glycan_coverage == 1.0 and clean.total_util == pytest.approx(1.0)
     assert noise.glycopeptide_score < clean.glycopeptide_score and noise.peptide_coverage < 1
     assert other.partition_label == clean.partition_label and other.peptide_coverage == 1.0
