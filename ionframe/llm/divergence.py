@@ -37,6 +37,8 @@ FIRST = 4
 SLOTS = 1 << 22
 #: Counts that a task holds before it passes them on.
 HELD = 400_000
+#: Sources of which a task holds sums.
+GROUPS = 32
 #: Languages of which a task keeps look-ups.
 LANGUAGES = 8
 #: Ranks of the terms that set a source apart.
@@ -180,28 +182,58 @@ def _documents(terms: DataFrame, length: int, filters) -> DataFrame:
     return terms.select("lang", "terms").mapInArrow(run, "lang string, prefix binary, n long")
 
 
+class _Numbers(dict):
+    """Numbers of a language's terms from 1 on; those that a filter stops are 0."""
+
+    def __init__(self, alive: _Alive):
+        super().__init__()
+        self.alive, self.names = alive, [b""]
+
+    @property
+    def size(self) -> int:
+        return len(self.names)
+
+    def __missing__(self, term: bytes) -> int:
+        n = 0
+        if self.alive[term]:
+            n = len(self.names)
+            self.names.append(term)
+        self[term] = n
+        return n
+
+
+def _sums_of(held: dict, numbers: dict):
+    """Batches of (lang, source, term, n) of the sums by number."""
+    for (lang, source), added in held.items():
+        at = np.flatnonzero(added[1:]) + 1
+        names = pa.array(numbers[lang].names, pa.binary()).take(pa.array(at))
+        yield pa.record_batch([pa.array([lang] * len(at), pa.string()), pa.array([source] * len(at), pa.string()), names, pa.array(added[at])], names=["lang", "source", "term", "n"])
+
+
 def _occurrences(terms: DataFrame, kept: DataFrame) -> DataFrame:
     """(lang, source, term, n): partial counts of the terms that a filter of the kept ones lets through."""
     filters = terms.sparkSession.sparkContext.broadcast(_filter(kept, "term"))
 
     def run(batches):
-        held: dict[tuple, Counter] = {}
-        alive: dict[str, _Alive] = {}
-        size = 0
+        numbers: dict[str, _Numbers] = {}
+        held: dict[tuple, np.ndarray] = {}
         for b in batches:
             for lang, source, blob, counts in zip(*(b.column(i).to_pylist() for i in range(4))):
-                known = _known(alive, filters, lang)
-                counter = held.setdefault((lang, source), Counter())
-                size -= len(counter)
-                for t, n in zip(blob.split(), np.frombuffer(counts, "<u4").tolist()):
-                    if known[t]:
-                        counter[t] += n
-                size += len(counter)
-                if size >= HELD:
-                    yield _rows(held, ["lang", "source", "term", "n"])
-                    held, size = {}, 0
-        if held:
-            yield _rows(held, ["lang", "source", "term", "n"])
+                if len(held) >= GROUPS or (lang in numbers and len(numbers[lang]) >= HELD):
+                    yield from _sums_of(held, numbers)
+                    held, numbers = {}, {}
+                if lang not in numbers:
+                    numbers[lang] = _Numbers(_Alive(filters.value, lang))
+                own = numbers[lang]
+                at = np.fromiter(map(own.__getitem__, blob.split()), np.int64)
+                added = held.get((lang, source))
+                if added is None or len(added) < own.size:
+                    wider = np.zeros(max(1024, 2 * own.size), np.int64)
+                    wider[: 0 if added is None else len(added)] = 0 if added is None else added
+                    held[lang, source] = added = wider
+                # a document's terms differ, so no place comes twice but that of the others
+                added[at] += np.frombuffer(counts, "<u4")
+        yield from _sums_of(held, numbers)
 
     return terms.mapInArrow(run, "lang string, source string, term binary, n long")
 
