@@ -8,6 +8,11 @@ bigrams, and at least that lower number of them are in B.  So a text is looked a
 template only if it has so many different bigrams of B; all other templates and texts are
 dropped by counting.
 
+A licence's version tells it from others of nearly the same words, so a window has to hold the template's
+bigrams of a version (a number behind one of VERSION_WORDS).  Of windows that share words, of one
+template or several, only the best is a match: that of the largest coefficient, then of the larger
+template, then the first; so a place of a text has one licence.
+
 A window begins with a bigram that does not come again within it and ends with one that is new
 to it, as it could be made shorter otherwise.  So windows that are open at a position begin with
 different bigrams of at most |B| (2 - t) / t, and the work is at most a text's length times
@@ -16,6 +21,7 @@ that, however often it repeats itself.
 
 from __future__ import annotations
 
+import bisect
 import re
 
 import numpy as np
@@ -25,6 +31,8 @@ from pyspark.sql import functions as F
 
 THRESHOLD = 0.8
 _WORD = re.compile(rb"[a-z0-9]+")
+#: Words behind which a number is a version.
+VERSION_WORDS = {b"version", b"v", b"license", b"by", b"sa", b"nc", b"attribution"}
 
 # The notices as their publishers word them.
 TEMPLATES = {
@@ -66,23 +74,36 @@ TEMPLATES = {
         "2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. "
         "3. This notice may not be removed or altered from any source distribution."
     ),
-    "BSL-1.0-text": (
+    "BSL-1.0-grant": (
         'Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this '
         'license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to '
         "permit third-parties to whom the Software is furnished to do so, all subject to the following: The copyright notices in the Software and this entire statement, "
         "including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all "
         "derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor."
     ),
-    "ISC-text": (
+    "ISC-grant": (
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
         "provided that the above copyright notice and this permission notice appear in all copies."
     ),
-    "BSD-2-Clause-text": (
+    "BSD-2-Clause-conditions": (
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
         "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
         "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation "
         "and/or other materials provided with the distribution."
     ),
+    "GPL-2.0": "This work is licensed under the GNU General Public License, version 2",
+    "GPL-2.0-header": (
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by "
+        "the Free Software Foundation; either version 2 of the License, or (at your option) any later version. "
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of "
+        "MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."
+    ),
+    "LGPL-2.1-header": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by "
+        "the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. "
+        "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of "
+        "MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details."
+    ),
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3",
     "GPL-3.0-header": (
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by "
@@ -106,7 +127,11 @@ TEMPLATES = {
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, "
         "You can obtain one at https://mozilla.org/MPL/2.0/."
     ),
-    "Unlicense-text": (
+    "EPL-2.0-header": (
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"
+    ),
+    "CC0-1.0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work",
+    "Unlicense-opening": (
         "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, "
         "either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."
     ),
@@ -134,6 +159,7 @@ class Scanner:
         self.sets = [{self.ids[a] * self.width + self.ids[b] for a, b in zip(ws, ws[1:])} for ws in words]
         if len(self.names) > 63 or not all(self.sets):
             raise ValueError("1 to 63 templates of at least two words are taken")
+        self.versions = [sorted({self.ids[a] * self.width + self.ids[b] for a, b in zip(ws, ws[1:]) if a in VERSION_WORDS and b[:1].isdigit()}) for ws in words]
         self.table = np.zeros(self.width**2, np.int64)
         for i, s in enumerate(self.sets):
             self.table[list(s)] |= 1 << i
@@ -142,8 +168,22 @@ class Scanner:
         self.most = [int(np.floor(len(s) * high + 1e-9)) for s in self.sets]
 
     def scan(self, text: str | None) -> list[tuple[str, float, int, int]]:
-        """(template, dice, first word, word after the last) of the best window for each template
-        that has a match; of equal windows the first and then the shortest."""
+        """(template, dice, first word, word after the last) of every match, by place."""
+        found = [(-dice, -len(self.sets[i]), start, end, i) for i, windows in self.windows(text) for dice, start, end in windows]
+        taken: list[tuple[int, int]] = []
+        out = []
+        for dice, _, start, end, i in sorted(found):
+            # windows that were taken are apart, so only those beside this one can touch it
+            k = bisect.bisect(taken, (start, end))
+            if (k and taken[k - 1][1] > start) or (k < len(taken) and taken[k][0] < end):
+                continue
+            taken.insert(k, (start, end))
+            out.append((self.names[i], -dice, start, end))
+        return sorted(out, key=lambda m: m[2])
+
+    def windows(self, text: str | None) -> list[tuple[int, list[tuple[float, int, int]]]]:
+        """(template, windows) of each template that has windows of the threshold: the best of those
+        that begin at each place, as dice, first word and word after the last."""
         words = normal_words(text)
         if len(words) < 2:
             return []
@@ -154,16 +194,17 @@ class Scanner:
         at = np.flatnonzero(masks)
         if not len(at):
             return []
-        different = self.table[np.unique(pairs[at])]
+        seen = np.unique(pairs[at])
+        different = self.table[seen]
         out, before = [], None
-        for i, name in enumerate(self.names):
-            if np.count_nonzero((different >> i) & 1) < self.least[i]:
+        for i in range(len(self.names)):
+            if np.count_nonzero((different >> i) & 1) < self.least[i] or not np.isin(self.versions[i], seen).all():
                 continue
             if before is None:
                 before, after = self._neighbours(words, w)
-            best = self._best(i, (masks >> i) & 1 == 1, before, after)
-            if best:
-                out.append((name, *best))
+            found = self._windows(i, (masks >> i) & 1 == 1, pairs, before, after)
+            if found:
+                out.append((i, found))
         return out
 
     def _neighbours(self, words: list[bytes], w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -181,8 +222,8 @@ class Scanner:
         after[order[:-1][same]] = order[1:][same]
         return before, after
 
-    def _best(self, i: int, hit: np.ndarray, before: np.ndarray, after: np.ndarray):
-        size, most, best = len(self.sets[i]), self.most[i], None
+    def _windows(self, i: int, hit: np.ndarray, pairs: np.ndarray, before: np.ndarray, after: np.ndarray):
+        size, most, out = len(self.sets[i]), self.most[i], []
         # a window begins and ends at a hit, else a part of it would be at least as good
         for start in np.flatnonzero(hit).tolist():
             stop, reach = int(after[start]), start + most
@@ -195,16 +236,17 @@ class Scanner:
                 reach = start + 2 * (reach - start)
             common = np.cumsum(new & hit[part])
             dice = np.where(seen <= most, 2 * common / (seen + size), 0)
+            for version in self.versions[i]:
+                dice = np.where(np.logical_or.accumulate(pairs[part] == version), dice, 0)
             k = int(dice.argmax())
-            if dice[k] >= self.threshold and (best is None or dice[k] > best[0]):
-                best = (float(dice[k]), start, start + k + 2)
-        return best
+            if dice[k] >= self.threshold:
+                out.append((float(dice[k]), start, start + k + 2))
+        return out
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, license, dice, first_word, end_word) for each row of docs and each template
-    that matches somewhere in its whole text; word numbers are those of the normalised text.
-    Of a template's several matches in a text only the best is reported, of equal ones the first.
+    """(doc_id, license, dice, first_word, end_word) for each row of docs and each place of its
+    whole text that matches a template; word numbers are those of the normalised text.
 
     Null and empty texts have no match; repeated rows come back as often as they are there;
     other columns are ignored.  templates are other texts of any length by name, as of whole
