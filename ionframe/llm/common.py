@@ -55,6 +55,13 @@ def id_remainder(doc_id: Column, m: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % m
 
 
+def passage(text: Column, key: Column, chars: int) -> Column:
+    """The text, or of a longer one so many characters from a place that a hash of the key gives:
+    what training on a bounded sample reads of it."""
+    last = F.greatest(F.char_length(text) - chars, F.lit(0))
+    return F.substring(text, (F.pmod(F.xxhash64(key), last + 1) + 1).cast("int"), F.lit(chars))
+
+
 def sample_by_hash(df: DataFrame, n: int, key: str) -> DataFrame:
     """At most n rows, the same for the same rows whatever their order or partitions."""
     return df.orderBy(F.xxhash64(key), key).limit(n)

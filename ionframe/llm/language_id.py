@@ -16,11 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_remainder, materialize
+from .common import id_remainder, materialize, passage
 
 #: The bounds of the labelled rows that training uses, for each language and in all.
 TRAIN_PER_LANGUAGE, TRAIN_ROWS = 300, 4000
-#: Longer texts are not trained on (they are identified like any other): the driver holds the sample.
+#: Of a longer text so much is trained on, from a place chosen by hash (it is identified as a whole
+#: like any other): the driver holds the sample.
 TRAIN_CHARS = 100_000
 DIM_BITS, CENTROIDS, ROUNDS = 14, 4, 12
 SHARPNESS = 20.0
@@ -99,16 +100,16 @@ def train(texts: list[bytes], langs: list[str]) -> Model:
 def fit(docs: DataFrame, held_out: int | None = 2, modulus: int = 4) -> Model:
     """Trains on docs whose lang and text are not null, but for ids whose crc32 modulo
     modulus is held_out: at most TRAIN_PER_LANGUAGE rows of a language, chosen by a hash of
-    the id and the text, and at most TRAIN_ROWS in all, of at most TRAIN_CHARS characters.
+    the id and the text, and at most TRAIN_ROWS in all, of each TRAIN_CHARS characters at most.
     Rows that repeat id, language and text count once."""
-    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").alias("_lang"), F.xxhash64(F.col("text").cast("string")).alias("_text_hash"), F.char_length("text").alias("_n"))
-    known = known.where(f"_lang is not null and _n <= {TRAIN_CHARS} and doc_id is not null").drop("_n").distinct()
+    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").alias("_lang"), F.xxhash64(F.col("text").cast("string")).alias("_text_hash"), F.col("text").isNotNull().alias("_has"))
+    known = known.where("_lang is not null and _has and doc_id is not null").drop("_has").distinct()
     if held_out is not None:
         known = known.where(id_remainder(F.col("doc_id"), modulus) != held_out)
     order = Window.partitionBy("_lang").orderBy(F.xxhash64("doc_id"), "doc_id", "_text_hash")
     ranked = known.withColumn("r", F.row_number().over(order)).where(F.col("r") <= TRAIN_PER_LANGUAGE)
     chosen = materialize(ranked.orderBy("r", "_lang", "doc_id", "_text_hash").limit(TRAIN_ROWS).select("doc_id", "_lang", "_text_hash"), "language-sample")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("_text_hash"), F.col("text").cast("string").cast("binary").alias("text"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("_text_hash"), passage(F.col("text").cast("string"), F.col("doc_id"), TRAIN_CHARS).cast("binary").alias("text"))
     # chosen has at most TRAIN_ROWS rows
     rows = texts.join(F.broadcast(chosen), ["doc_id", "_text_hash"]).dropDuplicates(["doc_id", "_lang", "_text_hash"]).orderBy("doc_id", "_lang", "_text_hash").limit(TRAIN_ROWS).collect()
     return train([bytes(r.text) for r in rows], [r["_lang"] for r in rows])

@@ -27,11 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import ChunkCache
-from .common import id_remainder, materialize, sample_by_hash
+from .common import id_remainder, materialize, passage, sample_by_hash
 
 #: The bound of the labelled rows that training uses.
 TRAIN_ROWS = 2500
-#: Longer texts are not trained on (they are scored like any other): the driver holds the sample.
+#: Of a longer text so much is trained on, from a place chosen by hash (it is scored as a whole like
+#: any other): the driver holds the sample.
 TRAIN_CHARS = 100_000
 BUCKETS = 1 << 18
 DIM, EPOCHS, BATCH, RATE, SEED = 8, 3, 32, 200.0, 11
@@ -150,8 +151,8 @@ def train(texts: list[bytes], labels: list[int]) -> Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, held_out: int | None = 1, modulus: int = 3) -> Model:
-    """Trains on at most TRAIN_ROWS rows of docs that have a label and at most TRAIN_CHARS
-    characters, chosen by a hash of the id (of rows that repeat an id the least text); rows whose crc32(doc_id) modulo modulus is held_out are never among them.  Rows of
+    """Trains on at most TRAIN_ROWS rows of docs that have a label, of each TRAIN_CHARS characters at
+    most, chosen by a hash of the id (of rows that repeat an id the least text); rows whose crc32(doc_id) modulo modulus is held_out are never among them.  Rows of
     labels without id or label count for nothing; of contradictory labels the larger holds.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
@@ -160,10 +161,10 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: int | None = 1, modulus: i
         known = known.where(id_remainder(F.col("doc_id"), modulus) != held_out)
     known = known.groupBy("doc_id").agg(F.max("quality").alias("quality"))
     # only ids that docs still has count against the bound
-    short = docs.where(F.coalesce(F.char_length("text"), F.lit(0)) <= TRAIN_CHARS)
-    known = known.join(short.select(F.col("doc_id").cast("long").alias("doc_id")), "doc_id", "left_semi")
+    known = known.join(docs.select(F.col("doc_id").cast("long").alias("doc_id")), "doc_id", "left_semi")
     chosen = materialize(sample_by_hash(known, TRAIN_ROWS, "doc_id"), "quality-sample")
-    texts = short.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
+    text = passage(F.coalesce(F.col("text").cast("string"), F.lit("")), F.col("doc_id"), TRAIN_CHARS)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.cast("binary").alias("text"))
     # chosen has at most TRAIN_ROWS rows of two numbers
     rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text")).orderBy("doc_id").limit(TRAIN_ROWS).collect()
     return train([bytes(r.text) for r in rows], [r.quality for r in rows])

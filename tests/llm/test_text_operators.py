@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -13,7 +14,7 @@ import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
-from ionframe.llm import divergence, periodic_runs, pieces
+from ionframe.llm import common, divergence, language_id, periodic_runs, pieces, quality_classifier
 from ionframe.llm.queries import op11_piece_round_trip, op12_source_divergence, op13_periodic_runs, piece_model_path
 
 SF = "/root/testdata/sf0.001"
@@ -303,3 +304,66 @@ def test_long_texts_end():
     unit = [b"%d" % rng.randrange(5000) for _ in range(40_000)]
     assert periodic_runs.runs_of(unit + unit + unit[:7]).tolist() == [[0, 80_007, 40_000]]
     assert periodic_runs.runs_of([b"x"] * 200_000).tolist() == [[0, 200_000, 1]]
+
+
+# ---------------------------------------------------------------- models
+
+
+def test_long_texts_are_trained_on(spark, monkeypatch):
+    """A language, or a label, whose texts are all longer than the passage is learned."""
+    monkeypatch.setattr(language_id, "TRAIN_CHARS", 200)
+    monkeypatch.setattr(quality_classifier, "TRAIN_CHARS", 200)
+    rng = random.Random(10)
+    words = {"aa": "kapo lomi tesa rinu".split(), "bb": "zwuq xyrk vhjj qqwz".split()}
+    rows = [(k, " ".join(rng.choice(words[lang]) for _ in range(300)), lang, lang == "aa") for k, lang in enumerate(["aa", "bb"] * 30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, good boolean")
+    got = language_id.identify(docs, language_id.fit(docs)).collect()
+    assert {r.doc_id: r.lang_pred for r in got} == {k: lang for k, _, lang, _ in rows}
+    labels = docs.select("doc_id", F.col("good").cast("int").alias("quality"))
+    assert all(r.predicted == int(rows[r.doc_id][3]) for r in quality_classifier.classify(docs, labels).collect())
+
+
+def test_passage(spark):
+    row = spark.createDataFrame([("é" * 30, 1), ("abc", 2), ("", 3), (None, 4), ("0123456789" * 9, 5)], "t string, k long")
+    got = [r[0] for r in row.orderBy("k").select(common.passage(F.col("t"), F.col("k"), 20)).collect()]
+    assert got[:4] == ["é" * 20, "abc", "", None] and len(got[4]) == 20 and got[4] in "0123456789" * 9
+
+
+def test_language_prediction_by_brute_force():
+    """Cosines of TF-IDF trigrams with the model's centroids, in plain Python."""
+    rng = random.Random(11)
+    texts = [(" ".join("".join(rng.choice(a) for _ in range(rng.randint(2, 7))) for _ in range(40))).encode() for a in ["abcde", "fghij", "acegi"] for _ in range(18)]
+    model = language_id.train(texts, ["x"] * 18 + ["y"] * 18 + ["z"] * 18)
+    langs, scores, rejected = model.predict(texts)
+    for text, lang, score, out in zip(texts, langs, scores, rejected):
+        padded, found = b" " + text.lower() + b" ", Counter()
+        for i in range(len(padded) - 2):
+            code = padded[i] << 16 | padded[i + 1] << 8 | padded[i + 2]
+            found[code * 2654435761 % 2**32 >> 32 - language_id.DIM_BITS] += 1
+        v = {k: math.log1p(n) * float(model.idf[k]) for k, n in found.items()}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        best = {}
+        for c, of in zip(model.centroids, model.language_of):
+            cos = sum(x / norm * float(c[k]) for k, x in v.items())
+            best[of] = max(best.get(of, -1.0), cos)
+        top = max(best, key=best.get)
+        assert model.languages[top] == lang
+        assert score == pytest.approx(1 / sum(math.exp(language_id.SHARPNESS * (b - best[top])) for b in best.values()), rel=1e-3)
+        assert out == (1 - best[top] > model.radius[top])
+
+
+def test_quality_score_by_brute_force():
+    """The average over words of the average weights of their word and n-gram buckets."""
+    weights = np.random.default_rng(12).normal(0, 3, quality_classifier.BUCKETS)
+    score = quality_classifier.Model(weights, 0.25).scorer()
+    rng = random.Random(13)
+    texts = [" ".join(rng.choice(["", "a", "of", "words", "wörter", "x" * 300, "same same", "zz"]) for _ in range(rng.randrange(12))) for _ in range(50)]
+    for text in texts:
+        words, total = text.encode().split(), 0.0
+        for i, w in enumerate(words):
+            marked = b"<" + w + b">"
+            grams = [1 + zlib.crc32(w, 1) % (len(weights) - 1)]
+            grams += [1 + zlib.crc32(marked[k : k + n], 2) % (len(weights) - 1) for n in (3, 4, 5) for k in range(len(marked) - n + 1)]
+            total += sum(weights[g] for g in grams) / len(grams) + (weights[0] if i + 1 < len(words) and words[i + 1] == w else 0)
+        z = 0.25 + (total / len(words) if words else 0)
+        assert score(text.encode()) == pytest.approx(1 / (1 + math.exp(-z)), rel=1e-9)
