@@ -97,6 +97,12 @@ def decoys(structures: DataFrame, peptide: bool = True, glycan: bool = False) ->
     return out.withColumn("glycan_shift", F.when(F.col("decoy"), share * DECOY_SHIFT).otherwise(0.0))
 
 
+def unknown_shift(name: Column) -> Column:
+    """Whether a shift (null: none) has a term whose name is not known."""
+    known = F.array(*map(F.lit, SHIFTS))
+    return F.coalesce(F.exists(F.split(name, r"\s+\+\s+"), lambda t: ~F.array_contains(known, F.trim(F.substring_index(t, "*", -1)))), F.lit(False))
+
+
 def mass_shift(name: Column) -> Column:
     """Mass of a shift: a name, or a sum of n*name; an unknown name counts as unmodified (0)."""
     term = lambda t: F.when(t.contains("*"), F.trim(F.substring_index(t, "*", 1)).try_cast("double")).otherwise(1.0) * _lookup(SHIFTS, F.trim(F.substring_index(t, "*", -1)))

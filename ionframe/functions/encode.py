@@ -11,20 +11,38 @@ near_n, near_c (classes at 1..depth) and dist.
 
 from __future__ import annotations
 
+import itertools
 from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 CHARGES, CLASSES, BACKBONE, STUB_MAX, LOSSES, LABILE, FUCOSE = 5, 8, 2, 14, 29, 6, 6
+_ZS = range(1, CHARGES + 1)
+
+
+# Labels of the residue classes and fragment series in the names of features.
+CLASS_LABELS = ("pro", "gly", "ser_thr", "leu_iso_val_ala", "asn", "his", "arg_lys", "x")
+SERIES_LABELS = ("b", "y", "stub_glycopeptide")
+
+
+def _named(pattern: str, *values) -> tuple[str, ...]:
+    """The pattern for every combination of the values, the last value running fastest."""
+    return tuple(pattern.format(*v) for v in itertools.product(*values))
 
 
 @dataclass(frozen=True)
 class Block:
-    name: str
-    width: int
+    """A block's features by name, and the index that a row sets among them."""
+
+    names: tuple[str, ...]
     indices: tuple  # Columns relative to the block
     counts: tuple = ()  # how often each is set, once by default
+    ascending: bool = False  # several indices are in order
+
+    @property
+    def width(self) -> int:
+        return len(self.names)
 
 
 def _assigned() -> Column:
@@ -45,55 +63,55 @@ def _z() -> Column:
 
 def base() -> list[Block]:
     return [
-        Block("n-term", CLASSES, (F.col("n"),)),
-        Block("c-term", CLASSES, (F.col("c"),)),
-        Block("series", 3, (F.when(_assigned(), F.col("series")),)),
-        Block("unassigned", 1, (F.when(~_assigned(), 0),)),
-        Block("charge", CHARGES, (F.when(_backbone(), _z()),)),
-        Block("series:charge", 3 * CHARGES, (F.when(_assigned(), F.col("series") * CHARGES + _z()),)),
-        Block("is_glycosylated", BACKBONE + 1, (F.when(_backbone(), F.least(F.col("glyc"), F.lit(BACKBONE))),)),
+        Block(_named("n-term {}", CLASS_LABELS), (F.col("n"),)),
+        Block(_named("c-term {}", CLASS_LABELS), (F.col("c"),)),
+        Block(_named("series {}", SERIES_LABELS), (F.when(_assigned(), F.col("series")),)),
+        Block(("unassigned",), (F.when(~_assigned(), 0),)),
+        Block(_named("charge {}", _ZS), (F.when(_backbone(), _z()),)),
+        Block(_named("series {}:charge {}", SERIES_LABELS, _ZS), (F.when(_assigned(), F.col("series") * CHARGES + _z()),)),
+        Block(_named("is_glycosylated {}", range(BACKBONE + 1)), (F.when(_backbone(), F.least(F.col("glyc"), F.lit(BACKBONE))),)),
     ]
 
 
 def proline() -> list[Block]:
     pro = _backbone() & (F.col("c") == 0)
     return [
-        Block("c-term pro:charge", CHARGES, (F.when(pro, _z()),)),
-        Block("c-term pro:series", 2, (F.when(pro, F.col("series")),)),
-        Block("c-term pro:is_glycosylated", BACKBONE + 1, (F.when(pro, F.least(F.col("glyc"), F.lit(BACKBONE))),)),
+        Block(_named("charge {}:c-term pro", _ZS), (F.when(pro, _z()),)),
+        Block(_named("series:c-term pro {}", SERIES_LABELS[:2]), (F.when(pro, F.col("series")),)),
+        Block(_named("is_glycosylated:c-term pro {}", range(BACKBONE + 1)), (F.when(pro, F.least(F.col("glyc"), F.lit(BACKBONE))),)),
     ]
 
 
 def composition() -> list[Block]:
     """The classes of the stub's sequence are set as often as comp counts them."""
     return [
-        Block("stub:is_glycosylated", STUB_MAX + 1, (F.when(_stub(), F.least(F.col("glyc"), F.lit(STUB_MAX))),)),
-        Block("stub:composition", CLASSES, tuple(F.when(_stub(), k) for k in range(CLASSES)), tuple(F.get("comp", F.lit(k)) for k in range(CLASSES))),
+        Block(_named("stub glycopeptide:is_glycosylated {}", range(STUB_MAX + 1)), (F.when(_stub(), F.least(F.col("glyc"), F.lit(STUB_MAX))),)),
+        Block(_named("stub glycopeptide:composition {}", CLASS_LABELS), tuple(F.when(_stub(), k) for k in range(CLASSES)), tuple(F.get("comp", F.lit(k)) for k in range(CLASSES)), ascending=True),
     ]
 
 
 def fucose() -> list[Block]:
-    return [Block("stub:charge:fucose", CHARGES * (FUCOSE + 1), (F.when(_stub(), _z() * (FUCOSE + 1) + F.least(F.col("fuc"), F.lit(FUCOSE))),))]
+    return [Block(_named("stub glycopeptide:charge {}:fucose {}", _ZS, range(FUCOSE + 1)), (F.when(_stub(), _z() * (FUCOSE + 1) + F.least(F.col("fuc"), F.lit(FUCOSE))),))]
 
 
 def neighbours(depth: int) -> list[Block]:
-    return [Block(f"{side} {i + 1}", CLASSES, (F.when(_backbone(), F.get(col, F.lit(i))),)) for side, col in (("n-term -", "near_n"), ("c-term +", "near_c")) for i in range(depth)]
+    return [Block(_named(f"{side} {i + 1} {{}}", CLASS_LABELS), (F.when(_backbone(), F.get(col, F.lit(i))),)) for side, col in (("n-term -", "near_n"), ("c-term +", "near_c")) for i in range(depth)]
 
 
 def distance(cap: int = 10) -> list[Block]:
-    return [Block("series:distance", 2 * (cap + 1), (F.when(_backbone(), F.col("series") * (cap + 1) + F.least(F.col("dist"), F.lit(cap))),))]
+    return [Block(tuple(f"cleavage site distance {d}:series {s!r}" for s in SERIES_LABELS[:2] for d in range(cap + 1)), (F.when(_backbone(), F.col("series") * (cap + 1) + F.least(F.col("dist"), F.lit(cap))),))]
 
 
 def loss(size: str = "loss") -> list[Block]:
-    return [Block("stub:charge:loss", CHARGES * LOSSES, (F.when(_stub(), _z() * LOSSES + F.least(F.col(size), F.lit(LOSSES - 1))),))]
+    return [Block(_named("stub glycopeptide:charge {}:glycan loss {}", _ZS, range(LOSSES)), (F.when(_stub(), _z() * LOSSES + F.least(F.col(size), F.lit(LOSSES - 1))),))]
 
 
 def labile() -> list[Block]:
-    return [Block("stub:charge:labile", CHARGES * (LABILE + 1), (F.when(_stub(), _z() * (LABILE + 1) + F.least(F.col("labile"), F.lit(LABILE))),))]
+    return [Block(_named("stub glycopeptide:charge {}:labile monosaccharides {}", _ZS, range(LABILE + 1)), (F.when(_stub(), _z() * (LABILE + 1) + F.least(F.col("labile"), F.lit(LABILE))),))]
 
 
 def cross() -> list[Block]:
-    return [Block("series:n-term:c-term", 2 * CLASSES * CLASSES, (F.when(_backbone(), F.col("c") + CLASSES * F.col("n") + CLASSES * CLASSES * F.col("series")),))]
+    return [Block(_named("series {}:n-term {}:c-term {}", SERIES_LABELS[:2], CLASS_LABELS, CLASS_LABELS), (F.when(_backbone(), F.col("c") + CLASSES * F.col("n") + CLASSES * CLASSES * F.col("series")),))]
 
 
 def _near(depth):
@@ -129,20 +147,25 @@ def width(model: str) -> int:
 
 
 def feature_names(model: str) -> list[str]:
-    return [f"{b.name} {i}" for b in MODELS[model]() for i in range(b.width)]
+    return [n for b in MODELS[model]() for n in b.names]
 
 
 def encode(blocks: list[Block]) -> Column:
     """The sorted indices that a row sets, those with a count as often as that."""
-    out, many, offset = [], [], 0
+    parts, single, offset = [], [], 0
     for b in blocks:
         own = [(F.lit(offset) + i).cast("int") for i in b.indices]
         if b.counts:
-            many += [F.array_repeat(i, F.coalesce(c, F.lit(0)).cast("int")) for i, c in zip(own, b.counts)]
+            parts += [F.array(*single)] if single else []
+            parts += [F.array_repeat(i, F.coalesce(c, F.lit(0)).cast("int")) for i, c in zip(own, b.counts)]
+            single = []
         else:
-            out += own
+            single += own
         offset += b.width
-    return F.array_sort(F.array_compact(F.concat(F.array(*out), *many)))
+    parts += [F.array(*single)] if single else []
+    found = F.array_compact(F.concat(*parts) if len(parts) > 1 else parts[0])
+    # blocks follow each other, so their indices are in order unless a block's own are not
+    return found if all(b.ascending or len(b.indices) == 1 for b in blocks) else F.array_sort(found)
 
 
 def encode_model(model: str) -> Column:

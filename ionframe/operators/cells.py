@@ -55,17 +55,16 @@ def first_interval(df: DataFrame, value: str, intervals: list[tuple[int, int]],
     return df.withColumn(lo, pick(0)).withColumn(hi, pick(1))
 
 
-def nearest_key(rows: DataFrame, cells: DataFrame, given: list[str], key: str, distance: Column, order: list, value: str) -> DataFrame:
-    """One level of routing: rows (with given columns already chosen) get the cells' key with the
-    least distance among the branches below those; ties go to the first key in order.
-
-    cells is a grid (bounded, broadcast); rows are matched to the distinct keys of a branch,
-    and a row's branches meet in an aggregate over the row alone.
-    """
-    branches = cells.select(*given, key).distinct().groupBy(*given).agg(F.collect_list(key).alias("_keys")) if given else cells.select(key).distinct().agg(F.collect_list(key).alias("_keys"))
-    joined = rows.join(F.broadcast(branches), given) if given else rows.crossJoin(F.broadcast(branches))
+def nearest_key(values: DataFrame, cells: DataFrame, given: list[str], key: str, distance, order, value: str) -> DataFrame:
+    """One level of routing as a table: (given columns, value, key), where key is the cells' key
+    with the least distance to each of the values among the branches below the given columns;
+    ties go to the first key in order.  A grid bounds the branches, and the values are the
+    different ones of one column, so the table is small whatever the number of rows to route."""
+    keys = F.collect_list(key).alias("_keys")
+    branches = cells.select(*given, key).distinct()
+    branches = branches.groupBy(*given).agg(keys) if given else branches.agg(keys)
     best = F.array_min(F.transform("_keys", lambda k: F.struct(distance(k, F.col(value)).alias("d"), order(k).alias("o"), k.alias("k"))))["k"]
-    return joined.withColumn(f"cell_{key}", best).drop("_keys")
+    return branches.crossJoin(values.select(value).distinct()).select(*given, value, best.alias(key))
 
 
 def mobility_order(m) -> Column:
@@ -77,34 +76,31 @@ def route(psms: DataFrame, cells: DataFrame) -> DataFrame:
     that exist: greedy by level, length, size, charge, mobility, then type and count.
 
     At each level the first interval or the equal key wins, else the nearest of the branches
-    left.  Unknown charge takes the middle key.  A type that no branch has costs 1 more.  Only
-    the different combinations of the six values are routed (few, whatever the number of PSMs);
-    the PSMs take their cell from those.
+    left.  Unknown charge takes the middle key.  A type that no branch has costs 1 more.  Keys are
+    looked up for the different values of each level (few, whatever the number of PSMs), and
+    the PSMs take theirs by a join for each level.
     """
-    values = ["length", "size", "charge", "mobility", "glycan_type", "glycan_count"]
-    different = psms.select(*values).distinct()
-    to = _route(different, cells).select(*(F.col(v).alias(f"_to_{v}") for v in values), "cell")
-    return psms.join(to, [F.col(v).eqNullSafe(F.col(f"_to_{v}")) for v in values], "left").drop(*(f"_to_{v}" for v in values))
-
-
-def _route(psms: DataFrame, cells: DataFrame) -> DataFrame:
     mid = lambda k, v: F.abs(v - (k["lo"] + k["hi"]) / 2)
-    iv = cells.select(F.struct(F.col("length_lo").alias("lo"), F.col("length_hi").alias("hi")).alias("length_iv"), F.struct(F.col("size_lo").alias("lo"), F.col("size_hi").alias("hi")).alias("size_iv"), "charge", "mobility", F.struct(F.col("glycan_type").alias("t"), F.col("glycan_count").alias("c")).alias("tc"))
+    iv = cells.select(F.struct(F.col("length_lo").alias("lo"), F.col("length_hi").alias("hi")).alias("length_iv"), F.struct(F.col("size_lo").alias("lo"), F.col("size_hi").alias("hi")).alias("size_iv"), F.col("charge").alias("to_charge"), F.col("mobility").alias("to_mobility"), F.struct(F.col("glycan_type").alias("t"), F.col("glycan_count").alias("c")).alias("tc"))
     hit = lambda k, v: F.when(v.between(k["lo"], k["hi"]), -1.0).otherwise(mid(k, v))
-    given: list[str] = []
-    out = psms.withColumnsRenamed({"charge": "_z", "mobility": "_m"}).withColumn("_tc", F.struct("glycan_type", "glycan_count"))
+    middle = F.lit(sorted(CHARGES)[len(CHARGES) // 2])
     levels = [
         ("length_iv", "length", hit, lambda k: k["lo"]), ("size_iv", "size", hit, lambda k: k["lo"]),
-        ("charge", "_z", lambda k, v: F.abs(k - F.coalesce(v, F.lit(sorted(CHARGES)[len(CHARGES) // 2]))).cast("double"), lambda k: k),
-        ("mobility", "_m", lambda k, v: F.abs(mobility_order(k) - mobility_order(v)).cast("double"), lambda k: k),
+        ("to_charge", "charge", lambda k, v: F.abs(k - F.coalesce(v, middle)).cast("double"), lambda k: k),
+        ("to_mobility", "mobility", lambda k, v: F.abs(mobility_order(k) - mobility_order(v)).cast("double"), lambda k: k),
         ("tc", "_tc", lambda k, v: F.abs(k["c"] - v["glycan_count"]) + F.when(k["t"] == v["glycan_type"], 0.0).otherwise(1.0), lambda k: k),
     ]
-    branch = iv
+    # the different values of all levels in one row, made once
+    own = psms.withColumn("_tc", F.struct("glycan_type", "glycan_count"))
+    seen = own.agg(*(F.collect_set(F.struct(v)).alias(f"_all_{v}") for _, v, *_ in levels))
+    out, given = own, []
     for key, value, distance, order in levels:
-        out = nearest_key(out, branch, given, key, distance, order, value)
-        out = out.withColumn(key, F.col(f"cell_{key}")).drop(f"cell_{key}")
+        values = seen.select(F.explode(f"_all_{value}").alias("_s")).select(F.col(f"_s.{value}").alias(value))
+        table = nearest_key(values, iv, given, key, distance, order, value).withColumnsRenamed({c: f"_on_{c}" for c in [*given, value]})
+        out = out.join(table, [F.col(c).eqNullSafe(F.col(f"_on_{c}")) for c in [*given, value]], "left").drop(*(f"_on_{c}" for c in [*given, value]))
         given = [*given, key]
-    return out.select(*[c for c in psms.columns if c not in ("charge", "mobility")], F.col("_z").alias("charge"), F.col("_m").alias("mobility"), F.concat_ws(":", "length_iv.lo", "length_iv.hi", "size_iv.lo", "size_iv.hi", out["charge"], out["mobility"], "tc.t", "tc.c").alias("cell"))
+    label = F.concat_ws(":", "length_iv.lo", "length_iv.hi", "size_iv.lo", "size_iv.hi", "to_charge", "to_mobility", "tc.t", "tc.c")
+    return out.select(*psms.columns, label.alias("cell"))
 
 
 def assign(psms: DataFrame, nearest: bool = False, sizes=SIZES) -> DataFrame:

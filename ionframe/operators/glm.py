@@ -152,6 +152,8 @@ def newton(sums, steps: int = MOST_STEPS, epsilon: float = EPSILON) -> dict:
         except np.linalg.LinAlgError:
             return {"coef": None, "covariance": None, "deviance": float(dev), "iterations": i}
         beta = np.linalg.solve(lower.T, np.linalg.solve(lower, z))
+        if not np.isfinite(beta).all():
+            return {"coef": None, "covariance": None, "deviance": float(dev), "iterations": i}
     return {"coef": beta, "covariance": np.linalg.inv(h) if h is not None else None, "deviance": float(dev), "iterations": i, "converged": done}
 
 

@@ -270,9 +270,9 @@ def x_fit_slots(spark, d):
     return m.select("fc", F.size("slots").cast(L).alias("n"), F.aggregate(keys, F.lit(0).cast(L), lambda s, k: s + k).alias("slots"))
 
 
-@query("e_feature_dict", """with r as (select l_orderkey, l_linenumber, l_partkey, case l_returnflag when 'A' then 0 when 'N' then 1 else 2 end as s, least(l_linenumber, 5) - 1 as z, cast(l_quantity as int) % 20 as g from lineitem)
-select l_orderkey, l_linenumber, l_partkey, case when s = 2 then 'series 2,series:charge ' || (10 + z)
-  else 'n-term 0,c-term 7,series ' || s || ',charge ' || z || ',series:charge ' || (s * 5 + z) || ',is_glycosylated ' || least(g, 2) end as names from r""")
+@query("e_feature_dict", """with r as (select l_orderkey, l_linenumber, l_partkey, case l_returnflag when 'A' then 0 when 'N' then 1 else 2 end as s, least(l_linenumber, 5) as z, cast(l_quantity as int) % 20 as g from lineitem)
+select l_orderkey, l_linenumber, l_partkey, case when s = 2 then 'series stub_glycopeptide,series stub_glycopeptide:charge ' || z
+  else 'n-term pro,c-term x,series ' || ['b', 'y'][s + 1] || ',charge ' || z || ',series ' || ['b', 'y'][s + 1] || ':charge ' || z || ',is_glycosylated ' || least(g, 2) end as names from r""")
 def e_feature_dict(spark, d):
     """The names of all features that each row sets."""
     li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.expr("case l_returnflag when 'A' then 'b' when 'N' then 'y' else 'stub_glycopeptide' end").alias("kind"), F.lit("P").alias("flank_n"), F.lit("K").alias("flank_c"), (F.col("l_quantity").cast("int") % 20).alias("fsize"))

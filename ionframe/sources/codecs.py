@@ -8,6 +8,7 @@ import json
 import struct
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -66,7 +67,10 @@ def strip_models(models: DataFrame, keep=("coef", "covariance_unscaled", "hessia
 def compile_models(models: DataFrame) -> DataFrame:
     """The table that scoring joins: the spec's columns, a dense key in the spec's order and the
     coefficients as numbers.  A grid bounds the rows of the window."""
-    decode = F.udf(lambda t: None if t is None else text_to_array(t).ravel().astype(float).tolist(), "array<double>")
+    @F.pandas_udf("array<double>")
+    def decode(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: text_to_array(t).ravel().astype(float).tolist(), na_action="ignore")
+
     m = models.select("spec.*", "fit.*")
     order = [F.to_json(c) if c.endswith("range") else c for c in SPEC_COLUMNS]
     return m.select(*SPEC_COLUMNS, (F.dense_rank().over(Window.orderBy(*order)) - 1).alias("partition_key"), decode("coef").alias("coef"), "dispersion", "model_type")
@@ -98,3 +102,68 @@ def features_from_json(documents: DataFrame, column: str = "document") -> DataFr
     fine = F.coalesce(known & whole, F.lit(False))
     kind = F.when(fine, F.col("feature_type")).otherwise(F.raise_error(F.concat(F.lit("no relation feature of type "), F.coalesce("feature_type", F.lit("null")))))
     return f.withColumn("feature_type", kind)
+
+
+# Names of the selectors in documents of partitioned fits.
+SELECTORS: dict[str, str] = {"peptide": "NullModelSelector", "glycan": "KMeansModelSelector"}
+
+
+def register_selector(part: str, name: str) -> None:
+    """The selector that documents name for a part."""
+    SELECTORS[part] = name
+
+
+_FIT_FIELDS = "coef: array<double>, covariance: array<double>, deviance: double, dispersion: double, n_spectra: bigint, converged: boolean"
+_PARTS = (
+    f"struct<peptide_models: struct<selector_type: string, model_fit: struct<{_FIT_FIELDS}>>, "
+    f"glycan_models: struct<selector_type: string, model_fits: map<string, struct<{_FIT_FIELDS}>>, kmeans_fit: struct<k: int, mus: array<double>>>>"
+)
+
+
+def split_fits_to_json(fits: DataFrame, spec: list[str], out: str = "document") -> DataFrame:
+    """(spec, document): the fits of a cell's parts as one JSON document: the peptide's model, and
+    the glycan's by cluster with the centres that choose among them."""
+    names = [f.split(":")[0] for f in _FIT_FIELDS.split(", ")]
+    one = F.struct(*names)
+    glycan = F.startswith(F.col("part"), F.lit("glycan:"))
+    by = fits.groupBy(*spec).agg(
+        F.max(F.when(F.col("part") == "peptide", one)).alias("_p"), F.map_from_entries(F.array_sort(F.collect_list(F.when(glycan, F.struct(F.substring_index("part", ":", -1).alias("k"), one.alias("v")))))).alias("_g"), F.first("centres").alias("_c"))
+    peptide = F.struct(F.lit(SELECTORS["peptide"]).alias("selector_type"), F.col("_p").alias("model_fit"))
+    kmeans = F.struct(F.size("_c").alias("k"), F.col("_c").alias("mus"))
+    return by.select(*spec, F.to_json(F.struct(peptide.alias("peptide_models"), F.struct(F.lit(SELECTORS["glycan"]).alias("selector_type"), F.col("_g").alias("model_fits"), kmeans.alias("kmeans_fit")).alias("glycan_models"))).alias(out))
+
+
+def split_fits_from_json(documents: DataFrame, spec: list[str], column: str = "document") -> DataFrame:
+    """The fits of parts that documents hold: spec, part, the fit's columns and centres.  A selector of
+    another name than the registered ones is an error."""
+    d = documents.select(*spec, F.from_json(column, _PARTS).alias("d"))
+    fine = (F.col("d.peptide_models.selector_type") == SELECTORS["peptide"]) & (F.col("d.glycan_models.selector_type") == SELECTORS["glycan"])
+    checked = F.when(fine, F.col("d")).otherwise(F.raise_error(F.concat(F.lit("no selector "), F.coalesce("d.peptide_models.selector_type", F.lit("null")), F.lit(" or "), F.coalesce("d.glycan_models.selector_type", F.lit("null")))))
+    d = d.withColumn("d", checked)
+    peptide = F.array(F.struct(F.lit("peptide").alias("part"), F.col("d.peptide_models.model_fit").alias("fit")))
+    glycan = F.transform(F.map_entries("d.glycan_models.model_fits"), lambda e: F.struct(F.concat(F.lit("glycan:"), e["key"]).alias("part"), e["value"].alias("fit")))
+    e = d.select(*spec, F.col("d.glycan_models.kmeans_fit.mus").alias("centres"), F.explode(F.concat(peptide, glycan)).alias("x"))
+    return e.where("x.fit is not null").select(*spec, "x.part", "x.fit.*", "centres")
+
+
+_RELATION = (
+    "map<string, struct<series: string, error_tolerance: double, on_frequency: double, off_frequency: double, prior_probability_of_match: double, "
+    "features: array<struct<slot: string, on_series: double, off_series: double>>>>"
+)
+
+
+def relations_to_json(models: DataFrame, spec: list[str], tolerance: float = 2e-5, out: str = "document") -> DataFrame:
+    """(spec, document): the relation models of a cell as one JSON document by series."""
+    features = F.transform(F.map_entries("fits"), lambda e: F.struct(e["key"].alias("slot"), e["value"]["mu"].alias("on_series"), e["value"]["nu"].alias("off_series")))
+    one = F.struct("series", F.lit(tolerance).alias("error_tolerance"), F.col("alpha").alias("on_frequency"), F.col("beta").alias("off_frequency"), F.col("prior").alias("prior_probability_of_match"), features.alias("features"))
+    return models.groupBy(*spec).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("series").alias("k"), one.alias("v"))))).alias("_m")).select(*spec, F.to_json("_m").alias(out))
+
+
+def relations_from_json(documents: DataFrame, spec: list[str], column: str = "document") -> DataFrame:
+    """The relation models that documents hold, with gamma from their rates."""
+    from ..operators.relations import explained_probability
+
+    e = documents.select(*spec, F.explode(F.from_json(column, _RELATION)).alias("k", "m")).select(*spec, "m.*")
+    fits = F.map_from_entries(F.transform("features", lambda f: F.struct(f["slot"].alias("k"), F.struct(f["on_series"].alias("mu"), f["off_series"].alias("nu")).alias("v"))))
+    out = e.select(*spec, "series", F.col("on_frequency").alias("alpha"), F.col("off_frequency").alias("beta"), F.col("prior_probability_of_match").alias("prior"), F.when(F.size("features") > 0, fits).alias("fits"))
+    return out.withColumn("gamma", explained_probability("alpha", "beta", "prior"))

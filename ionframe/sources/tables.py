@@ -24,4 +24,17 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     """df written as Parquet in the shared folder and read back."""
     path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.written_at = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that materialize wrote and that nothing reads any more: what was made of
+    them has to be written itself."""
+    for t in tables:
+        path = getattr(t, "written_at", None)
+        if path:
+            jvm = t.sparkSession._jvm
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
