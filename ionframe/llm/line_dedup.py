@@ -55,6 +55,11 @@ SHORT_CHARS = 14
 BROADCAST_PLACES = 500_000
 #: Members of a chunk in which the members of a bucket are compared.
 LONG_BUCKET = 1000
+#: Characters of the longer line times most edits from which a pair that no script links is cut at
+#: common words before an edit distance is computed; a piece's area beyond it is not computed either.
+LONG_AREA = 4_000_000
+#: Neighbouring words that have to be the same, and be once in either line, where lines are cut.
+_ANCHOR = 3
 #: Words that are counted together: the bytes of a counter hold so many without a sign bit.
 _PART = 126
 _ONES = 0x0101010101010101
@@ -216,6 +221,8 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     Words that both lines begin and end with are taken off before the edit distance is
     computed, which does not change it.  A script of edits word by word is tried first: where
     it is short enough, so is the edit distance, which takes the square of the length to find.
+    A long pair without such a script is held to the numbers of its letters and then cut at
+    words that both lines have once; only what neither decides takes the square.
     """
     texts = _texts(pairs.select(F.explode(F.array("a", "b")).alias("node")), nodes, docs)
     j = pairs.join(texts.select(F.col("node").alias("a"), F.col("words").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("words").alias("y")), "b")
@@ -231,12 +238,68 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     j = j.withColumn("s", F.expr(f"least(r, least(size(x), size(y)) - p) + {fence}"))
     j = j.select("a", "b", "most", F.expr(fence).alias("fence"), *(F.expr(f"slice({c}, p + 1, size({c}) - p - s)").alias(c) for c in "xy"))
     j = j.withColumn("script", F.expr(f"{_SCRIPT} + {fence}"))
-    near = "script <= most or levenshtein(array_join(x, ' '), array_join(y, ' '), most) >= 0"
-    edges = materialize(j.where(F.expr(near)).select("a", "b"), "line-edges")
-    discard(texts, pairs)
+    exact = "levenshtein(array_join(x, ' '), array_join(y, ' '), most) >= 0"
+    large = f"script > most and {_AREA} > {LONG_AREA}L"
+    long = materialize(j.where(F.expr(large)).select("a", "b", "most", "x", "y"), "line-long")
+    near = j.where(F.expr(f"not ({large}) and (script <= most or {exact})")).select("a", "b")
+    if not long.isEmpty():
+        cut = _by_anchors(long.where(F.expr(_letters_apart("x", "y"))))
+        near = near.unionByName(cut.where(F.expr(f"script <= most or {exact}")).select("a", "b"))
+    edges = materialize(near, "line-edges")
+    discard(texts, pairs, long)
     return edges
 
 
+#: SQL for what the edit distance of the words x and y takes, in steps.
+_AREA = "most * aggregate(if(size(x) > size(y), x, y), 0L, (t, w) -> t + char_length(w) + 1)"
+
+
+def _letters_apart(x: str, y: str) -> str:
+    """SQL for whether the numbers of each letter and digit leave the lines near enough: an edit
+    takes away one character at most, and brings one."""
+    alphabet = "abcdefghijklmnopqrstuvwxyz0123456789"
+    # the line is bound to t, or it would be joined for each letter
+    one = f"transform(split('{alphabet}', ''), v -> char_length(t) - char_length(replace(t, v, '')))"
+    counts = [f"transform(array(array_join({c}, ' ')), t -> {one})[0]" for c in (x, y)]
+    sums = [f"aggregate(zip_with({p}, {q}, (v, w) -> greatest(v - w, 0)), 0, (t, v) -> t + v)" for p, q in (counts, counts[::-1])]
+    return f"greatest({', '.join(sums)}) <= most"
+
+
+def _by_anchors(long: DataFrame) -> DataFrame:
+    """long with the length of a script of edits that goes through both lines from one anchor to
+    the next: an anchor is a place of _ANCHOR words that are once in x and once in y, in one order
+    with all other anchors.  Between them the edit distance is computed, or for a large piece
+    bounded by its length.  All but that takes steps in proportion to the lines' words."""
+    pair = ["a", "b"]
+
+    def once(words: str, at: str) -> DataFrame:
+        # word by word: a slice would copy all of the line for each place
+        some = ", ".join(f"get({words}, i + {k})" for k in range(_ANCHOR))
+        places = F.expr(f"transform(sequence(0, size({words}) - {_ANCHOR}), i -> xxhash64({some}))")
+        w = long.where(f"size({words}) >= {_ANCHOR}").select(*pair, F.posexplode(places).alias(at, "h"))
+        return w.groupBy(*pair, "h").agg(F.min(at).alias(at), F.count("*").alias("n")).where("n = 1").drop("n")
+
+    met = once("x", "i").join(once("y", "j"), [*pair, "h"])
+    in_order = Window.partitionBy(*pair).orderBy("i")
+    # Spark goes through frames that begin with the partition once, through those that end with it for each row
+    earlier = lambda order: Window.partitionBy(*pair).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    met = met.withColumns({"low": F.coalesce(F.max("j").over(earlier(F.col("i"))), F.lit(-1)), "high": F.min("j").over(earlier(F.col("i").desc()))})
+    met = met.where("low < j and (high is null or j < high)")
+    # pieces between an anchor and the one before; those without words have no edits
+    met = met.select(*pair, "i", "j", F.lag("i", 1, -1).over(in_order).alias("i0"), F.lag("j", 1, -1).over(in_order).alias("j0"))
+    pieces = met.groupBy(*pair).agg(F.max("i").alias("i1"), F.max("j").alias("j1"), F.collect_list(F.when((F.col("i") - F.col("i0") > 1) | (F.col("j") - F.col("j0") > 1), F.struct("i0", "i", "j0", "j"))).alias("pieces"))
+    whole = long.join(pieces, pair, "left")
+    last = F.expr("struct(coalesce(i1, -1) as i0, size(x) as i, coalesce(j1, -1) as j0, size(y) as j)")
+    none = F.expr("slice(array(struct(0 as i0, 0 as i, 0 as j0, 0 as j)), 1, 0)")
+    whole = whole.withColumn("pieces", F.concat(F.coalesce("pieces", none), F.array(last)))
+    # every word is taken with a blank behind it
+    text = "if(p.{1} - p.{1}0 > 1, concat(array_join(transform(sequence(p.{1}0 + 1, p.{1} - 1), k -> get({0}, k)), ' '), ' '), '')"
+    whole = whole.withColumn("pieces", F.expr(f"transform(pieces, p -> struct({text.format('x', 'i')} as x, {text.format('y', 'j')} as y))"))
+    longest = "greatest(char_length(p.x), char_length(p.y))"
+    cost = f"if(cast(char_length(p.x) as long) * char_length(p.y) > {LONG_AREA}L, {longest}, levenshtein(p.x, p.y))"
+    return whole.select(*pair, "most", "x", "y", F.expr(f"aggregate(transform(pieces, p -> {cost}), 0L, (t, c) -> t + c) + cast(rand(0) as int)").alias("script"))
+
+
 def _may_link():
     """Whether fingerprints are near enough for the key, and lengths for the similarity."""
     longer = F.greatest("na", "nb")

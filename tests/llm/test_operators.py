@@ -662,3 +662,26 @@ def test_pipeline_run_and_columns(spark):
     got = cp.STAGES[-1][1](spark, docs, DATA).collect()
     assert check_packing(got, [(r.doc_id, r.text) for r in docs.collect()]) < 0.02
     assert json.dumps([n for n, _ in cp.STAGES])
+
+
+def test_long_pairs_are_cut_at_anchors(spark, monkeypatch):
+    rng = random.Random(5)
+    vocabulary = ["".join(rng.choices("abcdefghijklmno", k=rng.randint(2, 9))) for _ in range(2000)]
+    words = lambda n: rng.choices(vocabulary, k=n)
+    base = words(300)
+    typed = [w + "q" if i % 7 == 0 else w for i, w in enumerate(base)]
+    others = [words(3) + base + words(3), typed[:90] + words(2) + typed[90:], base[200:] + base[:200], words(300), base[:2], []]
+    rows = [(i, 100 + i, int(0.2 * max(len(" ".join(x)), len(" ".join(y)))), x, y) for i, (x, y) in enumerate([(base, y) for y in others] + [(y, base) for y in others])]
+    long = spark.createDataFrame(rows, "a long, b long, most int, x array<string>, y array<string>")
+    exact = F.expr("levenshtein(array_join(x, ' '), array_join(y, ' '))")
+    got = line_dedup._by_anchors(long).select("a", "script", "most", exact.alias("exact"), F.expr(line_dedup._letters_apart("x", "y")).alias("may")).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r.script + 1 >= r.exact  # a blank goes with the only words of an empty line
+        assert r.may or r.exact > r.most
+    assert {r.a for r in got if r.script <= r.most} == {r.a for r in got if r.exact <= r.most} == {0, 1, 6, 7}
+    # the way of long pairs gives the groups of the short one
+    docs = spark.createDataFrame([(i, " ".join(y)) for i, y in enumerate([base, *others])], "doc_id long, text string")
+    want = sorted(line_dedup.line_classes(docs).collect())
+    monkeypatch.setattr(line_dedup, "LONG_AREA", 1000)
+    assert sorted(line_dedup.line_classes(docs).collect()) == want and len(want) == 3
