@@ -51,9 +51,11 @@ _BUCKET = """case when r >= 5 then -4 when r >= 2.5 then -3 when r >= 1.7 then -
   when r >= 0.6 then 2 when r >= 0.4 then 3 when r >= 0.2 then 4 when r >= 0 then 5 end"""
 
 
-@query("x_ratio_bucket_hist", f"""with r as (select event_type, value / lag(value) over (partition by user_id order by ts, event_id) as r from events)
-select event_type, cast({_BUCKET} as bigint) as bucket, count(*) as n from r where r is not null group by all""")
+@query("x_ratio_bucket_hist", f"""with p as (select event_type, value, lag(value) over (partition by user_id order by ts, event_id) as prev from events),
+r as (select event_type, value / nullif(prev, 0) as r from p where prev is not null)
+select event_type, cast({_BUCKET} as bigint) as bucket, count(*) as n from r group by all""")
 def x_ratio_bucket_hist(spark, d):
+    """Buckets of the ratios of neighbouring values; the bucket is null where the earlier value is 0."""
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     e = table(spark, d, "events").withColumn("prev", F.lag("value").over(w)).where("prev is not null")
     return e.groupBy("event_type", scalar.ratio_bucket("value", "prev").cast(L).alias("bucket")).agg(F.count("*").alias("n"))
