@@ -284,8 +284,9 @@ def d_divergence(spark, d):
     return relations.divergence(m, ["f"], "o", "t").select("f", _r("divergence").alias("divergence"))
 
 
-@query("o_oxonium_norm", """select user_id, event_id, round(value / max(case when event_type = 'click' then value end) over (partition by user_id, event_id // 100), 6) as ratio from events""")
+@query("o_oxonium_norm", """select user_id, event_id, round(value / nullif(max(case when event_type = 'click' then value end) over (partition by user_id, event_id // 100), 0), 6) as ratio from events""")
 def o_oxonium_norm(spark, d):
+    """Values over the reference's; null without a reference and where it is 0."""
     e = table(spark, d, "events").withColumn("s", F.floor(F.col("event_id") / 100))
     return score.oxonium_ratios(e, ["user_id", "s"], "event_type", "value", "click").select("user_id", "event_id", _r("ratio").alias("ratio"))
 
