@@ -184,10 +184,14 @@ def s_model_peptide(spark, d):
     return score.model_peptide_score(_cdf_ions(spark, d), ["scan"], "cov").select("scan", _r("peptide_score", 3).alias("peptide_score"))
 
 
+_CENTRED = "coalesce(covar_pop(x, y) * count(*) / (sqrt(var_pop(x) * count(*) + 1e-12) * sqrt(var_pop(y) * count(*) + 1e-12)), -0.5)"
+
+
 @query("s_model_glycan", f"""with {IONS}, z as (select *, total * share / sqrt(total * reliability * share * (1 - share)) as x, total * yhat / sqrt(total * reliability * yhat * (1 - yhat)) as y from ions where series = 'stub_glycopeptide'),
-g as (select scan, count(*) as n, sum(log10(intensity) * (reliability + 1)) + sum(-log10(yhat + 1e-6)) as s, case when count(*) > 1 then {_corr_sql('x', 'y')} else -0.5 end as r, max(0.2 + 0.1 * size) as cov from z group by 1)
+g as (select scan, count(*) as n, sum(log10(intensity) * (reliability + 1)) + sum(-log10(yhat + 1e-6)) as s, case when count(*) > 1 then {_CENTRED} else -0.5 end as r, max(0.2 + 0.1 * size) as cov from z group by 1)
 select scan, round(greatest((s + (1 + r) / 2 * 10) * cov, 0), 1) as glycan_score from g""")
 def s_model_glycan(spark, d):
+    """The correlation has centred sums and a ridge of 1e-12 on both: it is 0 where one side does not vary."""
     return score.model_glycan_score(_cdf_ions(spark, d), ["scan"], "cov").select("scan", _r("glycan_score", 1).alias("glycan_score"))
 
 
