@@ -10,16 +10,17 @@ partitions in a tree.
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.tables import dealt
+from ..sources.tables import dealt, discard, materialize
 
 EPSILON, MOST_STEPS = 1e-8, 25
-#: Rows of which the dense features are in memory at a time.
+#: Rows (or sets of features) of which dense features are in memory at a time.
 BLOCK_ROWS = 20_000
 
 
@@ -89,47 +90,75 @@ class Spectra:
     def __len__(self) -> int:
         return len(self.n)
 
-    def blocks(self, width: int):
-        """(x, y, r, starts, n) of some whole spectra at a time, x dense."""
+    @cached_property
+    def patterns(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The different sets of features that rows set: the features of all sets (flat), the set of
+        each of those, and each row's set.  Encoders give few sets, however many rows there are."""
+        begin = np.append(0, self.ends[:-1])
+        size = self.ends - begin
+        # sets are told apart by sums of a random number for each feature, and the outcome is checked
+        numbers = np.random.default_rng(0).integers(0, 2**63, int(self.flat.max(initial=0)) + 1, dtype=np.uint64)
+        sums = np.append(np.uint64(0), np.cumsum(numbers[self.flat]))
+        _, first, own = np.unique(sums[self.ends] - sums[begin], return_index=True, return_inverse=True)
+        like = np.repeat(begin[first][own] - begin, size) + np.arange(len(self.flat)) if (size == size[first][own]).all() else None
+        if like is None or (self.flat != self.flat[like]).any():
+            first = own = np.arange(len(self.ends))
+        sizes = size[first]
+        places = np.arange(sizes.sum()) + np.repeat(begin[first] - np.cumsum(sizes) + sizes, sizes)
+        return self.flat[places], np.repeat(np.arange(len(first)), sizes), own
+
+    def blocks(self):
+        """(first and last spectrum, first and last row) of some whole spectra at a time."""
         bounds = np.append(self.starts, len(self.y))
         at = 0
         while at < len(self.n):
             to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + BLOCK_ROWS, "right")) - 1)
-            lo, hi = int(bounds[at]), int(bounds[to])
-            first = int(self.ends[lo - 1]) if lo else 0
-            own = self.flat[first : int(self.ends[hi - 1])]
-            rows = np.repeat(np.arange(hi - lo), np.diff(np.append(first, self.ends[lo:hi])))
-            x = np.zeros((hi - lo, width))
-            np.add.at(x.reshape(-1), rows * width + own, 1.0)
-            yield x, self.y[lo:hi], self.r[lo:hi], bounds[at:to] - lo, self.n[at:to]
+            yield at, to, int(bounds[at]), int(bounds[to])
             at = to
 
 
 def _step(spectra: Spectra, beta, width: int):
-    """Sums over spectra: z and H of a step from beta (None: from the start), and the deviance there."""
-    z, h, dev = np.zeros(width), np.zeros((width, width)), 0.0
-    for x, y, r, starts, n in spectra.blocks(width):
-        size = np.diff(np.append(starts, len(y)))
-        per_row = lambda v: np.repeat(v, size)
-        add = lambda v: np.add.reduceat(v, starts, axis=0)
-        if beta is None:
-            mu = (y * per_row(n) + 0.5) / per_row(1 + n + 0.5 * size)
-            eta = np.log(mu) - per_row(np.log1p(-add(mu)))
-        else:
-            eta = x @ beta
-            top = np.maximum(np.maximum.reduceat(eta, starts), 0.0)
-            e = np.exp(eta - per_row(top))
-            mu = e / per_row(np.exp(-top) + add(e))
-        weighted_eta = r * mu * eta - mu * per_row(add(mu * eta))
-        z += x.T @ (per_row(n) * (y - mu + weighted_eta))
-        mean = add(mu[:, None] * x)
-        h += x.T @ ((per_row(n) * r * mu)[:, None] * x) - mean.T @ (n[:, None] * mean)
-        pos = y > 0
-        dev += 2 * float((per_row(n)[pos] * r[pos] * y[pos] * np.log(y[pos] / mu[pos])).sum())
-        rest, left = 1 - add(y), 1 - add(mu) + 1e-6
-        some = rest > 1e-12
-        dev += 2 * float((n[some] * rest[some] * np.log(rest[some] / left[some])).sum())
-    return z, h, dev
+    """Sums over spectra: z and H of a step from beta (None: from the start), and the deviance there.
+
+    Rows of one set of features have the same x, so what is a sum over rows of x is taken over sets;
+    of a spectrum's mean x only the features that its rows set are added up.
+    """
+    if not len(spectra):
+        return np.zeros(width), np.zeros((width, width)), 0.0
+    features, of, own = spectra.patterns
+    n_sets, y, r, starts, n = int(own.max()) + 1, spectra.y, spectra.r, spectra.starts, spectra.n
+    size = np.diff(np.append(starts, len(y)))
+    per_row = lambda v: np.repeat(v, size)
+    add = lambda v: np.add.reduceat(v, starts)
+    total = per_row(n)
+    if beta is None:
+        mu = (y * total + 0.5) / per_row(1 + n + 0.5 * size)
+        eta = np.log(mu) - per_row(np.log1p(-add(mu)))
+    else:
+        eta = np.bincount(of, np.asarray(beta, float)[features], n_sets)[own]
+        top = np.maximum(np.maximum.reduceat(eta, starts), 0.0)
+        e = np.exp(eta - per_row(top))
+        mu = e / per_row(np.exp(-top) + add(e))
+    weighted_eta = r * mu * eta - mu * per_row(add(mu * eta))
+    z = np.bincount(features, np.bincount(own, total * (y - mu + weighted_eta), n_sets)[of], width)
+    h = np.zeros((width, width))
+    weight = np.bincount(own, total * r * mu, n_sets)
+    for at in range(0, n_sets, BLOCK_ROWS):
+        lo, hi = np.searchsorted(of, (at, at + BLOCK_ROWS))
+        sets = min(BLOCK_ROWS, n_sets - at)
+        x = np.bincount((of[lo:hi] - at) * width + features[lo:hi], minlength=sets * width).reshape(sets, width)
+        h += x.T @ (weight[at : at + sets, None] * x)
+    ends = np.append(0, spectra.ends)
+    for at, to, lo, hi in spectra.blocks():
+        sizes = np.diff(ends[lo : hi + 1])
+        place = np.repeat(np.repeat(np.arange(to - at) * width, size[at:to]), sizes) + spectra.flat[ends[lo] : ends[hi]]
+        mean = np.bincount(place, np.repeat(mu[lo:hi], sizes), (to - at) * width).reshape(to - at, width)
+        h -= mean.T @ (n[at:to, None] * mean)
+    pos = y > 0
+    dev = 2 * float((total[pos] * r[pos] * y[pos] * np.log(y[pos] / mu[pos])).sum())
+    rest, left = 1 - add(y), 1 - add(mu) + 1e-6
+    some = rest > 1e-12
+    return z, h, dev + 2 * float((n[some] * rest[some] * np.log(rest[some] / left[some])).sum())
 
 
 def newton(sums, steps: int = MOST_STEPS, epsilon: float = EPSILON) -> dict:
@@ -201,8 +230,6 @@ def fit_large(rows: DataFrame, scan: list[str], width: int, parts: int = 64) ->
     """The same fit for one cell of any size.  rows are dealt by scan once (a written table
     keeps that between steps); each step sends the driver parts partial sums of width * (width + 1) + 1
     numbers.  parts is the number of pieces in which the rows fit workers' memory."""
-    from ..sources.tables import materialize
-
     n = parts
     w = Window.partitionBy(*scan)
     dealt = materialize(rows.withColumn("_part", F.pmod(F.xxhash64(*scan), F.lit(n))).withColumn("total", F.max("total").over(w)), "glm-rows")
@@ -270,8 +297,10 @@ def fit_with_mismatch(rows: DataFrame, cell: list[str], scan: list[str], width:
 
     first = fit_grouped(rows, cell, scan, width)
     r = correlations(rows, first, cell, scan)
-    bad = r.where((F.col("r") < MISMATCH) & ~F.isnan("r")).select(*cell, *scan)
+    # the second fit reads its rows more than once: what chooses them is written
+    bad = materialize(r.where((F.col("r") < MISMATCH) & ~F.isnan("r")).select(*cell, *scan), "mismatches")
     second = fit_grouped(rows.join(bad, [*cell, *scan], "left_semi"), cell, scan, width)
+    discard(bad)
     both = first.withColumn("mismatch", F.lit(False)).unionByName(second.withColumn("mismatch", F.lit(True)))
     return both.where("coef is not null")
 
