@@ -73,6 +73,16 @@ def _words(line: str) -> str:
     return rf"array_remove(split(lower({line}), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), '')"
 
 
+#: SQL for 0: an expression with this fence in it is computed once, where it is named; merged into a
+#: filter or into other expressions, it would be computed at every mention.
+_FENCE = "cast(rand(0) as int)"
+
+
+def _once(expr: str) -> str:
+    """SQL for the array expr behind a fence."""
+    return f"if({_FENCE} = 0, {expr}, null)"
+
+
 def _majority_short() -> str:
     """SQL for the bits that are set in over half of n words, n being _PART at most: the bytes of
     a0..a7 are compared with half of n all at once."""
@@ -111,7 +121,7 @@ def _line_parts(docs: DataFrame) -> DataFrame:
     # rows are numbered below the generator, which would number the lines
     d = _documents(docs).withColumn("row", F.monotonically_increasing_id())
     e = d.select("row", "doc_id", "text_hash", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    w = e.select("row", "doc_id", "text_hash", "pos", F.expr(_words("line")).alias("w")).where("size(w) > 0")
+    w = e.select("row", "doc_id", "text_hash", "pos", F.expr(_once(_words("line"))).alias("w")).where("size(w) > 0")
     # keys and size before the words are exploded: beside the generator they'd be computed for each word
     w = w.select("row", "doc_id", "text_hash", "pos", "w", *_keys("w"), F.when(F.size("w") <= SHORT_WORDS, F.array_join("w", " ")).alias("short"), F.char_length(F.array_join("w", " ")).alias("len"), F.size("w").alias("n"))
     x = w.select(*_LINE, "w", F.posexplode("w").alias("i", "word"))
@@ -121,7 +131,7 @@ def _line_parts(docs: DataFrame) -> DataFrame:
     parts = x.groupBy(*_LINE, "part").agg(*sums, *least)
     # one pass: the counters stay only where a line has several parts
     is_short = F.col("n") <= _PART
-    parts = parts.select(*_LINE, F.when(is_short, F.expr(_majority_short())).alias("fp"), *(F.when(~is_short, F.col(f"a{k}")).alias(f"a{k}") for k in range(8)), *_packed())
+    parts = parts.select(*_LINE, "part", F.when(is_short, F.expr(_majority_short())).alias("fp"), *(F.when(~is_short, F.col(f"a{k}")).alias(f"a{k}") for k in range(8)), *_packed())
     return materialize(parts, "line-parts")
 
 
@@ -198,7 +208,7 @@ def _texts(wanted: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
         at = F.broadcast(at)
     t = _documents(docs).join(at, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("text_hash") == F.col("_hash")))
     t = t.select(F.split("text", "\n").alias("l"), F.explode("at").alias("p"))
-    t = t.select("p.node", "p.k1", "p.k2", F.expr(_words("get(l, p.pos)")).alias("words")).where("xxhash64(words) = k1 and xxhash64(1L, words) = k2")
+    t = t.select("p.node", "p.k1", "p.k2", F.expr(_once(_words("get(l, p.pos)"))).alias("words")).where("xxhash64(words) = k1 and xxhash64(1L, words) = k2")
     # rows that are repeated give a text as often
     texts = materialize(t.select("node", "words").dropDuplicates(["node"]), "line-texts")
     discard(places)
@@ -227,8 +237,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     texts = _texts(pairs.select(F.explode(F.array("a", "b")).alias("node")), nodes, docs)
     j = pairs.join(texts.select(F.col("node").alias("a"), F.col("words").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("words").alias("y")), "b")
     length = "aggregate({0}, -1, (t, w) -> t + 1 + char_length(w))"
-    # each step is fenced (the fence is 0): merged into the filter, it would be computed at every mention
-    fence = "cast(rand(0) as int)"
+    fence = _FENCE  # behind each step
     same = "array_position(zip_with({0}, {1}, (v, w) -> v <=> w), false) - 1"
     j = j.withColumns({
         "most": F.expr(f"cast(floor({1 - SIMILARITY:.6f} * greatest({length.format('x')}, {length.format('y')}) + 1e-9) as int) + {fence}"),
@@ -239,14 +248,19 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     j = j.select("a", "b", "most", F.expr(fence).alias("fence"), *(F.expr(f"slice({c}, p + 1, size({c}) - p - s)").alias(c) for c in "xy"))
     j = j.withColumn("script", F.expr(f"{_SCRIPT} + {fence}"))
     exact = "levenshtein(array_join(x, ' '), array_join(y, ' '), most) >= 0"
-    large = f"script > most and {_AREA} > {LONG_AREA}L"
-    long = materialize(j.where(F.expr(large)).select("a", "b", "most", "x", "y"), "line-long")
-    near = j.where(F.expr(f"not ({large}) and (script <= most or {exact})")).select("a", "b")
-    if not long.isEmpty():
-        cut = _by_anchors(long.where(F.expr(_letters_apart("x", "y"))))
-        near = near.unionByName(cut.where(F.expr(f"script <= most or {exact}")).select("a", "b"))
-    edges = materialize(near, "line-edges")
-    discard(texts, pairs, long)
+    j = j.withColumn("large", F.expr(f"if(script > most and {_AREA} > {LONG_AREA}L, 1, 0) + {fence}"))
+    j = j.withColumn("near", F.expr(f"if(script <= most or (large = 0 and {exact}), 1, 0) + {fence}"))
+    # one pass finds both the near pairs and the long ones, whose words it keeps
+    judged = materialize(j.where("near = 1 or large = 1").select("a", "b", "most", "near", *(F.when(F.col("large") == 1, F.col(c)).alias(c) for c in "xy")), "line-judged")
+    discard(texts, pairs)
+    edges = judged.where("near = 1").select("a", "b")
+    long = judged.where("x is not null").select("a", "b", "most", "x", "y")
+    if long.isEmpty():
+        edges.written_at = judged.written_at
+        return edges
+    cut = _by_anchors(long.where(F.expr(_letters_apart("x", "y"))))
+    edges = materialize(edges.unionByName(cut.where(F.expr(f"script <= most or {exact}")).select("a", "b")), "line-edges")
+    discard(judged)
     return edges
 
 
@@ -336,12 +350,26 @@ def _late_pairs(mixed: DataFrame) -> DataFrame:
     return x.join(y, ["key", "i", "j"]).where((F.col("a") < F.col("b")) & (F.col("ga") != F.col("gb")) & _may_link()).select("a", "b").distinct()
 
 
+def _joined(groups: DataFrame, edges: DataFrame) -> DataFrame:
+    """The groups (node, component) after edges (a, b) between their nodes or new ones: only groups
+    that an edge meets are gone through again.  A component stays the least node of its group."""
+    ends = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(groups, "node", "left").select("node", F.coalesce("component", "node").alias("g"))
+    ends = materialize(ends, "line-ends")
+    between = edges.join(ends.select(F.col("node").alias("a"), F.col("g").alias("ga")), "a").join(ends.select(F.col("node").alias("b"), F.col("g").alias("gb")), "b")
+    step = connected_components(between.select(F.col("ga").alias("a"), F.col("gb").alias("b"))).select(F.col("node").alias("g"), F.col("component").alias("to"))
+    new = ends.join(groups, "node", "left_anti")
+    known = groups.select("node", F.col("component").alias("g")).unionByName(new)
+    out = materialize(known.join(step, "g", "left").select("node", F.coalesce("to", "g").alias("component")), "line-joined")
+    discard(ends, step)
+    return out
+
+
 def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The lines, and (k1, k2, head) of those whose class has more than one occurrence."""
     parts = _line_parts(docs)
-    found = materialize(_whole_lines(parts), "lines")
-    discard(parts)
-    nodes = found.groupBy("k1", "k2", "short", "len").agg(
+    # a line's first part names it
+    found = parts.where("part = 0").select("row", "doc_id", "text_hash", "pos", "k1", "k2")
+    nodes = _whole_lines(parts).groupBy("k1", "k2", "short", "len").agg(
         F.min(F.struct("doc_id", "pos", "row", "text_hash")).alias("first"), F.count("*").alias("n"), F.min("fp").alias("fp"), *(F.min(f"s{i}").alias(f"s{i}") for i in range(3)))
     nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "line-nodes")
     # streaming functions of the sorted bucket; a bucket of one is dropped
@@ -352,6 +380,7 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     members = met.join(nodes.select("node", "fp", "len", F.col("node").alias("g")), "node")
     edges = _verified(materialize(_neighbours(members, [["fp"], []], hub=True), "line-pairs"), nodes, docs)
     groups = connected_components(edges)
+    discard(edges)
     turned = F.expr("shiftleft(fp, 32) | shiftrightunsigned(fp, 32)")
     # once by neighbours in other orders, then whatever is in different groups still
     for orders in ([[turned], ["s0"], ["s1"], ["s2"]], None):
@@ -359,10 +388,10 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         late = materialize(_neighbours(mixed, orders, hub=False) if orders else _late_pairs(mixed), "line-late")
         if not late.isEmpty():
             more = _verified(late, nodes, docs)
-            both = materialize(edges.unionByName(more), "line-edges")
-            discard(edges, more, groups)
-            edges, groups = both, connected_components(both)
-    discard(met, edges)
+            joined = _joined(groups, more)
+            discard(more, groups)
+            groups = joined
+    discard(met)
     named = nodes.join(groups, "node", "left").select("k1", "k2", "first", "n", F.coalesce("component", "node").alias("g"))
     named = materialize(named, "line-groups")
     total = named.groupBy("g").agg(F.min("first").alias("head"), F.sum("n").alias("total")).where("total > 1").select("g", "head")

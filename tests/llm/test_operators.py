@@ -173,6 +173,35 @@ def test_long_buckets_are_compared_in_chunks(spark, monkeypatch):
     assert sorted(map(tuple, line_dedup.line_classes(docs).collect())) == want
 
 
+def test_words_of_lines_are_computed_once(spark, awkward, monkeypatch):
+    plans, plain = collections.defaultdict(list), line_dedup.materialize
+
+    def spy(df, tag):
+        plans[tag].append(df._jdf.queryExecution().optimizedPlan().toString())
+        return plain(df, tag)
+
+    monkeypatch.setattr(line_dedup, "materialize", spy)
+    line_dedup.line_classes(awkward)
+    # a filter that is pushed below the words computes them again
+    for tag in ("line-parts", "line-texts"):
+        assert plans[tag] and all(p.count("split(lower(") == 1 for p in plans[tag])
+    # pairs are judged in one pass, near ones and long ones alike
+    assert all(p.count("levenshtein") < 4 for p in plans["line-judged"]) and not plans["line-long"] and not plans["lines"]
+
+
+def test_groups_are_joined_by_later_edges(spark):
+    r = random.Random(3)
+    first = [(r.randrange(80), r.randrange(80)) for _ in range(40)]
+    later = [(r.randrange(120), r.randrange(120)) for _ in range(30)] + [(7, 7)]
+    frame = lambda edges: spark.createDataFrame(edges, "a long, b long")
+    for late in (later, []):
+        label = components(120, first + late)
+        met = {i for e in first + late for i in e}
+        got = {x.node: x.component for x in line_dedup._joined(common.connected_components(frame(first)), frame(late)).collect()}
+        # a node without edges but to itself may be left out
+        assert {i: got.get(i, i) for i in met} == {i: label[i] for i in met} and set(got) <= met
+
+
 def test_dedup_lines_keeps_rows_and_columns(awkward, empty):
     out = line_dedup.dedup_lines(awkward)
     assert out.columns == awkward.columns and out.count() == awkward.count()
