@@ -67,6 +67,17 @@ def nearest_key(values: DataFrame, cells: DataFrame, given: list[str], key: str,
     return branches.crossJoin(values.select(value).distinct()).select(*given, value, best.alias(key))
 
 
+def nearest_route(values: DataFrame, models: DataFrame, key: str, place) -> DataFrame:
+    """(key, to_key) for the different values of one column that makes the cell: the models' cell that is
+    nearest by place (an expression of a key; an unknown place counts as the middle of the models'),
+    ties to the first.  A cell that has a model is its own nearest."""
+    middle = models.select(key).distinct().agg(F.percentile(place(F.col(key)), 0.5).alias("_middle"))
+    own = values.select(F.col(key).alias("_own")).distinct().crossJoin(F.broadcast(middle))
+    own = own.select(F.struct("_own", F.coalesce(place(F.col("_own")).cast("double"), "_middle").alias("at")).alias("_value"))
+    far = lambda k, v: F.when(k == v["_own"], F.lit(-1.0)).otherwise(F.coalesce(F.abs(place(k) - v["at"]), F.lit(float("inf"))))
+    return nearest_key(own, models, [], key, far, lambda k: k, "_value").select(F.col("_value._own").alias(key), F.col(key).alias(f"to_{key}"))
+
+
 def mobility_order(m) -> Column:
     return F.when(m == "mobile", 0).when(m == "partial", 1).when(m == "immobile", 2)
 

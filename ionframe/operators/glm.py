@@ -323,8 +323,18 @@ def fit_with_mismatch(rows: DataFrame, cell: list[str], scan: list[str], width:
     return both.where("coef is not null")
 
 
-def scored_by_models(rows: DataFrame, models: DataFrame, cell: list[str], scan: list[str]) -> DataFrame:
-    """Rows with their routed cell's prediction (yhat) and share of the total; rows of cells
-    without a model are left out, as nothing scores them."""
+def scored_by_models(rows: DataFrame, models: DataFrame, cell: list[str], scan: list[str], routes: DataFrame | None = None) -> DataFrame:
+    """Rows with the prediction (yhat) and partition_key of the model that scores them, and their share
+    of the total.
+
+    routes has each cell and, as to_<column>, the cell whose model scores it (cells.nearest_route): rows
+    then have that cell, and all are scored.  Without it rows are routed already, and those of cells
+    without a model are left out, as nothing scores them.
+    """
+    if routes is not None:
+        # cells are those of a grid, so a table of them is small
+        to = F.broadcast(routes.withColumnsRenamed({c: f"_of_{c}" for c in cell}))
+        own = rows.join(to, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in cell])
+        rows = own.drop(*cell, *(f"_of_{c}" for c in cell)).withColumnsRenamed({f"to_{c}": c for c in cell})
     known = models.select(*cell, "coef", "partition_key")
     return predict(with_fits(rows, known, cell, scan), scan, "idx", "coef").withColumn("share", F.try_divide("intensity", "total"))

@@ -342,12 +342,14 @@ def g_wald_named(spark, d):
 
 @query("m_routed_scores")
 def m_routed_scores(spark, d):
-    """Spectra scored by the model of their own cell: correlation of shares and predictions."""
+    """Spectra scored by the model of their own cell, or, if it has none, of the cell of the nearest
+    priority: correlation of shares and predictions, with the key of the model's cell."""
     rows = model_rows(spark, d)
-    fits = partitioned.fit_grouped(rows, ["cell"], ["scan"], encode.width("FragmentType")).where("coef is not null")
-    models = cells.partition_key(fits, ["cell"])
-    s = glm.scored_by_models(rows, models, ["cell"], ["scan"])
-    return s.groupBy("scan", "partition_key").agg(F.count("*").alias("n"), _r(F.sum("yhat"), 4).alias("yhat"))
+    fits = partitioned.fit_grouped(rows, ["cell"], ["scan"], encode.width("FragmentType"))
+    models = cells.partition_key(fits.where("coef is not null"), ["cell"])
+    routes = cells.nearest_route(fits, models, "cell", lambda c: F.substring(c, 1, 1).try_cast("int"))
+    s = glm.scored_by_models(rows, models, ["cell"], ["scan"], routes)
+    return s.groupBy("scan", "partition_key").agg(F.count("*").alias("n"), _r(F.sum("yhat"), 4).alias("yhat"), _r(stats.correlation("share", "yhat"), 4).alias("correlation"))
 
 
 @query("s_score_set_full", f"""with {_SCORED}, u as (select scan, sum(case when series = 'stub_glycopeptide' then intensity else 0 end) / max(total) as stub_util, sum(intensity) / max(total) as total_util, max(cov) as cover,
