@@ -128,9 +128,8 @@ def _linked(spark, d):
 def j_link_flank(spark, d):
     p, m, features = _linked(spark, d)
     ident = ["ok", "ln", "mass"]
-    pairs = bandjoin.feature_pairs(p, features.where("kind = 'link'"), ["scan"], "mass", ident)
-    on = m.where("series = 'A'")
-    out = search.link_pairs(pairs, on, {"scan": "scan"} | {f"a_{c}": c for c in ident}, {"scan": "scan"} | {f"b_{c}": c for c in ident})
+    marked = search.beside(p, m.where("series = 'A'"), ["scan"], ident)
+    out = bandjoin.feature_pairs(marked, features.where("kind = 'link'"), ["scan"], "mass", ident, residues="flanks").where("b_on")
     return out.select("scan", "a_ok", "a_ln", "b_ok", "b_ln", "name")
 
 
